@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, url_filter
+from . import language, mixing, quality, secret_scan, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -17,6 +17,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ", ".join(f"('{action}', '{rule}')" for action, rule in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(action, rule)")
@@ -36,12 +40,16 @@ SELECT page_id, p.host, p.path, best.rule AS rule, coalesce(best.action, 'allow'
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op5_url_filter, op10_language)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op8_secret_scan, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,7 +56,7 @@ def learn(docs: DataFrame, options: Learner = Learner()) -> dict[str, bytes]:
     )
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
     counts = train.groupBy("lang").count()
-    few = train.withColumn("draw", draw).join(F.broadcast(counts.limit(10_000)), "lang").where(
+    few = train.withColumn("draw", draw).join(counts, "lang").where(
         F.col("draw") <= F.lit(float(1 << 30)) * 4 * options.documents / F.col("count")
     )
     first = Window.partitionBy("lang").orderBy("draw", "text")
