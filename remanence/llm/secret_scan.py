@@ -40,12 +40,14 @@ _SPAN = "array<struct<start:int,end:int,text:string>>"
 @dataclass(frozen=True)
 class Battery:
     least: int = 20
-    #: Runs longer than this are tested on this many evenly spaced symbols' worth of pairs.
+    #: Rate of false discoveries within a length class.
     q: float = 0.01
     #: Each randomness test passes while |z| is at most this.
     z: float = 3.5
-    #: Share of symbol pairs that coincide in prose.
+    #: Share of symbol pairs that coincide in prose: at least this, and this
+    #: many times the share of uniform symbols.
     prose: float = 0.065
+    prose_times: float = 1.73
     bins: int = 400
     step: float = 0.1
 
@@ -127,7 +129,8 @@ def _verdict(x: Column, b: Battery) -> Column:
     serial = F.when(variance > 0, lagged / variance * F.sqrt(n)).otherwise(F.lit(1e9))
     pairs = n * (n - 1) / 2
     same = (x["sq"] - n) / 2
-    prose = (same - pairs * b.prose) / F.sqrt(F.greatest(pairs * b.prose * (1 - b.prose), F.lit(1e-9)))
+    share = F.greatest(F.lit(b.prose), b.prose_times / k)
+    prose = (same - pairs * share) / F.sqrt(F.greatest(pairs * share * (1 - share), F.lit(1e-9)))
     passes = (F.abs(chi) <= b.z) & (F.abs((runs - expected) / spread) <= b.z) & (F.abs(serial) <= b.z) & (n >= b.least)
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"), passes.alias("passes"),
@@ -143,7 +146,7 @@ def found(docs: DataFrame, text: str = "text", b: Battery = Battery()) -> DataFr
     kind = lambda n, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end")))
     assign = F.filter(_spans(body, ASSIGN), lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 1)) >= 6)
     access = F.filter(_spans(body, ACCESS), lambda s: F.length(s["text"]) >= 20)
-    runs = _spans(body, rf"[A-Za-z0-9+/_=-]{{{b.least},}}")
+    runs = _spans(body, rf"[A-Za-z0-9+/_-]{{{b.least},}}={{0,2}}")
     return docs.withColumns({
         "__base": F.concat(kind(0, assign), kind(1, access), kind(2, _spans(body, HEX))),
         "__runs": F.transform(runs, lambda s: _tested(s, b)),
