@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality, secret_scan, url_filter
+from . import byte_bpe, language, mixing, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -40,6 +41,14 @@ SELECT page_id, p.host, p.path, best.rule AS rule, coalesce(best.action, 'allow'
 """
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -49,7 +58,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op8_secret_scan, op10_language)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -101,7 +101,7 @@ def _log10_lower_tail(z: Column) -> Column:
 
 def _tested(span: Column, b: Battery) -> Column:
     """The span with its verdict of randomness, length class and p-value bin."""
-    run = F.rtrim(F.lit("="), span["text"])
+    run = F.rtrim(span["text"], F.lit("="))
     symbols, k = _alphabet(run)
     n = F.length(run).cast("double")
     used = F.array_distinct(F.split(run, ""))
