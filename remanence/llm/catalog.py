@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, language, mixing, quality, secret_scan, token_store, url_filter
+from . import ann, byte_bpe, language, mixing, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -53,12 +54,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op10_language)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
