@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, mixing, quality, secret_scan, token_store, url_filter
+from . import ann, byte_bpe, language, mixing, near_dup, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(documents(spark, sf_dir), words=2)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = ", ".join(f"('{action}', '{rule}')" for action, rule in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(action, rule)")
@@ -63,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
