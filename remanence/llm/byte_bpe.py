@@ -135,15 +135,17 @@ def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 rows = [row(codec, t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c) for c in zip(*rows)], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", *names])
 
     names = [f.split()[0] for f in schema.split(", ")]
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    types = [arrow[f.split()[1]] for f in schema.split(", ")]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id, ids`` (array of int) of every row."""
-    return _over_texts(docs, ranks_path, pattern, "ids array<long>", lambda c, t: (c.encode(t),)).selectExpr("doc_id", "cast(ids as array<int>) AS ids")
+    return _over_texts(docs, ranks_path, pattern, "ids array<int>", lambda c, t: (c.encode(t),))
 
 
 def digest(ids: list[int], decoded: bytes, names: dict[int, str]) -> tuple[int, str, str]:
@@ -163,3 +165,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return digest(ids, codec.decode(ids), names)
 
     return _over_texts(docs, ranks_path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+
+
+def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: the ids of every text and the
+    digest of the bytes that they decode to."""
+
+    def row(codec: Codec, text: str) -> tuple[int, list[int], str]:
+        ids = codec.encode(text)
+        return len(ids), ids, hashlib.sha256(codec.decode(ids)).hexdigest()
+
+    return _over_texts(docs, ranks_path, pattern, "n_tokens long, ids array<int>, decoded_sha256 string", row)

@@ -134,8 +134,8 @@ def mix(docs: DataFrame, key: str, members: str, size: str, weights: Sequence[fl
     """Adds to each row of ``docs`` what the mix takes of it.
 
     ``members``: array of the sources a document belongs to; ``size``: its
-    words. Returns ``docs``' columns ``key, members, size`` as given plus
-    ``source_size`` and ``target`` (of the first member) and ``taken``, the
+    words. Returns ``row`` (a struct of all of ``docs``' columns, so no name can
+    clash), ``source_size`` and ``target`` (of the first member) and ``taken``, the
     words taken with repeats counted; the document in which a quota ends gives
     only the words still wanted. Sources, ordered by code point with null last,
     weigh ``weights``, repeating. Reruns with one seed agree.
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, key: str, members: str, size: str, weights: Sequence[fl
     """
     spark = docs.sparkSession
     base = docs.select(
-        F.col(key).alias("__key"), F.coalesce(F.col(members), F.array().cast(docs.schema[members].dataType)).alias("__members"), F.col(size).alias("__size"),
+        F.struct(*docs.columns).alias("__row"), F.col(key).alias("__key"), F.coalesce(F.col(members), F.array().cast(docs.schema[members].dataType)).alias("__members"), F.col(size).alias("__size"),
         F.xxhash64(F.lit(seed), F.col(key)).alias("__draw"),
     ).withColumn("__bucket", F.pmod("__draw", F.lit(BUCKETS)))
     totals = base.groupBy("__members", "__bucket").agg(F.sum("__size").alias("words"))
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, key: str, members: str, size: str, weights: Sequence[fl
         "extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("wanted") - (F.col("upto") - F.col("__size"))))
     ).drop("upto")
     return whole_docs.unionByName(cut).select(
-        F.col("__key").alias(key), F.col("__members").alias(members), F.col("__size").alias(size), "source_size", "target",
+        F.col("__row").alias("row"), "source_size", "target",
         (F.col("__size") * F.col("turns") + F.col("extra")).cast("long").alias("taken"),
     )
 
@@ -198,5 +198,20 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     each belonging to the one source that its row names."""
     sized = written(docs.select("doc_id", F.array("source").alias("members"), word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(sized, "doc_id", "members", "size", **options).select(
-        "doc_id", F.col("members")[0].alias("source"), "size", "source_size", "target", "taken"
+        "row.doc_id", F.col("row.members")[0].alias("source"), "row.size", "source_size", "target", "taken"
+    )
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns, each as often as the mix
+    takes it; the document in which a quota ends counts as whole from half on.
+    A document without words adds nothing to a mix and is not in it."""
+    columns = docs.columns
+    sized = docs.select(
+        F.struct(*columns).alias("doc"), F.col("doc_id").alias("id"), F.array("source").alias("members"), word_count(F.col("text")).alias("size")
+    )
+    copies = F.floor(F.col("taken") / F.col("row.size") + 0.5).cast("int")
+    return (
+        mix(sized, "id", "members", "size", **options).where("row.size > 0").withColumn("copies", copies).where("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.doc.*")
     )

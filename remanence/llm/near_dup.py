@@ -336,3 +336,10 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
+
+
+def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
+    """One document of each group, all columns of ``docs``. Rows that share a
+    doc_id are one document; rows with a null doc_id stay."""
+    kept = groups(docs, words).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
