@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, mixing, near_dup, quality, secret_scan, token_store, url_filter
+from . import ann, byte_bpe, language, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(documents(spark, sf_dir))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
