@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces and token pairs that one process remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: A vocabulary is broadcast; this bounds its file.
 LARGEST_FILE = 64 << 20
 
@@ -40,6 +40,21 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+class _Pieces(dict):
+    """Ids by piece, found when first asked for; only short pieces are kept."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= 64:
+            self[piece] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -52,8 +67,8 @@ class Codec:
             if self.merged(token) == [rank]:
                 self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._fits: dict[int, bool] = {}
+        self._known = _Pieces(self.piece)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids by replaying merges, lowest rank first; for short inputs."""
@@ -66,21 +81,36 @@ class Codec:
         return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
-        found = self._fits.get((left, right))
+        pair = left << 32 | right
+        found = self._fits.get(pair)
         if found is None:
             if len(self._fits) >= REMEMBERED:
                 self._fits.clear()
             found = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._fits[left, right] = found
+            self._fits[pair] = found
         return found
 
+    def _longest(self, text: str, length: int) -> list[int] | None:
+        """The longest matches from the left, if they tile the piece and every
+        neighbour fits; they are then the encoding, without backtracking."""
+        ids, at, before = [], 0, -1
+        for last, (rank, size) in self.automaton.iter_long(text):
+            if last - size + 1 != at or (before >= 0 and not self.fits(before, rank)):
+                return None
+            ids.append(rank)
+            at, before = last + 1, rank
+        return ids if at == length else None
+
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        length = len(data)
+        text, length = data.decode("latin-1"), len(data)
+        straight = self._longest(text, length)
+        if straight is not None:
+            return straight
         begin: list[list[tuple[int, int]]] = [[] for _ in range(length)]
-        for last, (rank, size) in self.automaton.iter(data.decode("latin-1")):
+        for last, (rank, size) in self.automaton.iter(text):
             begin[last - size + 1].append((rank, size))
         alive = bytearray(b"\x01") * (length + 1)
         ids: list[int] = []
@@ -104,17 +134,8 @@ class Codec:
                 k = tried.pop() - 1
         return ids
 
-    def _remembered(self, piece: str) -> tuple[int, ...]:
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        found = tuple(self.piece(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= 64:
-            self._known[piece] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
-        known, missing = self._known.get, self._remembered
-        return list(chain.from_iterable([known(p) or missing(p) for p in self.pieces(text)]))
+        return list(chain.from_iterable(map(self._known.__getitem__, self.pieces(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
