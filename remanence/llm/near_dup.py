@@ -13,10 +13,10 @@ Groups are linked without listing their pairs:
 1. Texts with one shingle set are one class, with the least doc_id.
 2. In every band bucket, classes are compared with the bucket's least class
    only: as many comparisons as members.
-3. Confirmed links give components. Only buckets that still hold several
-   components are compared further, in square blocks of at most ``BLOCK`` by
-   ``BLOCK`` members and only across components, so no link is lost and a large
-   group, which step 2 has joined, costs nothing here.
+3. Confirmed links give components. Only members of buckets that still hold
+   several components are compared further, in square blocks of about ``BLOCK``
+   by ``BLOCK`` and only across components, so no link is lost and a large
+   group, which step 2 has joined, costs little here.
 
 Bands of 6 registers, 42 of them, miss a pair at similarity 0.8 with probability
 3e-6. Every stage's table is written to the shared folder, so lost executors
@@ -45,7 +45,10 @@ BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 42, 6
 #: Similarity of a link, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK = 512
+BLOCK = 4096
+#: Single registers by which members of open buckets meet; shingles up to which
+#: sets are compared whole.
+PROBES, EXACT = 8, 512
 #: Standard errors by which an estimate may fall short before a pair is dropped.
 ERRORS = 5.0
 _KNOWN = 300_000
@@ -247,37 +250,96 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Plausible pairs of one bucket but different components."""
+def _profiles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """What a node carries into a block: its whole set, as 32-bit hashes, up to
+    ``EXACT`` shingles; its registers, if it or a partner may be larger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [
+                np.unique(np.frombuffer(h, dtype=np.uint64).astype(np.uint32)).tobytes() if n <= EXACT else None
+                for n, h in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())
+            ]
+            some = [s if DENOMINATOR * n >= NUMERATOR * EXACT else None for n, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.binary()), pa.array(whole, pa.binary())], names=["node", "n", "registers", "whole"])
+
+    return nodes.join(sets, "node").select("node", "n_shingles", "signature", "hashes").mapInArrow(run, "node binary, n long, registers binary, whole binary")
+
+
+class _Block:
+    """Members of two blocks of one bucket, searched row by row."""
+
+    def __init__(self, rows: dict):
+        self.node = np.array(rows["node"], dtype=object)
+        self.label = np.unique(np.array(rows["label"], dtype=object), return_inverse=True)[1]
+        self.n, self.own = np.array(rows["n"]), np.array(rows["own"])
+        self.i, self.j = rows["i"][0], rows["j"][0]
+        self.registers = [np.frombuffer(x, dtype=np.uint16) if x else None for x in rows["registers"]]
+        self.small = np.array([x is not None for x in rows["whole"]])
+        self.sets = [np.frombuffer(x, dtype=np.uint32) if x is not None else np.empty(0, np.uint32) for x in rows["whole"]]
+        size = [len(x) for x in self.sets]
+        tokens = np.concatenate(self.sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.rows = tokens[order], np.repeat(np.arange(len(size)), size)[order]
+
+    def common(self, k: int) -> np.ndarray:
+        """Shared shingles of member k with every small member."""
+        lo = np.searchsorted(self.tokens, self.sets[k])
+        n = np.searchsorted(self.tokens, self.sets[k], side="right") - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.rows[at], minlength=len(self.node))
+
+    def pairs(self) -> tuple[list, list]:
+        a, b = [], []
+        square = self.i == self.j
+        every = np.arange(len(self.node))
+        for k in every:
+            if not square and self.own[k] != self.i:
+                continue
+            near = (self.label != self.label[k]) & (DENOMINATOR * np.minimum(self.n, self.n[k]) >= NUMERATOR * np.maximum(self.n, self.n[k]))
+            near &= every > k if square else self.own == self.j
+            if not near.any():
+                continue
+            hit = np.empty(0, dtype=np.int64)
+            if self.small[k]:
+                both = np.flatnonzero(near & self.small)
+                if len(both):
+                    shared = self.common(k)[both]
+                    hit = both[DENOMINATOR * shared >= NUMERATOR * (self.n[both] + self.n[k] - shared)]
+                near &= ~self.small
+            large = np.flatnonzero(near)
+            if len(large):
+                some = np.stack([self.registers[x] for x in large])
+                hit = np.append(hit, large[plausible(self.registers[k], some, self.n[k], self.n[large])])
+            a += [self.node[k]] * len(hit)
+            b += self.node[hit].tolist()
+        return a, b
+
+
+def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that may be linked.
+
+    Members of buckets with several components meet again in the buckets of
+    ``PROBES`` single registers, which two linked sets all miss with probability
+    3e-6, in blocks. Small sets are compared whole there, so nearly all pairs
+    that come out are links.
+    """
     labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    left = written(labelled.join(open_, "key", "left_semi").select("node", "label").distinct(), "open-nodes")
+    register = [F.substring(F.col("signature"), 1 + 2 * (k * BUCKETS // PROBES), 2) for k in range(PROBES)]
+    probes = left.join(nodes.select("node", "signature"), "node").select(
+        "node", "label", F.posexplode(F.array(*register)).alias("place", "register")
+    ).select("node", "label", (F.conv(F.hex("register"), 16, 10).cast("long") * PROBES + F.col("place")).alias("key"))
+    several = probes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     members = (
-        labelled.join(open_.select("key", blocks.alias("blocks")), "key")
+        probes.join(several.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
         .withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-        .join(nodes.select("node", "signature", "n_shingles"), "node")
-        .select("key", "i", "j", "own", "node", "label", "signature", "n_shingles")
+        .join(_profiles(nodes.join(left.select("node"), "node", "left_semi"), sets), "node")
     )
 
-    def pairs(rows: dict) -> tuple[list, list]:
-        node = np.array(rows["node"], dtype=object)
-        label, own, n = np.array(rows["label"], dtype=object), np.array(rows["own"]), np.array(rows["n_shingles"])
-        signatures = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(-1, BUCKETS)
-        square = rows["i"][0] == rows["j"][0]
-        a, b = [], []
-        for k in range(len(node)):
-            if not square and own[k] != rows["i"][0]:
-                continue
-            rest = np.flatnonzero(label != label[k])
-            rest = rest[rest > k] if square else rest[own[rest] == rows["j"][0]]
-            if len(rest):
-                rest = rest[plausible(signatures[k], signatures[rest], n[k], n[rest])]
-                a += [node[k]] * len(rest)
-                b += node[rest].tolist()
-        return a, b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         at = None
@@ -285,22 +347,19 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
             columns = batch.to_pydict()
             keys = list(zip(columns["key"], columns["i"], columns["j"]))
             cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            out_a, out_b = [], []
             for begin, end in zip(cuts, cuts[1:]):
-                if begin == end:
-                    continue
-                if keys[begin] != at:
+                if begin < end and keys[begin] != at:
                     if held:
-                        x, y = pairs(held)
-                        out_a += x
-                        out_b += y
+                        yield as_batch(held)
                     held, at = {c: [] for c in columns}, keys[begin]
                 for c, values in columns.items():
                     held[c] += values[begin:end]
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
         if held:
-            x, y = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+            yield as_batch(held)
+
+    def as_batch(rows: dict) -> pa.RecordBatch:
+        a, b = _Block(rows).pairs()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     found = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -322,7 +381,7 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links")
     labels = components(edges)
-    more = written(_confirmed(_across(shared.select("key", "node"), labels, nodes), sets), "cross-links")
+    more = written(_confirmed(_across(shared.select("key", "node"), labels, nodes, sets), sets), "cross-links")
     if more.limit(1).count():
         removed(spark, labels)
         labels = components(edges.union(more))
