@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import beliefs, graphs, lifecycle, records, scalars, search  # noqa: F401
+from . import beliefs, graphs, lifecycle, records, scalars, search, streams  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
