@@ -37,7 +37,7 @@ class Limits:
     common_words: int = 50
     class_distance: float = 0.30
     class_chars: int = 200
-    word_distance: float = 0.40
+    word_distance: float = 0.45
     word_words: int = 100
     #: Words below which a language is no reference.
     reference_words: int = 2000
