@@ -30,6 +30,7 @@ from __future__ import annotations
 import itertools
 import os
 import tempfile
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, scratch_dir, written
 from .near_dup import _mix
 
 #: Tokens of a chunk; training tokens a trie; training tokens of a context per part.
@@ -120,10 +121,10 @@ class EliasFano:
         if not self.size:
             return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
         shift = np.uint64(self.low_bits)
-        highs = (values >> shift).astype(np.int64)
+        highs = values >> shift
         most = int(self.zeros[-1]) - 1
-        over = highs > most
-        h = np.minimum(highs, most)
+        over = highs > np.uint64(most)
+        h = np.minimum(highs, np.uint64(most)).astype(np.int64)
         end = self._select_zero(h) - h
         start = np.where(h > 0, self._select_zero(np.maximum(h - 1, 0)) - h + 1, 0)
         want = values & ((np.uint64(1) << shift) - np.uint64(1)) if self.low_bits else np.zeros(len(values), dtype=np.uint64)
@@ -157,6 +158,17 @@ class EliasFano:
         return (word * 64 + place - index).astype(np.uint64) << np.uint64(self.low_bits) | self._lows(index)
 
 
+def quantised(chances: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities in steps of their logarithm; 0 stays 0."""
+    with np.errstate(divide="ignore"):
+        codes = np.rint(-np.log10(chances) / STEP) + 1
+    return np.where(chances > 0, np.clip(codes, 1, 65_535), 0).astype(np.uint16)
+
+
+def restored(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) * STEP), 0)
+
+
 class NgramTrie:
     """Contexts -> successors -> quantised log10 probability."""
 
@@ -180,8 +192,8 @@ class NgramTrie:
         kinds = np.bincount(owner, minlength=len(contexts))
         with np.errstate(divide="ignore", invalid="ignore"):
             kept = (counts - DISCOUNT) / totals[owner]
-            backoff = np.where(totals > 0, DISCOUNT * kinds / totals, 0).astype(np.float32)
-        codes = np.clip(np.rint(-np.log10(kept) / STEP) + 1, 1, 65_535).astype(np.uint16) if len(kept) else np.empty(0, np.uint16)
+            backoff = np.where((totals > 0) & (kinds > 0), DISCOUNT * kinds / totals, 0)
+        codes, backoff = quantised(kept), quantised(backoff)
         return cls(*(EliasFano.coded(x) for x in (contexts, words, np.append(0, np.cumsum(kinds)), relative)), codes, backoff)
 
     def save(self, path: str) -> None:
@@ -194,7 +206,7 @@ class NgramTrie:
     @classmethod
     def mapped(cls, path: str) -> NgramTrie:
         data = np.memmap(path, dtype=np.uint8, mode="r")
-        kinds = [np.int64, np.uint64, np.uint64, np.int64] * 4 + [np.uint16, np.float32]
+        kinds = [np.int64, np.uint64, np.uint64, np.int64] * 4 + [np.uint16, np.uint16]
         sizes, at, parts = data[: 8 * len(kinds)].view(np.int64), 8 * len(kinds), []
         for kind, n in zip(kinds, sizes.tolist()):
             bytes_ = n * np.dtype(kind).itemsize
@@ -205,9 +217,9 @@ class NgramTrie:
 
     def lookup(self, contexts: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of n-grams (index in ``contexts``, word name), 0 if not seen,
-        and the backoff mass of each context."""
+        and codes of the backoff mass of each context."""
         rank, known = self.contexts.successor(contexts)
-        backoff = np.where(known, self.backoff[np.where(known, rank, 0)], 0) if len(self.backoff) else np.zeros(len(contexts))
+        backoff = np.where(known, self.backoff[np.where(known, rank, 0)], 0) if len(self.backoff) else np.zeros(len(contexts), np.uint16)
         place, exists = self.words.successor(word)
         possible = np.flatnonzero(known[context] & exists)
         codes = np.zeros(len(word), dtype=np.uint16)
@@ -384,7 +396,7 @@ def _answer_pairs(table: pa.Table) -> pa.Table:
         del trie
     return pa.table({
         "chunk": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([shard] * len(rows), pa.int32()),
-        "answer": [_pack(codes) for codes, _ in answers], "backoff": [_pack(mass.astype("<f4")) for _, mass in answers],
+        "answer": [_pack(codes) for codes, _ in answers], "backoff": [_pack(mass.astype("<u2")) for _, mass in answers],
     })
 
 
@@ -399,10 +411,8 @@ def _score(shards: int, tokens: int, kinds: int):
                 seen = np.zeros(len(chunk.slot))
                 mass = np.zeros(len(chunk.names))
                 for r in row["pairs_answer"]:
-                    codes = _unpack(r["answer"], "<u2")
-                    seen[chunk.pairs_at[r["shard"]]] = np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) * STEP), 0)
-                    keys = chunk.keys_at[r["shard"]]
-                    np.add.at(mass, chunk.owner[keys], _unpack(r["backoff"], "<f4"))
+                    seen[chunk.pairs_at[r["shard"]]] = restored(_unpack(r["answer"], "<u2"))
+                    np.add.at(mass, chunk.owner[chunk.keys_at[r["shard"]]], restored(_unpack(r["backoff"], "<u2")))
                 known = total[chunk.context] > 0
                 smooth = np.where(known, seen + mass[chunk.context] * base[chunk.word], base[chunk.word])
                 logs = np.log10(smooth)[chunk.pair_of]
@@ -420,11 +430,14 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
     of every row; training rows are those not held out (fold 0 of ``folds``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = written(
-        docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held"), "text")
-        .mapInArrow(_chunks, f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths binary, tokens binary, words binary"),
-        "lm-chunks",
+    chunked = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held"), "text").mapInArrow(
+        _chunks, f"chunk long, doc_ids array<{kind}>, held array<boolean>, lengths binary, tokens binary, words binary"
     )
+    # Bucketed, so that the two joins move the answers but not the chunks.
+    name = f"lm_chunks_{uuid.uuid4().hex}"
+    buckets = max(1, 2 * docs.select("doc_id").rdd.getNumPartitions())
+    chunked.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{scratch_dir(docs.sparkSession)}/{name}").saveAsTable(name)
+    chunks = docs.sparkSession.table(name)
     number = chunks.count()
     shards = max(1, -(-number * CHUNK // TRIE))
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
