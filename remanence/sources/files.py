@@ -81,13 +81,13 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpacked(blobs: pd.Series) -> pd.Series:
     """float32 bytes to a vector."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").tolist())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed(vectors: pd.Series) -> pd.Series:
     """A vector to float32 bytes."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
