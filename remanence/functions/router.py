@@ -71,3 +71,28 @@ def people_in(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """``query_id, canonical`` of the aliases that a question holds as words."""
     words = questions.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     return words.join(aliases.select(F.lower("alias").alias("word"), "canonical"), "word").select("query_id", "canonical").distinct()
+
+
+def allowed_lanes(lanes: Column) -> Column:
+    """Names of the lanes that a map of switches allows."""
+    return F.array_sort(F.map_keys(F.map_filter(lanes, lambda _, on: on)))
+
+
+def plan_id(plan: Column) -> Column:
+    """A stable name of a plan."""
+    return F.substring(F.sha2(F.to_json(plan), 256), 1, 20)
+
+
+def answer_contract(required: Column, shown: Column) -> Column:
+    """What an answer must rest on, and whether it was found among the shown
+    evidence."""
+    return F.struct(required.alias("requires"), F.exists(shown, lambda s: F.array_contains(required, s)).alias("direct_evidence_found"))
+
+
+def entity_groups(entities: Column) -> Column:
+    """Distinct variants, of two letters at least, of each entity."""
+    return F.transform(entities, lambda group: F.array_distinct(F.filter(F.transform(group, lambda v: F.lower(F.trim(v))), lambda v: F.length(v) >= 2)))
+
+
+def required_actions(actions: Column, known: tuple[str, ...] = ("asked", "bought", "decided", "finished", "moved", "started")) -> Column:
+    return F.array_intersect(actions, F.array(*[F.lit(a) for a in known]))

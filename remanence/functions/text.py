@@ -121,3 +121,52 @@ def unfenced(text: Column) -> Column:
     """The body of a Markdown fence, or the text if there is none."""
     body = F.regexp_extract(text, r"(?s)^\s*```[a-zA-Z]*\s*\n(.*?)\n?```\s*$", 1)
     return F.when(body != "", body).otherwise(text)
+
+
+def topics(query: Column, most: int = 4, least: int = 18) -> Column:
+    """Sub-questions of a long question: split at hard punctuation, and pieces
+    that stay long at commas before a conjunction; short pieces go."""
+    pieces = F.flatten(F.transform(F.split(query, r"[.!?;。！？；\n]+"), lambda p: F.when(F.length(p) > 60, F.split(p, r",\s*(?=(?:and|but|so|also)\b)")).otherwise(F.array(p))))
+    kept = F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: F.length(p) >= 6)
+    whole = F.array(F.trim(query))
+    return F.when((F.length(query) < least) | (F.size(kept) == 0), whole).otherwise(F.slice(F.array_distinct(kept), 1, most))
+
+
+def unwrapped(query: Column) -> Column:
+    """A question without channel tags, attachments and outer punctuation."""
+    bare = F.regexp_replace(F.regexp_replace(query, r"(?s)<(\w+)[^>]*>(.*?)</\1>", "$2"), r"\[(?:image|file|sticker)[^\]]*\]", "")
+    return F.regexp_replace(F.trim(bare), r"^[\s\p{Punct}]+|[\s\p{Punct}]+$", "")
+
+
+def unquoted(body: Column) -> Column:
+    return F.trim(F.regexp_replace(body, "[\"“«「『][^\"”»」』]*[\"”»」』]", ""))
+
+
+def expanded(query: Column, classes: dict[str, str]) -> Column:
+    """A question with the anchor words of the classes whose pattern it matches."""
+    return F.concat_ws(" ", query, *[F.when(query.rlike(pattern), F.lit(words)) for pattern, words in classes.items()])
+
+
+def contextual(query: Column, context: Column, most: int = 120) -> Column:
+    """An anaphoric question with the end of its context."""
+    refers = query.rlike(r"(?i)\b(it|that|this|they|them|he|she|then)\b") & (F.length(F.coalesce(context, F.lit(""))) > 0)
+    return F.when(refers, F.concat_ws(" ", query, F.substring(context, F.greatest(F.lit(1), F.length(context) - most + 1), F.lit(most)))).otherwise(query)
+
+
+def context_terms(context: Column, tail: int = 360, most: int = 4) -> Column:
+    """The last distinct terms of a context that are no stop words."""
+    words = F.filter(tokens(F.substring(context, F.greatest(F.lit(1), F.length(context) - tail + 1), F.lit(tail))), lambda t: ~t.isin(*STOP_WORDS))
+    return F.reverse(F.slice(F.array_distinct(F.reverse(words)), 1, most))
+
+
+def concept(title_: Column, tags: Column, body: Column) -> Column:
+    """A word for a record: of its title, else its first domain tag, else its
+    first long word."""
+    tag = F.get(F.transform(F.filter(tags, lambda t: t.startswith("domain:")), lambda t: F.substring_index(t, ":", -1)), F.lit(0))
+    named = F.regexp_extract(title_, "《([^》]{1,40})》", 1)
+    return F.coalesce(F.when(named != "", named), tag, F.get(F.filter(tokens(body), lambda t: F.length(t) >= 4), F.lit(0)))
+
+
+def variants(query: Column, context: Column) -> Column:
+    """A question alone and with its context, distinct in 500 characters."""
+    return F.array_distinct(F.transform(F.array(query, F.concat_ws(" ", context, query)), lambda t: F.substring(F.trim(t), 1, 500)))

@@ -144,3 +144,39 @@ def consolidated_pairs(hits: DataFrame, weight: float = 0.15, most: int = 30) ->
     best = hits.groupBy("memory_id").agg(F.sum("score").alias("score")).orderBy(F.desc("score"), "memory_id").limit(most)
     a, b = best.select(F.col("memory_id").alias("source_id")), best.select(F.col("memory_id").alias("target_id"))
     return a.join(b, F.col("source_id") < F.col("target_id")).withColumn("weight", F.lit(weight))
+
+
+def classified_legacy(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of one old table split into flow and semantic ones, and those that
+    neither family takes (which must be none)."""
+    role = canonical_role("edge_type")
+    flow = edges.where(F.col("edge_type").isin("lateral", "temporal"))
+    semantic = edges.withColumn("role", role).where(F.col("role").isNotNull())
+    rest = edges.where(~F.col("edge_type").isin("lateral", "temporal") & role.isNull())
+    return flow, semantic, rest
+
+
+def failures_recorded(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Failure rows by parent with attempts added up and the last error kept."""
+    both = old.select("parent_id", "attempts", "error", "failed_at").unionByName(new.select("parent_id", "attempts", "error", "failed_at"))
+    return both.groupBy("parent_id").agg(F.sum("attempts").alias("attempts"), F.max_by("error", "failed_at").alias("error"), F.max("failed_at").alias("failed_at"))
+
+
+def untagged(memories: DataFrame, limit: int = 200) -> DataFrame:
+    return memories.where(F.size("tags") == 0).orderBy(F.desc("ts"), "memory_id").limit(limit)
+
+
+def tags_valid(tags: Column, vocabulary: Column) -> Column:
+    """3 to 5 known tags that cover the axes state, domain and kind."""
+    axes = F.array_distinct(F.transform(tags, lambda t: F.substring_index(t, ":", 1)))
+    needed = F.array(F.lit("state"), F.lit("domain"), F.lit("kind"))
+    return F.size(tags).between(3, 5) & (F.size(F.array_except(tags, vocabulary)) == 0) & (F.size(F.array_except(needed, axes)) == 0)
+
+
+def run_marked(runs: DataFrame, run_id: str, status: str, count: int, now: Column) -> DataFrame:
+    row = runs.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(status).alias("status"), F.lit(count).alias("count"), now.alias("at"))
+    return upserted(runs, row, "run_id")
+
+
+def tiers_repaired(memories: DataFrame) -> DataFrame:
+    return memories.withColumn("tier", F.when(F.col("tier").isin("core", "long", "short"), F.col("tier")).otherwise("long"))

@@ -93,3 +93,34 @@ def rendered(rows: DataFrame, title: str, *columns: str) -> str:
 
 def sizes(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("human", signals.human_bytes(F.col(column)))
+
+
+def job_status(runs: DataFrame, expected: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Every expected job with its last run, and whether that is recent and
+    good; ``all_recent`` is the same on every row."""
+    last = runs.groupBy("job").agg(F.max(F.struct("at", "ok")).alias("last"))
+    joined = expected.select("job").join(last, "job", "left")
+    good = F.coalesce((F.col("last.at") >= now - F.expr(f"interval {hours} hours")) & F.col("last.ok"), F.lit(False))
+    return joined.select("job", F.col("last.at").alias("at"), good.alias("recent")).withColumn("all_recent", F.bool_and("recent").over(Window.partitionBy(F.lit(0))))
+
+
+def group_payloads(groups: DataFrame, memories: DataFrame, prior: DataFrame) -> DataFrame:
+    """Nested rows of candidate groups ``(group_id, members)``: their records in
+    time order, the days they span, and what a review said before."""
+    each = groups.select("group_id", F.explode("members").alias("memory_id")).join(memories.select("memory_id", "ts", "level"), "memory_id")
+    built = each.groupBy("group_id").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "memory_id", "level"))).alias("records"), F.date_diff(F.max("ts"), F.min("ts")).alias("span_days")
+    )
+    return built.join(prior.select("group_id", "status"), "group_id", "left")
+
+
+def seeds(memories: DataFrame, since=None, ids: DataFrame | None = None) -> DataFrame:
+    """Records to start a run from: those named, else those since a mark."""
+    if ids is not None:
+        return memories.join(ids, "memory_id", "left_semi")
+    return memories if since is None else memories.where(F.col("ts") >= since)
+
+
+def day_differences(labels: Column, today: Column) -> Column:
+    """Days since each date of a map label -> ISO date."""
+    return F.transform_values(labels, lambda _, d: F.date_diff(today, d.cast("date")))
