@@ -139,18 +139,18 @@ def c02_cross_level_edges(spark, sf_dir):
 
 
 @query(sql("""SELECT a, b, similarity, round(0.12 + greatest(0.0, least(1.0, (similarity - 0.82) / 0.18)) * 0.12, 6) AS weight FROM (
-  SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id < 100) p
-  JOIN memories s ON s.memory_id = a JOIN memories t ON t.memory_id = b WHERE similarity >= 0.3 AND s.collection <> 'library' AND t.collection <> 'library'
+  SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id % 50 = 0) p
+  JOIN memories s ON s.memory_id = a JOIN memories t ON t.memory_id = b WHERE similarity >= 0.1 AND s.collection <> 'library' AND t.collection <> 'library'
   AND ((s.level = t.level AND s.level <> 'cognition') OR (s.level = 'cognition' AND t.level IN ('raw', 'understanding')))
   AND NOT EXISTS (FROM semantic f WHERE least(f.source_id, f.target_id) = least(a, b) AND greatest(f.source_id, f.target_id) = greatest(a, b))
   AND coalesce((SELECT degree FROM deg WHERE deg.memory_id = a), 0) < 12 AND coalesce((SELECT degree FROM deg WHERE deg.memory_id = b), 0) < 12
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 2""",
            "deg AS (SELECT memory_id, count(DISTINCT other) AS degree FROM (SELECT source_id AS memory_id, target_id AS other FROM semantic UNION ALL SELECT target_id, source_id FROM semantic) GROUP BY 1)"))
 def j20_link_proposals(spark, sf_dir):
-    """The hundred vectors numbered first ask for links within their label."""
+    """Every vector whose id is divisible by 50 asks for links within its label."""
     v = T.vectors(spark, sf_dir)
-    x, y = v.where("vec_id < 100").alias("x"), v.alias("y")
+    x, y = v.where("vec_id % 50 = 0").alias("x"), v.alias("y")
     pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") != F.col("y.vec_id"))).select(
         F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), F.round(cosine(F.col("x.embedding"), F.col("y.embedding")), 6).alias("similarity")
     )
-    return graph.link_proposals(pairs, T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir), least=0.3).select("a", "b", "similarity", "weight")
+    return graph.link_proposals(pairs, T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir), least=0.1).select("a", "b", "similarity", "weight")

@@ -149,10 +149,11 @@ def i35_question_router(spark, sf_dir):
     return plan.select("conv_id", "turn", known.alias("class"))
 
 
-@query(sql("SELECT query_id, CASE WHEN now >= 0.1 AND now - coalesce(rest, 0) >= 0.05 THEN 'none' ELSE 'full' END AS decision FROM (SELECT v.vec_id AS query_id, max(c) FILTER (p.label = 0) AS now, max(c) FILTER (p.label <> 0) AS rest FROM vectors v, LATERAL (SELECT label, round(list_cosine_similarity(v.embedding, embedding), 6) AS c FROM vectors WHERE vec_id < 10) p GROUP BY 1)"))
+@query(sql("SELECT query_id, CASE WHEN now >= 0.1 AND now - coalesce(rest, 0) >= 0.05 THEN 'none' ELSE 'full' END AS decision FROM (SELECT v.vec_id AS query_id, max(c) FILTER (p.label = 0) AS now, max(c) FILTER (p.label <> 0) AS rest FROM vectors v, LATERAL (SELECT label, round(list_cosine_similarity(v.embedding, embedding), 6) AS c FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) p GROUP BY 1)"))
 def i34_prototype_route(spark, sf_dir):
     v = T.vectors(spark, sf_dir)
-    prototypes = v.where("vec_id < 10").select(F.when(F.col("label") == 0, "immediate").otherwise("other").alias("class"), F.col("embedding").alias("p"))
+    first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    prototypes = first.select(F.when(F.col("label") == 0, "immediate").otherwise("other").alias("class"), F.col("embedding").alias("p"))
     pairs = v.crossJoin(F.broadcast(prototypes)).select(F.col("vec_id").alias("query_id"), "class", F.round(cosine("embedding", "p"), 6).alias("similarity"))
     return router.prototype_route(pairs, 0.1, 0.05)
 
