@@ -20,7 +20,9 @@ come first, repeated ones are ordered by text; an empty table writes no block.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,12 @@ from .common import written
 BASE = 49_408
 MOST_RULES = 65_536 - BASE
 #: Tokens a block, rounds of replacement, least uses of a rule.
-BLOCK, ROUNDS, LEAST = 1 << 20, 8, 8
-_TABLE = 20
+BLOCK, ROUNDS, LEAST = 1 << 19, 5, 8
+_TABLE = 19
 #: Words whose ids one process remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: The tokenizer of this process, kept between tasks with what it has learned.
+_OWN: dict[str, WordTokenizer] = {}
 
 
 def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,17 +114,28 @@ def _disjoint(at: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat expansions of all symbols in use: (flat, offset, length) by symbol.
-    A rule's sides come before it, so one pass builds all."""
+    """Flat expansions of all symbols: (flat, offset, length) by symbol. Rules
+    nest as deep as there were rounds, so a few passes over all of them do."""
     length = np.ones(BASE + len(rules), dtype=np.int64)
-    parts: list[np.ndarray] = []
-    of = lambda s: np.array([s], dtype=np.uint16) if s < BASE else parts[s - BASE]
-    for r, (a, b) in enumerate(rules.tolist()):
-        parts.append(np.concatenate([of(a), of(b)]))
-        length[BASE + r] = len(parts[-1])
+    while True:
+        longer = length[rules].sum(axis=1)
+        if (longer == length[BASE:]).all():
+            break
+        length[BASE:] = longer
+    sequence = rules.ravel().astype(np.int64)
+    while True:
+        nested = sequence >= BASE
+        if not nested.any():
+            break
+        sizes = np.where(nested, 2, 1)
+        at = np.cumsum(sizes) - sizes
+        wider = np.empty(int(sizes.sum()), dtype=np.int64)
+        wider[at] = np.where(nested, rules[np.where(nested, sequence - BASE, 0), 0], sequence)
+        wider[at[nested] + 1] = rules[sequence[nested] - BASE, 1]
+        sequence = wider
     offset = np.arange(BASE + len(rules), dtype=np.int64)
-    offset[BASE:] = BASE + np.cumsum(np.append(0, length[BASE:-1]))[: len(rules)]
-    return np.concatenate([np.arange(BASE, dtype=np.uint16), *parts]), offset, length
+    offset[BASE:] = BASE + np.cumsum(length[BASE:]) - length[BASE:]
+    return np.concatenate([np.arange(BASE, dtype=np.uint16), sequence.astype(np.uint16)]), offset, length
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -141,32 +156,66 @@ def document_ids(block: dict, which: int) -> np.ndarray:
 
 class WordTokenizer:
     """Ids of a text from its words: the vocabulary's pieces never cross white
-    space, so a word's ids do not depend on its neighbours."""
+    space, so a word's ids do not depend on its neighbours.
+
+    The library encodes each distinct word once. Letters and the marks after
+    them are separate pieces too, and case is folded, so ``Word.`` is taken from
+    ``word`` and ``.``; only letters up to U+00FF, which neither folding nor
+    normalisation lengthens, are treated so.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.roots: dict[str, bytes] = {}
+
+    def _root(self, word: str) -> tuple[str, str]:
+        core = word.rstrip(".,;:!?")
+        if core and core.isalpha() and max(core) <= "\u00ff":
+            return core.lower(), word[len(core) :]
+        return word, ""
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        for begin in range(0, len(words), 10_000):
-            part = words[begin : begin + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, dtype="<u2").tobytes()
+        if len(self.roots) > REMEMBERED * 3 // 2:
+            self.roots.clear()
+        parts = [(w, *self._root(w.decode())) for w in words]
+        roots = self.roots
+        new = list({p for _, root, marks in parts for p in (root, marks) if p and p not in roots})
+        for begin in range(0, len(new), 2_000):
+            some = new[begin : begin + 2_000]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                roots[piece] = array("H", got.ids).tobytes()
+        for word, root, marks in parts:
+            self.known[word] = roots[root] + roots[marks] if marks else roots[root]
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = set().union(*split)
-            self.learn(sorted(new))
-        last, known = np.array([end], dtype="<u2").tobytes(), self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)) + last, dtype="<u2") for words in split]
+        last, get = array("H", [end]).tobytes(), self.known.get
+        ids = [list(map(get, words)) for words in split]
+        missing = []
+        for found, words in zip(ids, split):
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                missing.append((found, at, words[at]))
+        if missing:
+            self.learn({w for _, _, w in missing})
+            for found, at, w in missing:
+                found[at] = self.known[w]
+        return [np.frombuffer(b"".join(found) + last, dtype=np.uint16) for found in ids]
+
+
+def own_tokenizer(path: str) -> WordTokenizer:
+    if path not in _OWN:
+        _OWN.clear()
+        _OWN[path] = WordTokenizer(path)
+    return _OWN[path]
 
 
 def write_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
@@ -174,7 +223,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, shard, block = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokens, shard, block = own_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         pending: list[np.ndarray] = []
         names: list = []
         held = 0
