@@ -19,11 +19,12 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
 #: Pieces and token pairs that one process remembers before it starts afresh.
@@ -41,20 +42,28 @@ def read_ranks(path: str) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids by piece, found when first asked for; only short pieces are kept."""
+    """Ids by piece, found when first asked for; only short pieces are kept.
+    When it is full the older half stays: common pieces come early."""
 
     def __init__(self, encode):
         self.encode = encode
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
-            self.clear()
+            self.shorten(REMEMBERED // 2)
         found = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= 64:
             self[piece] = found
         return found
 
 
+    def shorten(self, size: int) -> None:
+        if len(self) > size:
+            kept = list(islice(self.items(), size))
+            self.clear()
+            self.update(kept)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -137,10 +146,27 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._known.__getitem__, self.pieces(text))))
 
+    def trim(self, size: int) -> None:
+        """Forgets what was learned last, beyond ``size`` pieces."""
+        self._known.shorten(size)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: The codec of this process, kept between tasks with its commonest pieces.
+_OWN: dict[str, Codec] = {}
+KEPT_BETWEEN_TASKS = 100_000
+
+
+def own_codec(ranks: bytes, pattern: str) -> Codec:
+    name = xxhash.xxh3_128_hexdigest(ranks + pattern.encode())
+    if name not in _OWN:
+        _OWN.clear()
+        _OWN[name] = Codec(ranks, pattern)
+    return _OWN[name]
+
+
 def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row) -> DataFrame:
     """Applies ``row(codec, text) -> values`` to every text, in Arrow batches.
 
@@ -151,12 +177,13 @@ def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = own_codec(shared.value, pattern)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 rows = [row(codec, t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", *names])
+        codec.trim(KEPT_BETWEEN_TASKS)
 
     names = [f.split()[0] for f in schema.split(", ")]
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}

@@ -27,12 +27,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lineage cut that
-    survives the loss of any executor, and that later reads can prune."""
+    survives the loss of any executor, and that later reads can prune.
+
+    ``batch_rows`` bounds the rows that go to a Python worker at once while the
+    table is made, where rows are wide.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    if batch_rows is not None:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
+#: Languages up to which their counts are broadcast; beyond it they are joined.
+LANGUAGES = 10_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,6 +58,9 @@ def learn(docs: DataFrame, options: Learner = Learner()) -> dict[str, bytes]:
     )
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
     counts = train.groupBy("lang").count()
+    small = counts.limit(LANGUAGES + 1).collect()
+    if len(small) <= LANGUAGES:
+        counts = F.broadcast(docs.sparkSession.createDataFrame(small, counts.schema))
     few = train.withColumn("draw", draw).join(counts, "lang").where(
         F.col("draw") <= F.lit(float(1 << 30)) * 4 * options.documents / F.col("count")
     )

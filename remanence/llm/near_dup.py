@@ -45,7 +45,9 @@ BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 42, 6
 #: Similarity of a link, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK = 4096
+BLOCK = 2048
+#: Rows a Python worker gets at once: sets of long texts are wide.
+AT_ONCE = 500
 #: Single registers by which members of open buckets meet; shingles up to which
 #: sets are compared whole.
 PROBES, EXACT = 8, 512
@@ -280,7 +282,7 @@ class _Block:
         size = [len(x) for x in self.sets]
         tokens = np.concatenate(self.sets)
         order = np.argsort(tokens, kind="stable")
-        self.tokens, self.rows = tokens[order], np.repeat(np.arange(len(size)), size)[order]
+        self.tokens, self.rows = tokens[order], np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
 
     def common(self, k: int) -> np.ndarray:
         """Shared shingles of member k with every small member."""
@@ -368,7 +370,7 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
 def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     spark = docs.sparkSession
-    sketched = written(sketch(docs.select("doc_id", "text"), words), "sketches")
+    sketched = written(sketch(docs.select("doc_id", "text"), words), "sketches", 2000)
     nodes = written(
         sketched.where("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("root"), F.min("name").alias("name"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")
@@ -377,11 +379,11 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     )
     hubs = _bands(nodes).groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     shared = written(_bands(nodes).join(hubs, "key").select("key", "node", "hub"), "buckets")
-    sets = written(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("name", "node"), words), "sets")
+    sets = written(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("name", "node"), words), "sets", AT_ONCE)
     stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links")
+    edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links", AT_ONCE)
     labels = components(edges)
-    more = written(_confirmed(_across(shared.select("key", "node"), labels, nodes, sets), sets), "cross-links")
+    more = written(_confirmed(_across(shared.select("key", "node"), labels, nodes, sets), sets), "cross-links", AT_ONCE)
     if more.limit(1).count():
         removed(spark, labels)
         labels = components(edges.union(more))
