@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, written
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "sentence mark", "other")
@@ -123,24 +123,25 @@ def learn(docs: DataFrame, limits: Limits = Limits()) -> References:
         .mapInArrow(_count, "lang string, kind string, word string, n long")
         .groupBy("lang", "kind", "word").agg(F.sum("n").alias("n"))
     )
-    first = Window.partitionBy("lang", F.col("kind").isNull()).orderBy(F.desc("n"), "word")
-    totals = Window.partitionBy("lang", F.col("kind").isNull())
-    rows = (
-        counted.withColumn("rank", F.row_number().over(first)).withColumn("total", F.sum("n").over(totals))
-        .where((F.col("rank") <= limits.common_words) | F.col("kind").isNotNull()).collect()
-    )
-    kept = sorted({r["lang"] for r in rows if r["kind"] is None and r["total"] >= limits.reference_words})
+    counted = written(counted, "word-counts")
+    words_of = counted.where("kind IS NULL")
+    totals = {r["lang"]: r["n"] for r in words_of.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # A rank alone under its limit: every task keeps its own best before the shuffle.
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common_rows = words_of.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limits.common_words).collect()
+    class_rows = counted.where("kind IS NOT NULL").collect()
+    kept = sorted(lang for lang, n in totals.items() if n >= limits.reference_words)
     classes, words, shares = [], [], []
     for lang in kept:
         histogram = np.zeros(len(CLASSES))
-        for r in rows:
-            if r["lang"] == lang and r["kind"] is not None:
+        for r in class_rows:
+            if r["lang"] == lang:
                 histogram[int(r["kind"])] = r["n"]
-        common = sorted((r for r in rows if r["lang"] == lang and r["kind"] is None), key=lambda r: r["rank"])
+        common = sorted((r for r in common_rows if r["lang"] == lang), key=lambda r: r["rank"])
         seen = np.array([r["n"] for r in common], dtype=float)
         classes.append(histogram / histogram.sum())
         words.append({r["word"]: i for i, r in enumerate(common)})
-        shares.append(np.append(seen, common[0]["total"] - seen.sum()) / common[0]["total"])
+        shares.append(np.append(seen, totals[lang] - seen.sum()) / totals[lang])
     return References(tuple(kept), np.array(classes).reshape(-1, len(CLASSES)), tuple(words), tuple(shares))
 
 
