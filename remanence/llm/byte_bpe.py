@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Pieces and token pairs that one process remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: A vocabulary is broadcast; this bounds its file.
 LARGEST_FILE = 64 << 20
 
@@ -147,8 +147,10 @@ class Codec:
         return list(chain.from_iterable(map(self._known.__getitem__, self.pieces(text))))
 
     def trim(self, size: int) -> None:
-        """Forgets what was learned last, beyond ``size`` pieces."""
+        """Forgets what was learned last, beyond ``size`` pieces, and pairs."""
         self._known.shorten(size)
+        if len(self._fits) > size:
+            self._fits.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -156,7 +158,7 @@ class Codec:
 
 #: The codec of this process, kept between tasks with its commonest pieces.
 _OWN: dict[str, Codec] = {}
-KEPT_BETWEEN_TASKS = 100_000
+KEPT_BETWEEN_TASKS = 50_000
 
 
 def own_codec(ranks: bytes, pattern: str) -> Codec:
@@ -184,6 +186,7 @@ def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: str, row
                 rows = [row(codec, t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", *names])
         codec.trim(KEPT_BETWEEN_TASKS)
+        pa.default_memory_pool().release_unused()
 
     names = [f.split()[0] for f in schema.split(", ")]
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
