@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
-from ..operators import graph
+from ..operators import graph, proposals
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
@@ -147,10 +146,7 @@ def c02_cross_level_edges(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 2""",
            "deg AS (SELECT memory_id, count(DISTINCT other) AS degree FROM (SELECT source_id AS memory_id, target_id AS other FROM semantic UNION ALL SELECT target_id, source_id FROM semantic) GROUP BY 1)"))
 def j20_link_proposals(spark, sf_dir):
-    """Every vector whose id is divisible by 50 asks for links within its label."""
+    """Every vector whose id is divisible by 50 asks for links to all others."""
     v = T.vectors(spark, sf_dir)
-    x, y = v.where("vec_id % 50 = 0").alias("x"), v.alias("y")
-    pairs = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") != F.col("y.vec_id"))).select(
-        F.col("x.memory_id").alias("a"), F.col("y.memory_id").alias("b"), F.round(cosine(F.col("x.embedding"), F.col("y.embedding")), 6).alias("similarity")
-    )
+    pairs = proposals.alike_to(v.where("vec_id % 50 = 0"), v, "memory_id", 0.1)
     return graph.link_proposals(pairs, T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir), least=0.1).select("a", "b", "similarity", "weight")

@@ -22,7 +22,7 @@ ALIKE = "alike AS (SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_
 
 
 def _alike(spark, sf_dir, least):
-    return proposals.alike_pairs(T.vectors(spark, sf_dir), "memory_id", "label", least)
+    return proposals.alike_pairs(T.vectors(spark, sf_dir), "memory_id", least)
 
 
 @query(sql("SELECT a, b, similarity FROM alike WHERE similarity >= 0.3", ALIKE))
@@ -32,7 +32,11 @@ def c10_semantic_pairs(spark, sf_dir):
 
 @query()
 def c08_update_candidates(spark, sf_dir):
-    return proposals.update_candidates(_alike(spark, sf_dir, 0.2), T.memories(spark, sf_dir), T.flow_edges(spark, sf_dir), least=0.2, high=0.3)
+    """Only records of one domain are candidates, so only those are compared."""
+    m = T.memories(spark, sf_dir)
+    domains = m.select("memory_id", F.explode(F.array_distinct(F.filter("tags", lambda t: t.startswith("domain:")))).alias("domain"))
+    pairs = proposals.alike_pairs(T.vectors(spark, sf_dir).join(domains, "memory_id"), "memory_id", 0.2, within="domain").dropDuplicates(["a", "b"])
+    return proposals.update_candidates(pairs, m, T.flow_edges(spark, sf_dir), least=0.2, high=0.3)
 
 
 @query(sql("""SELECT a, b, similarity, 'up_' || substr(sha256('evokes|' || a || '|' || b), 1, 16) AS id FROM alike JOIN memories m ON m.memory_id = a JOIN memories n ON n.memory_id = b
