@@ -43,7 +43,11 @@ def c08_update_candidates(spark, sf_dir):
   WHERE similarity >= 0.2 AND m.collection <> 'library' AND n.collection = 'library' AND NOT EXISTS (FROM semantic WHERE source_id = a AND target_id = b)
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 2 ORDER BY similarity DESC, a, b LIMIT 40""", ALIKE))
 def c07_evokes_proposals(spark, sf_dir):
-    return proposals.evokes_proposals(_alike(spark, sf_dir, 0.2), T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir), least=0.2)
+    """Every record outside the library asks every library text."""
+    m, v = T.memories(spark, sf_dir), T.vectors(spark, sf_dir)
+    of = lambda condition: v.join(m.where(condition).select("memory_id"), "memory_id", "left_semi")
+    pairs = proposals.alike_to(of("collection <> 'library'"), of("collection = 'library'"), "memory_id", 0.2)
+    return proposals.evokes_proposals(pairs, m, T.semantic_edges(spark, sf_dir), least=0.2)
 
 
 @query(sql("""SELECT DISTINCT u.memory_id, r.memory_id AS raw FROM memories u JOIN memories r ON r.doc_id IN (u.doc_id + 5, u.doc_id + 6) AND r.level = 'raw' AND r.collection <> 'library' WHERE u.level = 'understanding'
@@ -84,7 +88,9 @@ def d15_review_queue(spark, sf_dir):
 @query(sql("""SELECT seed, member, array_to_string(list_sort(list(DISTINCT lane)), '+') AS lanes FROM (SELECT a AS seed, b AS member, 'semantic' AS lane FROM alike WHERE similarity >= 0.3 UNION ALL SELECT source_id, target_id, 'flow' FROM flow WHERE weight >= 0.4) GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count(DISTINCT lane) DESC, member) <= 24""", ALIKE))
 def j18_candidate_pools(spark, sf_dir):
-    semantic = _alike(spark, sf_dir, 0.3).select(F.col("a").alias("seed"), F.col("b").alias("member"), F.lit(0.0).alias("score"))
+    """Every record is a seed, so an alike pair offers each end to the other."""
+    v = T.vectors(spark, sf_dir)
+    semantic = proposals.alike_to(v, v, "memory_id", 0.3).select(F.col("a").alias("seed"), F.col("b").alias("member"), F.lit(0.0).alias("score"))
     flow = T.flow_edges(spark, sf_dir).where("weight >= 0.4").select(F.col("source_id").alias("seed"), F.col("target_id").alias("member"), F.lit(0.0).alias("score"))
     return proposals.candidate_pools({"semantic": semantic, "flow": flow}).select("seed", "member", F.array_join("lanes", "+").alias("lanes"))
 

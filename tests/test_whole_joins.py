@@ -75,3 +75,26 @@ def test_clusters_and_links_cross_labels(spark, brute):
     known = pairs(brute, 0.1)
     assert all(known[r["a"], r["b"]] == pytest.approx(r["similarity"]) for r in links)
     assert any(label[r["a"]] != label[r["b"]] for r in links)
+
+
+def test_evokes_asks_library_texts_of_any_id(spark, brute):
+    m = {r["memory_id"]: r["collection"] for r in T.memories(spark, SF).collect()}
+    known = {(r["source_id"], r["target_id"]) for r in T.semantic_edges(spark, SF).collect()}
+    found: dict = {}
+    for (a, b), s in pairs(brute, 0.2).items():
+        if m.get(a, "library") != "library" and m.get(b) == "library" and (a, b) not in known:
+            found.setdefault(a, []).append((-s, b))
+    best = sorted((s, a, b) for a, some in found.items() for s, b in sorted(some)[:2])[:40]
+    got = sorted((-r["similarity"], r["a"], r["b"]) for r in catalog.queries()["c07_evokes_proposals"](spark, SF).collect())
+    assert got == best and any(b < a for _, a, b in got)
+
+
+def test_pools_have_members_of_any_id(spark, brute):
+    lanes: dict = {}
+    for a, b in pairs(brute, 0.3):
+        lanes.setdefault(a, {}).setdefault(b, set()).add("semantic")
+    for r in T.flow_edges(spark, SF).where("weight >= 0.4").collect():
+        lanes.setdefault(r["source_id"], {}).setdefault(r["target_id"], set()).add("flow")
+    wanted = {(a, b, "+".join(sorted(some[b]))) for a, some in lanes.items() for b in sorted(some, key=lambda b: (-len(some[b]), b))[:24]}
+    assert {tuple(r) for r in catalog.queries()["j18_candidate_pools"](spark, SF).collect()} == wanted
+    assert any(b < a and "semantic" in lane for a, b, lane in wanted)
