@@ -161,6 +161,21 @@ def test_token_file_round_trip(name, request):
     assert sorted(map(str, got)) == sorted(map(str, wanted))
 
 
+def test_special_tokens_in_texts_have_their_ids(spark):
+    import numpy as np
+
+    texts = ["hi <|endoftext|> there", "a<|startoftext|>b.", "<|startoftext|><|endoftext|>", "plain words", "Word.<|endoftext|>, <|ENDOFTEXT|> <|end oftext|>"]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, start, wanted = Tokenizer.from_file(path), 0, []
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        wanted.append((i, start, len(ids), zlib.crc32(ids)))
+        start += len(ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in token_store.round_trip(docs, path).collect()) == wanted
+    assert token_store.WordTokenizer(path).encode(texts[:1], 2)[0].tolist() == [1883, 49407, 997, 2]
+
+
 def test_grammar_is_lossless_and_random_access():
     import numpy as np
 
