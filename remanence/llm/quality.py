@@ -3,7 +3,8 @@
 Every language has two references, learned from all its documents: a histogram
 of character classes and one of its most common words. A document is compared
 with the references by Jensen-Shannon distance (base 2, so 0 to 1); it fails if
-even its nearest reference is too far. Short documents have noisy histograms,
+even its nearest reference is too far, for words also if it is hardly nearer
+than a text without any common word would be. Short documents have noisy histograms,
 so each test has a least length below which it abstains.
 
 Defined results: a null or empty text has no words and fails the base rule; with
@@ -38,6 +39,8 @@ class Limits:
     class_distance: float = 0.30
     class_chars: int = 200
     word_distance: float = 0.45
+    #: Share of the distance that a text without common words has from a reference.
+    word_ceiling: float = 0.90
     word_words: int = 100
     #: Words below which a language is no reference.
     reference_words: int = 2000
@@ -91,6 +94,8 @@ class References:
     classes: np.ndarray
     words: tuple[dict[str, int], ...]
     shares: tuple[np.ndarray, ...]
+    #: Distance of a text without common words.
+    ceilings: tuple[float, ...]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +147,8 @@ def learn(docs: DataFrame, limits: Limits = Limits()) -> References:
         classes.append(histogram / histogram.sum())
         words.append({r["word"]: i for i, r in enumerate(common)})
         shares.append(np.append(seen, totals[lang] - seen.sum()) / totals[lang])
-    return References(tuple(kept), np.array(classes).reshape(-1, len(CLASSES)), tuple(words), tuple(shares))
+    ceilings = tuple(float(distances(np.eye(len(s))[-1], s[None, :])[0]) for s in shares)
+    return References(tuple(kept), np.array(classes).reshape(-1, len(CLASSES)), tuple(words), tuple(shares), ceilings)
 
 
 def repeated_words(words: list) -> int:
@@ -169,19 +175,22 @@ def measure(text: str | None, references: References, limits: Limits) -> tuple:
     repeated = repeated_words(words)
     failed = n < limits.least_words or 100 * repeated > limits.most_repeated * n
     class_far = word_far = None
+    word_near = True
     if references.languages and n:
         if len(text) >= limits.class_chars:
             class_far = float(distances(class_histogram(text), references.classes).min())
         if n >= limits.word_words:
             seen = Counter(text.lower().encode("utf-8", "surrogatepass").split())
-            word_far = 1.0
-            for common, share in zip(references.words, references.shares):
+            word_far, word_near = 1.0, False
+            for common, share, ceiling in zip(references.words, references.shares, references.ceilings):
                 own = np.zeros(len(share))
                 for w, i in common.items():
                     own[i] = seen.get(w.encode(), 0)
                 own[-1] = n - own.sum()
-                word_far = min(word_far, float(distances(own, share[None, :])[0]))
-    kept = not failed and (class_far or 0) <= limits.class_distance and (word_far or 0) <= limits.word_distance
+                far = float(distances(own, share[None, :])[0])
+                word_far = min(word_far, far)
+                word_near |= far <= min(limits.word_distance, limits.word_ceiling * ceiling)
+    kept = not failed and (class_far or 0) <= limits.class_distance and word_near
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, failed, kept, class_far, word_far
 
 

@@ -107,6 +107,19 @@ def test_quality_tells_junk_from_prose(spark, corpus):
     assert all(r["kept"] or r["base_failed"] for r in rows if r["doc_id"] < 160)
 
 
+def test_quality_needs_common_words(spark):
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(3)
+    letters = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(5, 9)))
+    junk = spark.createDataFrame([(10_000 + i, " ".join(letters() for _ in range(500)), "en") for i in range(5)], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in quality.judge(docs.union(junk)).collect()}
+    assert all(not rows[i]["base_failed"] and rows[i]["class_distance"] <= 0.3 and not rows[i]["kept"] for i in range(10_000, 10_005))
+    good = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").collect()}
+    assert all(rows[i]["kept"] or rows[i]["base_failed"] for i in good)
+
+
 def test_quality_of_nothing(nothing):
     assert quality.judge(nothing).collect() == []
 
