@@ -111,8 +111,7 @@ def j25_repair_targets(spark, sf_dir):
 def j26_removable_pairs(spark, sf_dir):
     e = T.flow_edges(spark, sf_dir)
     weak = graph.machine_pairs(e, F.expr("timestamp_ntz'1998-06-01 00:00:00'"))
-    weakest = weak.orderBy("weight", "fired", "a", "b").limit(2000)
-    return proposals.removable_pairs(weakest.select("a", "b", "weight", "fired"), graph.degree(e))
+    return proposals.removable_pairs(weak.select("a", "b", "weight", "fired"), graph.degree(e))
 
 
 def _chunks(spark, sf_dir):
