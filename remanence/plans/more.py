@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import router, text
@@ -65,9 +66,14 @@ GROUPS = "groups AS (SELECT label AS group_id, list(memory_id) AS members FROM (
 
 
 def _groups(spark, sf_dir):
-    v = T.vectors(spark, sf_dir).withColumnRenamed("label", "query_id")
-    first = search.top(v, "query_id", [F.asc("vec_id")], 5)
-    return first.groupBy(F.col("query_id").alias("group_id")).agg(F.collect_list("memory_id").alias("members"))
+    """Consecutive runs of five vectors of a label, named by their first; a
+    single one that is left over joins the run before it."""
+    v = T.vectors(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = F.count("*").over(Window.partitionBy("label"))
+    last = F.greatest(F.lit(0), F.floor((rows - 2) / 5))
+    runs = v.select("label", "vec_id", "memory_id", F.least(F.floor(place / 5), last).alias("run"))
+    return runs.groupBy("label", "run").agg(F.min("vec_id").alias("group_id"), F.collect_list("memory_id").alias("members")).select("group_id", "members")
 
 
 @query(sql("""SELECT group_id, round(min(c), 6) AS least, round(avg(c), 6) AS mean, count(*) AS pairs FROM (SELECT group_id, list_cosine_similarity(x.embedding, y.embedding) AS c FROM
