@@ -23,7 +23,7 @@ smaller vec_id. An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -169,7 +169,8 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
             mine, names = v[~asks], ids[~asks]
             turned = np.asfortranarray(mine @ shared.value.rotation)
             for q, qid in zip(v[asks], ids[asks]):
-                some = scan(q @ shared.value.rotation, turned, o)
+                # The query itself, if it is in this list, is one more to keep.
+                some = scan(q @ shared.value.rotation, turned, replace(o, nearest=o.nearest + 1) if (names == qid).any() else o)
                 some = some[names[some] != qid]
                 apart = np.sqrt(((mine[some] - q) ** 2).sum(1))
                 best = np.lexsort((names[some], apart))[: o.nearest]

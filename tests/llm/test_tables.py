@@ -79,6 +79,16 @@ def test_nearest_of_few_or_none(spark):
     assert ann.search(few.where("false"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_nearest_of_a_small_list_are_ten(spark):
+    """The ten nearest come first in the list, with the query among them."""
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(11, 8)) / 100, rng.normal(size=(39, 8)) + 50])
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>").coalesce(1)
+    o = ann.Options(most_lists=1)
+    rows = ann.search(table, F.col("vec_id") == 0, o=o).collect()
+    assert sorted(r["vec_id"] for r in rows) == list(range(1, 11))
+
+
 def test_pipeline_stages(spark):
     """Each stage keeps the columns, and its decision holds for every row."""
     docs = documents(spark, "/root/testdata/sf0.001")
