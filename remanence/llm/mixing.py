@@ -8,9 +8,9 @@ words each pattern gives to each source; documents are then taken in a seeded
 order until those words are reached.
 
 Scale: the driver sees one row per pattern, never per document. The seeded
-order needs no global sort: documents fall in hash buckets, bucket totals are
-summed first, and only the one bucket per pattern in which a quota ends is
-ordered document by document.
+order needs no global sort: sizes are summed by the leading bits of the draw,
+and only the narrow range per pattern in which a quota ends is ordered document
+by document. Texts are counted where they lie and never shuffled.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is
 a source of its own and comes last; repeated rows are documents of their own;
@@ -27,11 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, written
-
-#: Hash buckets in which a pattern's documents are ordered.
-BUCKETS = 8192
-
+from .common import WORD, removed, written
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -133,24 +129,25 @@ def route(patterns: dict[tuple, int], targets: dict, repeats: int) -> dict[tuple
 def mix(docs: DataFrame, key: str, members: str, size: str, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 20240607) -> DataFrame:
     """Adds to each row of ``docs`` what the mix takes of it.
 
-    ``members``: array of the sources a document belongs to; ``size``: its
-    words. Returns ``row`` (a struct of all of ``docs``' columns, so no name can
-    clash), ``source_size`` and ``target`` (of the first member) and ``taken``, the
-    words taken with repeats counted; the document in which a quota ends gives
-    only the words still wanted. Sources, ordered by code point with null last,
-    weigh ``weights``, repeating. Reruns with one seed agree.
-
-    The number of patterns is bounded by the sources' overlaps, which are
-    metadata; they are the only rows that reach the driver.
+    ``members``: array of the sources a document belongs to, in any order and
+    with repeats; ``size``: its words. Returns ``row`` (a struct of all of
+    ``docs``' columns, so no name can clash), ``source_size`` and ``target`` (of the
+    first member by code point) and ``taken``, the words taken with repeats
+    counted; the document in which a quota ends gives only the words still
+    wanted. Rows with one draw and size that meet a quota's end share what is
+    wanted evenly. Sources, ordered by code point with null last, weigh
+    ``weights``, repeating. Reruns with one seed agree.
+
+    Only ids, sizes and patterns are aggregated: whole rows are never shuffled
+    or sorted, the last step adds a column to each where it is. The driver holds
+    one row per pattern, the overlaps of sources in metadata, and the same rows
+    are what is broadcast.
     """
-    spark = docs.sparkSession
-    base = docs.select(
-        F.struct(*docs.columns).alias("__row"), F.col(key).alias("__key"), F.coalesce(F.col(members), F.array().cast(docs.schema[members].dataType)).alias("__members"), F.col(size).alias("__size"),
-        F.xxhash64(F.lit(seed), F.col(key)).alias("__draw"),
-    ).withColumn("__bucket", F.pmod("__draw", F.lit(BUCKETS)))
-    totals = base.groupBy("__members", "__bucket").agg(F.sum("__size").alias("words"))
-    totals = written(totals, "mix-buckets")
-    patterns = {tuple(r["__members"]): r["words"] for r in totals.groupBy("__members").agg(F.sum("words").alias("words")).collect()}
+    spark, kind = docs.sparkSession, docs.schema[members].dataType
+    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast(kind))))
+    draw = F.xxhash64(F.lit(seed), F.col(key), F.col(size))
+    slim = written(docs.select(pattern.alias("m"), draw.alias("draw"), F.col(size).alias("size")), "mix-sizes")
+    patterns = {tuple(r["m"]): r["words"] for r in slim.groupBy("m").agg(F.sum("size").alias("words")).collect()}
     sizes: dict = {}
     for m, words in patterns.items():
         for s in m:
@@ -160,43 +157,61 @@ def mix(docs: DataFrame, key: str, members: str, size: str, weights: Sequence[fl
     shares = target_shares([sizes[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], share * whole / max(1, sum(sizes.values())), repeats)
     targets = dict(zip(names, shares))
     routed = route(patterns, targets, repeats)
-    kind = docs.schema[members].dataType
-    rows = []
+    plan = {}
     for m, words in patterns.items():
         given = sum(routed[m].values())
         turns, rest = divmod(given, words) if words else (0, 0)
-        first = m[0] if m else None
-        rows.append((list(m), int(turns), int(rest), int(sizes.get(first, 0)), float(targets.get(first, 0.0))))
-    plan = spark.createDataFrame(rows, T.StructType([
-        T.StructField("__members", kind), T.StructField("turns", T.LongType()), T.StructField("rest", T.LongType()),
-        T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
+        plan[m] = (int(turns), int(rest), int(sizes.get(m[0], 0)) if m else 0, float(targets.get(m[0], 0.0)) if m else 0.0)
+    ends = _quota_ends(slim, {m: p[1] for m, p in plan.items()}, kind)
+    removed(spark, slim)
+    rows = [(list(m), *p, *ends.get(m, (None, None, None))) for m, p in plan.items()]
+    table = spark.createDataFrame(rows, T.StructType([
+        T.StructField("__m", kind), T.StructField("turns", T.LongType()), T.StructField("rest", T.LongType()), T.StructField("source_size", T.LongType()),
+        T.StructField("target", T.DoubleType()), T.StructField("end_draw", T.LongType()), T.StructField("end_size", T.LongType()), T.StructField("end_gives", T.LongType()),
     ]))
-    ordered = Window.partitionBy("__members").orderBy("__bucket")
-    edge = (
-        totals.withColumn("before", F.sum("words").over(ordered) - F.col("words"))
-        .join(F.broadcast(plan) if len(rows) <= 10_000 else plan, "__members")
-        .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        .select("__members", F.col("__bucket").alias("edge"), (F.col("rest") - F.col("before")).alias("wanted"))
-    )
-    plan = written(plan.join(edge, "__members", "left"), "mix-plan")
-    dealt = base.join(F.broadcast(plan) if len(rows) <= 10_000 else plan, "__members")
-    whole_docs = dealt.where("edge IS NULL OR __bucket <> edge").withColumn(
-        "extra", F.when(F.col("__bucket") < F.col("edge"), F.col("__size")).otherwise(F.lit(0))
-    )
-    running = Window.partitionBy("__members").orderBy("__draw", "__key", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = dealt.where("__bucket = edge").withColumn("upto", F.sum("__size").over(running)).withColumn(
-        "extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("wanted") - (F.col("upto") - F.col("__size"))))
-    ).drop("upto")
-    return whole_docs.unionByName(cut).select(
-        F.col("__row").alias("row"), "source_size", "target",
-        (F.col("__size") * F.col("turns") + F.col("extra")).cast("long").alias("taken"),
+    base = docs.select(F.struct(*docs.columns).alias("row"), pattern.alias("__m"), draw.alias("__draw"), F.col(size).alias("__size"))
+    before = (F.col("__draw") < F.col("end_draw")) | ((F.col("__draw") == F.col("end_draw")) & (F.col("__size") < F.col("end_size")))
+    at_end = (F.col("__draw") == F.col("end_draw")) & (F.col("__size") == F.col("end_size"))
+    extra = F.when(before, F.col("__size")).when(at_end, F.col("end_gives")).otherwise(F.lit(0))
+    return base.join(F.broadcast(table), "__m").select("row", "source_size", "target", (F.col("__size") * F.col("turns") + extra).cast("long").alias("taken"))
+
+
+def _quota_ends(slim: DataFrame, rest: dict[tuple, int], kind: T.DataType) -> dict[tuple, tuple]:
+    """Where each pattern's quota ends in the seeded order: draw, size, and the
+    words that each row there gives.
+
+    The order is searched in three steps, each summing what is left by the next
+    bits of the draw, so the last one orders a 2^26th part of the documents.
+    """
+    schema = T.StructType([T.StructField("m", kind), T.StructField("wanted", T.LongType())])
+    edge = slim.sparkSession.createDataFrame([(list(m), n) for m, n in rest.items() if n > 0], schema)
+    left, known = slim, ["m"]
+    for step in (1, 2):
+        left = left.join(F.broadcast(edge.drop("wanted")), known) if step > 1 else left
+        left = left.withColumn(f"p{step}", F.shiftright("draw", 64 - 13 * step))
+        sums = left.groupBy(*known, f"p{step}").agg(F.sum("size").alias("words"))
+        edge = _crossed(sums, edge, known, [f"p{step}"]).select(*known, f"p{step}", "wanted")
+        known = [*known, f"p{step}"]
+    last = left.join(F.broadcast(edge.drop("wanted")), known).groupBy(*known, "draw", "size").agg(F.sum("size").alias("words"), F.count("*").alias("ties"))
+    found = _crossed(last, edge, known, ["draw", "size"])
+    return {tuple(r["m"]): (r["draw"], r["size"], r["wanted"] // r["ties"]) for r in found.collect()}
+
+
+def _crossed(sums: DataFrame, edge: DataFrame, known: list[str], order: list[str]) -> DataFrame:
+    """The one row of ``sums`` in each group in which ``edge``'s wanted words are
+    reached; ``wanted`` becomes what is still wanted there."""
+    running = Window.partitionBy(*known).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        sums.withColumn("before", F.sum("words").over(running) - F.col("words")).join(F.broadcast(edge), known)
+        .where((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("words")))
+        .withColumn("wanted", F.col("wanted") - F.col("before"))
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every document,
     each belonging to the one source that its row names."""
-    sized = written(docs.select("doc_id", F.array("source").alias("members"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = docs.select("doc_id", F.array("source").alias("members"), word_count(F.col("text")).alias("size"))
     return mix(sized, "doc_id", "members", "size", **options).select(
         "row.doc_id", F.col("row.members")[0].alias("source"), "row.size", "source_size", "target", "taken"
     )

@@ -75,6 +75,42 @@ def test_overlapping_sources_share_a_pattern(spark):
     assert sum(rows.values()) == 210 and rows[3] <= 20 and rows[2] <= 200
 
 
+def test_patterns_are_sets(spark):
+    docs = spark.createDataFrame([(1, ["b", "a"], 10), (2, ["a", "b", "a"], 10), (3, ["a", "b"], 10), (4, None, 7), (5, [], 7)], "id long, members array<string>, size long")
+    rows = mixing.mix(docs, "id", "members", "size").collect()
+    assert {r["source_size"] for r in rows if r["row"]["id"] < 4} == {30} and {r["taken"] for r in rows if r["row"]["id"] > 3} == {0}
+
+
+def test_route_is_the_cheapest_flow():
+    """Against every way of dealing small patterns to quotas."""
+    from itertools import product
+
+    patterns, targets = {("a",): 3, ("a", "b"): 4, ("b",): 2}, {"a": 7.0, "b": 6.0}
+    given = mixing.route(patterns, targets, 2)
+
+    def cost(use):
+        return sum(max(0, u - n) for u, n in zip(use, patterns.values()))
+
+    best = None
+    for a, ab, ba, b in product(range(7), range(9), range(9), range(5)):
+        if ab + ba <= 8 and a + ab <= 7 and ba + b <= 6:
+            found = (-(a + ab + ba + b), cost((a, ab + ba, b)))
+            best = min(best or found, found)
+    use = [sum(given[m].values()) for m in patterns]
+    assert (-sum(use), cost(use)) == best
+    assert sum(given[m].get("a", 0) for m in patterns) <= 7 and sum(given[m].get("b", 0) for m in patterns) <= 6
+
+
+def test_hot_ties_meet_the_target(spark):
+    """Many rows with one id and size, so one draw."""
+    docs = spark.createDataFrame([(1, "w " * 5, "hot")] * 100 + [(i, "w " * 9, "other") for i in range(2, 40)], "doc_id long, text string, source string")
+    taken = Counter()
+    rows = mixing.mix_documents(docs).collect()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    assert abs(taken["hot"] - [r["target"] for r in rows if r["source"] == "hot"][0]) < 100
+
+
 def test_mixture_keeps_columns(corpus, nothing):
     mixed = mixing.mixture(corpus)
     assert mixed.columns == corpus.columns and mixed.count() > corpus.count()
