@@ -11,12 +11,14 @@ what passes is confirmed on the full sets.
 Groups are linked without listing their pairs:
 
 1. Texts with one shingle set are one class, with the least doc_id.
-2. In every band bucket, classes are compared with the bucket's least class
-   only: as many comparisons as members.
-3. Confirmed links give components. Only members of buckets that still hold
-   several components are compared further, in square blocks of about ``BLOCK``
-   by ``BLOCK`` and only across components, so no link is lost and a large
-   group, which step 2 has joined, costs little here.
+2. Every class is compared with one other: of the least classes of its band
+   buckets, the one that it meets most often. Confirmed links give components.
+3. Buckets that still hold several components are searched in blocks, bounded in
+   members and in shingles. A block compares across components only, unites two
+   as soon as one link between them is confirmed on the full sets, and returns
+   that link alone: fewer rows than members. The bucket's largest component is
+   dealt out once; only the rest of the bucket meets all of its blocks. No link
+   between components is lost, as every pair meets in its first common bucket.
 
 Bands of 6 registers, 42 of them, miss a pair at similarity 0.8 with probability
 3e-6. Every stage's table is written to the shared folder, so lost executors
@@ -45,15 +47,14 @@ BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 42, 6
 #: Similarity of a link, as a fraction.
 NUMERATOR, DENOMINATOR = 80, 100
-BLOCK = 2048
+#: Members and shingles of one side of a block, on average.
+BLOCK, SHINGLES = 2048, 1 << 20
 #: Rows a Python worker gets at once: sets of long texts are wide.
-AT_ONCE = 500
-#: Single registers by which members of open buckets meet; shingles up to which
-#: sets are compared whole.
-PROBES, EXACT = 8, 512
+AT_ONCE = 200
 #: Standard errors by which an estimate may fall short before a pair is dropped.
 ERRORS = 5.0
-_KNOWN = 300_000
+#: Words whose hashes a process remembers.
+_KNOWN = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -178,9 +179,11 @@ def _bands(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(_signatures(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int8), batch.num_rows)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS))),
+                ], names=["key", "band", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node binary")
+    return nodes.select("node", "signature").mapInArrow(run, "key long, band byte, node binary")
 
 
 def _plausible_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -252,94 +255,90 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _profiles(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """What a node carries into a block: its whole set, as 32-bit hashes, up to
-    ``EXACT`` shingles; its registers, if it or a partner may be larger."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [
-                np.unique(np.frombuffer(h, dtype=np.uint64).astype(np.uint32)).tobytes() if n <= EXACT else None
-                for n, h in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())
-            ]
-            some = [s if DENOMINATOR * n >= NUMERATOR * EXACT else None for n, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(some, pa.binary()), pa.array(whole, pa.binary())], names=["node", "n", "registers", "whole"])
-
-    return nodes.join(sets, "node").select("node", "n_shingles", "signature", "hashes").mapInArrow(run, "node binary, n long, registers binary, whole binary")
-
-
 class _Block:
     """Members of two blocks of one bucket, searched row by row."""
 
     def __init__(self, rows: dict):
-        self.node = np.array(rows["node"], dtype=object)
-        self.label = np.unique(np.array(rows["label"], dtype=object), return_inverse=True)[1]
+        self.node = rows["node"]
+        self.label = np.unique(np.array([*rows["label"], None], dtype=object)[:-1], return_inverse=True)[1]
         self.n, self.own = np.array(rows["n"]), np.array(rows["own"])
-        self.i, self.j = rows["i"][0], rows["j"][0]
-        self.registers = [np.frombuffer(x, dtype=np.uint16) if x else None for x in rows["registers"]]
-        self.small = np.array([x is not None for x in rows["whole"]])
-        self.sets = [np.frombuffer(x, dtype=np.uint32) if x is not None else np.empty(0, np.uint32) for x in rows["whole"]]
-        size = [len(x) for x in self.sets]
-        tokens = np.concatenate(self.sets)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens, self.rows = tokens[order], np.repeat(np.arange(len(size), dtype=np.int32), size)[order]
-
-    def common(self, k: int) -> np.ndarray:
-        """Shared shingles of member k with every small member."""
-        lo = np.searchsorted(self.tokens, self.sets[k])
-        n = np.searchsorted(self.tokens, self.sets[k], side="right") - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.rows[at], minlength=len(self.node))
-
-    def pairs(self) -> tuple[list, list]:
+        self.square, self.band = rows["square"][0], rows["band"][0]
+        self.registers = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(-1, BUCKETS)
+        self.keys = band_keys(self.registers)
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["hashes"]]
+
+    def confirmed(self, k: int, some: np.ndarray) -> np.ndarray:
+        """Those of ``some`` whose full sets are linked with member k's."""
+        mine, good, begin = self.sets[k], [], 0
+        ends = np.cumsum(self.n[some])
+        while begin < len(some):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SHINGLES, side="right")))
+            part = some[begin:end]
+            tokens = np.concatenate([self.sets[m] for m in part])
+            same = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
+            shared = np.add.reduceat(same.astype(np.int64), np.cumsum(self.n[part]) - self.n[part])
+            good.append(part[DENOMINATOR * shared >= NUMERATOR * (self.n[part] + self.n[k] - shared)])
+            begin = end
+        return np.concatenate(good) if good else some
+
+    def links(self) -> tuple[list, list]:
+        """Confirmed links, one for each union of two components."""
         a, b = [], []
-        square = self.i == self.j
+        most = self.label == np.bincount(self.label).argmax()
         every = np.arange(len(self.node))
-        for k in every:
-            if not square and self.own[k] != self.i:
+        for k in np.flatnonzero(~most):
+            near = (self.label != self.label[k]) & (most | (every > k))
+            if not self.square:
+                near &= self.own != self.own[k]
+            near = np.flatnonzero(near & (DENOMINATOR * np.minimum(self.n, self.n[k]) >= NUMERATOR * np.maximum(self.n, self.n[k])))
+            near = near[(self.keys[near] == self.keys[k]).argmax(axis=1) == self.band] if len(near) else near
+            near = near[plausible(self.registers[k], self.registers[near], self.n[k], self.n[near])] if len(near) else near
+            if not len(near):
                 continue
-            near = (self.label != self.label[k]) & (DENOMINATOR * np.minimum(self.n, self.n[k]) >= NUMERATOR * np.maximum(self.n, self.n[k]))
-            near &= every > k if square else self.own == self.j
-            if not near.any():
-                continue
-            hit = np.empty(0, dtype=np.int64)
-            if self.small[k]:
-                both = np.flatnonzero(near & self.small)
-                if len(both):
-                    shared = self.common(k)[both]
-                    hit = both[DENOMINATOR * shared >= NUMERATOR * (self.n[both] + self.n[k] - shared)]
-                near &= ~self.small
-            large = np.flatnonzero(near)
-            if len(large):
-                some = np.stack([self.registers[x] for x in large])
-                hit = np.append(hit, large[plausible(self.registers[k], some, self.n[k], self.n[large])])
-            a += [self.node[k]] * len(hit)
-            b += self.node[hit].tolist()
+            # Of each component the best estimate first, which mostly settles it.
+            near = near[np.argsort(-estimate(self.registers[k], self.registers[near]), kind="stable")]
+            first = np.unique(self.label[near], return_index=True)[1]
+            for some in (near[first], np.delete(near, first)):
+                for m in self.confirmed(k, some[self.label[some] != self.label[k]]):
+                    if self.label[m] != self.label[k]:
+                        self.label[self.label == self.label[m]] = self.label[k]
+                        a.append(self.node[k])
+                        b.append(self.node[m])
         return a, b
 
 
 def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that may be linked.
-
-    Members of buckets with several components meet again in the buckets of
-    ``PROBES`` single registers, which two linked sets all miss with probability
-    3e-6, in blocks. Small sets are compared whole there, so nearly all pairs
-    that come out are links.
-    """
-    labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = written(labelled.join(open_, "key", "left_semi").select("node", "label").distinct(), "open-nodes")
-    register = [F.substring(F.col("signature"), 1 + 2 * (k * BUCKETS // PROBES), 2) for k in range(PROBES)]
-    probes = left.join(nodes.select("node", "signature"), "node").select(
-        "node", "label", F.posexplode(F.array(*register)).alias("place", "register")
-    ).select("node", "label", (F.conv(F.hex("register"), 16, 10).cast("long") * PROBES + F.col("place")).alias("key"))
-    several = probes.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    """Links ``a, b`` that join components within a bucket; see the module."""
+    labelled = shared.join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node").select(
+        "key", "node", "band", F.col("n_shingles").alias("n"), F.coalesce("label", "node").alias("label")
+    )
+    parts = written(labelled.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")), "bucket-parts")
+    most = F.max(F.struct("members", "label", "shingles"))
+    blocks = lambda members, shingles: F.ceil(F.greatest(members / BLOCK, shingles / SHINGLES)).cast("int")
+    open_ = (
+        parts.groupBy("key").agg(F.count("*").alias("parts"), most.alias("most"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).where("parts > 1")
+        .select(
+            "key", F.col("most.label").alias("major"), blocks(F.col("most.members"), F.col("most.shingles")).alias("majors"),
+            blocks(F.col("members") - F.col("most.members"), F.col("shingles") - F.col("most.shingles")).alias("minors"),
+        )
+    )
+    # Task (i, j): the minor block i with the major block j, or with the minor block j - majors.
+    is_major = F.col("label") == F.col("major")
+    own = F.when(is_major, F.pmod(F.hash("node"), "majors")).otherwise(F.pmod(F.hash("node"), "minors"))
+    task = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    as_major = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: task(i, F.col("own")))
+    as_minor = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: task(F.col("own"), j)),
+        F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: task(F.least("own", j), F.col("majors") + F.greatest("own", j))),
+    )
     members = (
-        probes.join(several.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key")
-        .withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-        .join(_profiles(nodes.join(left.select("node"), "node", "left_semi"), sets), "node")
+        labelled.join(open_, "key").withColumn("own", own)
+        .withColumn("task", F.explode(F.when(is_major, as_major).otherwise(as_minor)))
+        .select(
+            "key", "task.i", "task.j", (F.col("task.j") == F.col("majors") + F.col("task.i")).alias("square"),
+            F.when(is_major, F.col("own")).otherwise(F.col("majors") + F.col("own")).alias("own"), "band", "node", "label", "n",
+        )
+        .join(nodes.select("node", "signature"), "node").join(sets, "node")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,11 +359,10 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
             yield as_batch(held)
 
     def as_batch(rows: dict) -> pa.RecordBatch:
-        a, b = _Block(rows).pairs()
+        a, b = _Block(rows).links()
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    found = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def groups(docs: DataFrame, words: int = 2) -> DataFrame:
@@ -378,16 +376,17 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
         "nodes",
     )
     hubs = _bands(nodes).groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    shared = written(_bands(nodes).join(hubs, "key").select("key", "node", "hub"), "buckets")
+    shared = written(_bands(nodes).join(hubs, "key").select("key", "band", "node", "hub"), "buckets")
     sets = written(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("name", "node"), words), "sets", AT_ONCE)
-    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    stars = met.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
     edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links", AT_ONCE)
     labels = components(edges)
-    more = written(_confirmed(_across(shared.select("key", "node"), labels, nodes, sets), sets), "cross-links", AT_ONCE)
+    more = written(_across(shared.select("key", "band", "node"), labels, nodes, sets), "cross-links", AT_ONCE)
     if more.limit(1).count():
         removed(spark, labels)
         labels = components(edges.union(more))
-    removed(spark, shared, sets)
+    removed(spark, shared, sets, edges, more)
     roots = labels.join(nodes.select("node", "root"), "node")
     least = roots.groupBy("label").agg(F.min("root").alias("low"))
     grouped = roots.join(least, "label").select("node", "low")
@@ -401,6 +400,7 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
 
 def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
     """One document of each group, all columns of ``docs``. Rows that share a
-    doc_id are one document; rows with a null doc_id stay."""
+    doc_id are one document, the least of them; rows with a null doc_id stay."""
     kept = groups(docs, words).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.union(docs.where("doc_id IS NULL"))

@@ -57,6 +57,47 @@ def test_chain_and_ring_of_near_copies(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dup.groups(docs, 2).collect()), key=str) == brute(docs.collect(), 2)
 
 
+def test_blocks_return_fewer_links_than_members(spark, monkeypatch):
+    """A large group of near copies: small blocks, many components, one link a union."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "SHINGLES", 900)
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        words = [f"t{k}" for k in range(100)]
+        for k in rng.sample(range(100), rng.choice([1, 2, 9, 12])):
+            words[k] = f"m{i}x{k}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    real = near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: found.append(edges.count()) or real(edges))
+    assert sorted((tuple(r) for r in near_dup.groups(docs, 2).collect()), key=str) == brute(docs.collect(), 2)
+    assert found[0] <= 150
+
+
+def test_a_block_joins_what_it_links_once():
+    base = np.arange(100, dtype=np.uint64) << np.uint64(50)
+    sets = [np.sort(np.append(base[:95], np.arange(5, dtype=np.uint64) + np.uint64(100 * k + 7))) for k in range(30)]
+    ranks = near_dup._rank_table()
+    rows = {
+        "node": [bytes([k]) for k in range(30)], "label": [bytes([k]) for k in range(30)], "n": [100] * 30, "own": [0] * 30, "square": [True] * 30,
+        "signature": [near_dup.registers(s, ranks).tobytes() for s in sets], "hashes": [s.tobytes() for s in sets],
+    }
+    joined = set()
+    for band in range(near_dup.BANDS):
+        a, b = near_dup._Block(rows | {"band": [band] * 30}).links()
+        assert len(a) < 30
+        joined |= set(zip(a, b))
+    assert len({x for pair in joined for x in pair}) == 30
+
+
+def test_repeated_ids_keep_the_least_row(spark):
+    rows = [(1, "b text of one", "z"), (1, "a text of one", "y"), (1, "a text of one", "x"), (None, "q", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    assert sorted(map(str, (tuple(r) for r in near_dup.survivors(docs, 5).collect()))) == [str((1, "a text of one", "x")), str((None, "q", "r"))]
+
+
 def test_empty_table(nothing):
     assert near_dup.groups(nothing).collect() == []
 
