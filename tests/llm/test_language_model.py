@@ -52,13 +52,40 @@ def test_scores_agree_with_a_plain_model(name, request):
         assert g[6] == pytest.approx(w[6], abs=g[2] * 4e-4)
 
 
-def test_small_chunks_and_parts_change_nothing(corpus, monkeypatch):
-    before = order([tuple(r) for r in ngram_lm.score(corpus).collect()])
-    trie = NgramTrie.built(np.array([3], dtype=np.uint64), np.array([4]), np.array([0, 0, 0]), np.array([7, 7, 9], dtype=np.uint64), np.array([1, 2, 1]))
-    codes, mass = trie.lookup(np.array([3, 5], dtype=np.uint64), np.array([0, 0, 1, 0]), np.array([7, 9, 7, 8], dtype=np.uint64))
-    assert ngram_lm.restored(codes) == pytest.approx([2.25 / 4, 0.25 / 4, 0, 0], rel=1e-3)
-    assert ngram_lm.restored(mass) == pytest.approx([0.75 * 2 / 4, 0], rel=1e-3)
-    assert before
+@pytest.mark.parametrize("sizes", [ngram_lm.Sizes(300, 500, 40), ngram_lm.Sizes(2000, 100, 7)])
+def test_small_chunks_tries_and_split_contexts_change_nothing(corpus, sizes):
+    """Many chunks and tries, and frequent contexts dealt to several parts."""
+    wanted = order(brute(corpus.collect()))
+    got = order([tuple(r) for r in ngram_lm.score(corpus, sizes=sizes).collect()])
+    assert [r[:5] for r in got] == [r[:5] for r in wanted]
+    for g, w in zip(got, wanted):
+        assert g[5] == pytest.approx(w[5], abs=1e-6)
+        assert g[6] == pytest.approx(w[6], abs=g[2] * 1e-3)
+
+
+def test_no_table_stays_in_the_catalog(spark, corpus):
+    ngram_lm.score(corpus).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lm_")]
+
+
+def test_lookup_follows_pointers():
+    contexts = np.array([3, 5, 8, 9], dtype=np.uint64)
+    trie = NgramTrie.built(contexts, np.array([4, 0, 2, 9]), np.array([0, 0, 0, 2, 3, 3]), np.array([7, 7, 9, 1, 7, 8], dtype=np.uint64), np.array([1, 2, 1, 2, 4, 5]))
+    assert trie.pointers.at(np.arange(5)).tolist() == [0, 2, 2, 3, 5]
+    # ranks of the words 1, 7, 8, 9 are 0 to 3; each context goes on above the one before
+    assert trie.successors.at(np.arange(5)).tolist() == [1, 3, 4 + 0, 5 + 1, 5 + 2]
+    asked = np.array([3, 4, 5, 8, 9], dtype=np.uint64)
+    pairs = [(c, w) for c in range(5) for w in (1, 7, 8, 9, 2)]
+    codes, mass = trie.lookup(asked, np.array([c for c, _ in pairs]), np.array([w for _, w in pairs], dtype=np.uint64))
+    chances = {(0, 7): 2.25 / 4, (0, 9): 0.25 / 4, (3, 1): 1.25 / 2, (4, 7): 3.25 / 9, (4, 8): 4.25 / 9}
+    assert ngram_lm.restored(codes) == pytest.approx([chances.get(p, 0) for p in pairs], rel=1e-3)
+    assert ngram_lm.restored(mass) == pytest.approx([0.75 * 2 / 4, 0, 0, 0.75 / 2, 0.75 * 2 / 9], rel=1e-3)
+
+
+def test_levels_are_compact():
+    values = np.sort(np.random.default_rng(6).integers(0, 10**9, 100_000)).astype(np.uint64)
+    kept = sum(a.nbytes for a in EliasFano.coded(values).arrays())
+    assert kept * 8 / len(values) < np.log2(10**9 / len(values)) + 3
 
 
 def test_empty_table(nothing):
