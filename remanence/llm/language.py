@@ -6,8 +6,11 @@ a long text cannot become its own dictionary, and the language that leaves the
 fewest bytes wins. Where the runner-up is nearly as small the text is rejected:
 its language is still named, but ``rejected`` is true.
 
-Learning takes a bounded sample by design: ``Learner.documents`` texts a
-language, ``Learner.snippet`` characters of each. Prediction reads whole texts.
+Learning takes a bounded sample of labelled rows: ``Learner.documents`` whole
+texts a language, drawn by hash from those of at most ``Learner.usual``
+characters, and from longer ones only where a language has too few of these.
+Prediction reads whole texts. The driver holds a row and a sample per language;
+languages are labels, and each worker must hold a dictionary of each.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; so is every text if no language was learned. Equal sizes go to
@@ -17,7 +20,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,17 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Languages up to which their counts are broadcast; beyond it they are joined.
-LANGUAGES = 10_000
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass(frozen=True)
 class Learner:
     """Bounds of the training sample and of compression."""
 
     documents: int = 128
-    snippet: int = 800
+    #: Characters up to which texts are drawn first; no text is cut.
+    usual: int = 2000
     piece: int = 4096
     level: int = 6
     #: Least share of the runner-up's bytes that the winner must save.
@@ -55,24 +54,19 @@ def learn(docs: DataFrame, options: Learner = Learner()) -> dict[str, bytes]:
     """
     train = docs.select("doc_id", "text", "lang").where(
         (fold(F.col("doc_id"), options.folds) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
+    ).withColumn("long", F.length("text") > options.usual)
     draw = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30))
-    counts = train.groupBy("lang").count()
-    small = counts.limit(LANGUAGES + 1).collect()
-    if len(small) <= LANGUAGES:
-        counts = F.broadcast(docs.sparkSession.createDataFrame(small, counts.schema))
-    few = train.withColumn("draw", draw).join(counts, "lang").where(
-        F.col("draw") <= F.lit(float(1 << 30)) * 4 * options.documents / F.col("count")
-    )
-    first = Window.partitionBy("lang").orderBy("draw", "text")
-    rows = (
-        few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= options.documents)
-        .select("lang", "rank", F.substring("text", 1, options.snippet).alias("text")).collect()
-    )
+    counts = train.groupBy("lang", "long").count().collect()
+    usual = {r["lang"]: r["count"] for r in counts if not r["long"]}
+    shares = [(r["lang"], r["long"], 4.0 * options.documents / r["count"]) for r in counts if not r["long"] or usual.get(r["lang"], 0) < options.documents]
+    wanted = docs.sparkSession.createDataFrame(shares, "lang string, long boolean, share double")
+    few = train.withColumn("draw", draw).join(F.broadcast(wanted), ["lang", "long"]).where(F.col("draw") <= F.lit(float(1 << 30)) * F.col("share"))
+    first = Window.partitionBy("lang").orderBy("long", "draw", "text")
+    rows = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= options.documents).select("lang", "rank", "text").collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         samples.setdefault(r["lang"], []).append(r["text"])
-    return {k: "\n".join(v).lower().encode()[-options.documents * options.snippet :] for k, v in samples.items()}
+    return {k: "\n".join(v).lower().encode() for k, v in samples.items()}
 
 
 class Classifier:
@@ -87,9 +81,9 @@ class Classifier:
             self.press.append(zstandard.ZstdCompressor(level=options.level, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        data = text.lower().encode()
+        data = text.lower().encode("utf-8", "replace")
         pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
         sizes = sorted((sum(len(p.compress(x)) for x in pieces), k) for k, p in enumerate(self.press))
         if len(sizes) == 1:
