@@ -4,11 +4,17 @@ functions only.
 Base kinds are patterns: key assignments, access keys, long hexadecimal runs.
 The method adds kind ``random``: runs of encoding characters that look drawn at
 random. For each run the encoding is inferred (decimal, hexadecimal, base32,
-letters and digits, base64) and gives the alphabet for three tests of
-randomness: chi-squared uniformity, runs above and below the alphabet's middle,
-and lag-one serial correlation. A run must pass all three. It must also be
-unlike prose: symbols of prose coincide more often than random ones, and the
-number of coinciding pairs gives a p-value under prose. The p-values of all
+letters and digits, base64) and gives the alphabet for three tests: chi-squared
+uniformity, runs above and below the alphabet's middle, and lag-one serial
+correlation. Each statistic is read in two ways:
+
+- as a test of randomness: none of the three may reject a uniform random run;
+- as evidence against text: a p-value under what prose and identifiers do in
+  that alphabet (their symbols coincide more often, and where an alphabet has
+  several classes of symbols they stay within one, which makes fewer runs and a
+  positive correlation).
+
+The three p-values of a run are combined by Fisher's method, and those of all
 runs of one length class are put to Benjamini-Hochberg at rate ``q``: short
 runs, of which there are many, need stronger evidence than long ones.
 
@@ -48,32 +54,54 @@ class Battery:
     #: many times the share of uniform symbols.
     prose: float = 0.065
     prose_times: float = 1.73
+    #: Of text in an alphabet of several classes: runs, as a share of those of a
+    #: random run, and lag-one correlation.
+    prose_runs: float = 0.6
+    prose_serial: float = 0.4
     bins: int = 400
     step: float = 0.1
 
 
+#: Matches whose places are summed one after another.
+STRETCH = 256
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """Matches with their places: the text between matches, from split(), and
-    the matches alternate, so running lengths give every start."""
+    the matches alternate, so running lengths give every start. They are summed
+    in stretches, so a text of very many matches costs little more than each."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    paired = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("skip"), m.alias("text")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-    folded = F.aggregate(
-        paired, empty,
-        lambda s, x: F.when(x["text"].isNull(), s).otherwise(F.struct(
-            (s["at"] + x["skip"] + F.length(x["text"])).alias("at"),
-            F.concat(s["found"], F.array(F.struct(
-                (s["at"] + x["skip"]).alias("start"), (s["at"] + x["skip"] + F.length(x["text"])).alias("end"), x["text"].alias("text")
-            ))).alias("found"),
-        )),
-        lambda s: s["found"],
-    )
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(_SPAN))
-
-
-def _alphabet(run: Column) -> tuple[Column, Column]:
-    """Symbols of the inferred encoding, in order."""
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+    paired = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size"), m.alias("text")))
+    width = lambda x: x["skip"] + x["size"]
+
+    def placed(stretch: Column, begin: Column) -> Column:
+        empty = F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("found"))
+        return F.aggregate(
+            stretch, empty,
+            lambda s, x: F.struct(
+                (s["at"] + width(x)).alias("at"),
+                F.concat(s["found"], F.array(F.struct((s["at"] + x["skip"]).alias("start"), (s["at"] + width(x)).alias("end"), x["text"].alias("text")))).alias("found"),
+            ),
+            lambda s: s["found"],
+        )
+
+    def whole(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / STRETCH).cast("int")
+        stretches = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * STRETCH + 1, F.lit(STRETCH)))
+        begins = F.aggregate(
+            F.transform(stretches, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + width(y))), F.array(F.lit(0)),
+            lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)),
+        )
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: placed(F.slice(all_, k * STRETCH + 1, F.lit(STRETCH)), F.get(begins, k))))
+
+    found = F.when(F.size(paired) > STRETCH, F.transform(F.array(paired), whole)[0]).otherwise(placed(paired, F.lit(0)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+
+
+def _alphabet(run: Column) -> tuple[Column, Column, Column]:
+    """Symbols of the inferred encoding, in order; their number; whether they
+    are of several classes (cases, digits) between which text seldom changes."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = (
         F.when(run.rlike(r"^[0-9]+$"), digits)
@@ -88,21 +116,29 @@ def _alphabet(run: Column) -> tuple[Column, Column]:
         .when(run.rlike(r"^[A-Za-z0-9]+$"), digits + upper + lower)
         .otherwise(upper + lower + digits + "+/-_")
     )
-    return found, F.length(found)
+    return found, F.length(found), ~run.rlike(r"^([0-9]+|[a-z]+|[A-Z]+|[0-9a-f]+|[0-9A-F]+|[A-Z2-7]+)$")
 
 
-def _log10_lower_tail(z: Column) -> Column:
-    """log10 of the normal distribution at z <= 0, by the Mills-ratio bound
-    2 / (x + sqrt(x^2 + 8/pi)); at z > 0 it is log10(1/2), which decides nothing."""
+def _log_lower_tail(z: Column) -> Column:
+    """Logarithm of the normal distribution at z <= 0, by the Mills-ratio bound
+    2 / (x + sqrt(x^2 + 8/pi)); at z > 0 it is log(1/2), which is no evidence."""
     x = F.greatest(-z, F.lit(0.0))
     ratio = F.lit(2.0) / (x + F.sqrt(x * x + 8 / 3.141592653589793))
-    return (-(x * x) / 2 + F.log(ratio) - 0.9189385332046727) / 2.302585092994046
+    return -(x * x) / 2 + F.log(ratio) - 0.9189385332046727
+
+
+def _log10_fisher(logs: list[Column]) -> Column:
+    """log10 of Fisher's combined p-value of three: twice the sum of their
+    negative logarithms is chi-squared with six degrees of freedom, whose upper
+    tail is exp(-h) (1 + h + h^2/2), h being the sum."""
+    h = -(logs[0] + logs[1] + logs[2])
+    return (-h + F.log(1 + h + h * h / 2)) / 2.302585092994046
 
 
 def _tested(span: Column, b: Battery) -> Column:
     """The span with its verdict of randomness, length class and p-value bin."""
     run = F.rtrim(span["text"], F.lit("="))
-    symbols, k = _alphabet(run)
+    symbols, k, classes = _alphabet(run)
     n = F.length(run).cast("double")
     used = F.array_distinct(F.split(run, ""))
     square = F.aggregate(
@@ -110,7 +146,7 @@ def _tested(span: Column, b: Battery) -> Column:
         lambda s, c: s + F.pow((F.length(run) - F.length(F.replace(run, c))).cast("double"), F.lit(2.0)),
     )
     values = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: (F.instr(symbols, c) - 1).cast("double"))
-    return F.transform(F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"), n.alias("n"), k.alias("k"), square.alias("sq"), values.alias("v"))), lambda x: _verdict(x, b))[0]
+    return F.transform(F.array(F.struct(span["start"].alias("start"), span["end"].alias("end"), n.alias("n"), k.alias("k"), square.alias("sq"), values.alias("v"), classes.alias("classes"))), lambda x: _verdict(x, b))[0]
 
 
 def _verdict(x: Column, b: Battery) -> Column:
@@ -130,12 +166,15 @@ def _verdict(x: Column, b: Battery) -> Column:
     pairs = n * (n - 1) / 2
     same = (x["sq"] - n) / 2
     share = F.greatest(F.lit(b.prose), b.prose_times / k)
-    prose = (same - pairs * share) / F.sqrt(F.greatest(pairs * share * (1 - share), F.lit(1e-9)))
+    crowded = (same - pairs * share) / F.sqrt(F.greatest(pairs * share * (1 - share), F.lit(1e-9)))
+    steady = F.when(x["classes"], (expected * b.prose_runs - runs) / spread).otherwise(F.lit(0.0))
+    drawn_out = F.when(x["classes"] & (variance > 0), (lagged / variance - b.prose_serial) * F.sqrt(n)).otherwise(F.lit(0.0))
+    combined = _log10_fisher([_log_lower_tail(z) for z in (crowded, steady, drawn_out)])
     passes = (F.abs(chi) <= b.z) & (F.abs((runs - expected) / spread) <= b.z) & (F.abs(serial) <= b.z) & (n >= b.least)
     return F.struct(
         x["start"].alias("start"), x["end"].alias("end"), passes.alias("passes"),
         F.floor(F.log2(F.greatest(n, F.lit(1.0)))).cast("int").alias("size_class"),
-        F.least(F.floor(-_log10_lower_tail(prose) / b.step), F.lit(b.bins)).cast("int").alias("bin"),
+        F.greatest(F.lit(0), F.least(F.floor(-combined / b.step), F.lit(b.bins))).cast("int").alias("bin"),
     )
 
 
@@ -199,14 +238,14 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", b: Battery = Battery()) ->
     spans give one mark. ``n_chars``, if there is one, follows the text."""
     limits = discovery_limits(found(docs.select("text"), "text", b), b)
     spans = F.array_sort(F.concat("__base", random_spans(limits)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # Pieces between spans, joined once: the text is copied once, not at every span.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
         spans, start,
         lambda s, x: F.when(x["start"] >= s["at"], F.struct(
-            x["end"].alias("at"),
-            F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"),
+            x["end"].alias("at"), F.array_append(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])).alias("out"),
         )).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
+        lambda s: F.array_join(F.array_append(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))), mark),
     )
     columns = docs.columns
     clean_docs = found(docs, "text", b).withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
