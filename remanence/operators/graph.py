@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: Edge kinds that decay leaves alone.
 STEADY = ("updates", "backfill")
 
@@ -106,13 +108,15 @@ def heat_spread(memories: DataFrame, edges: DataFrame, roots: DataFrame, boost:
     known = memories.select("memory_id", "activation")
     strength = F.col("weight") * F.col("conductance")
     best = Window.partitionBy("source_id").orderBy(F.desc(F.round(strength, 9)), "target_id")
-    out = edges.where("weight > 0 AND conductance > 0").withColumn("line", F.row_number().over(best)).where(F.col("line") <= fan).select("source_id", "target_id", "weight", "conductance", "line")
+    open_ = edges.where("weight > 0 AND conductance > 0")
     first = roots.dropDuplicates(["memory_id"]).join(known.select("memory_id"), "memory_id", "left_semi")
     frontier = first.select("memory_id", F.lit(float(boost)).alias("amount"), F.row_number().over(Window.orderBy("place", "memory_id")).alias("place"), F.lit(0).alias("depth")).where(F.col("place") <= 32)
-    seen = frontier
+    frontier = seen = settled(frontier)
     for level in range(1, depth + 1):
+        # Only edges of the frontier, a few dozen records, are ranked.
+        out = open_.join(F.broadcast(frontier.select(F.col("memory_id").alias("source_id"))), "source_id", "left_semi").withColumn("line", F.row_number().over(best)).where(F.col("line") <= fan)
         reached = (
-            frontier.join(out, F.col("memory_id") == F.col("source_id"))
+            frontier.join(out.select("source_id", "target_id", "weight", "conductance", "line"), F.col("memory_id") == F.col("source_id"))
             .select(F.col("target_id").alias("memory_id"), (F.col("amount") * spread * F.least(F.col("weight") / 1.5, F.lit(1.0)) * F.col("conductance")).alias("amount"), "place", "line")
             .join(seen.select("memory_id"), "memory_id", "left_anti").join(known.select("memory_id"), "memory_id", "left_semi")
         )
@@ -125,6 +129,7 @@ def heat_spread(memories: DataFrame, edges: DataFrame, roots: DataFrame, boost:
             .withColumn("new", F.row_number().over(queue) + F.col("used")).where((F.col("new") <= nodes) & (F.col("new") - F.col("used") <= fires))
             .select("memory_id", "amount", F.col("new").alias("place"), F.lit(level).alias("depth"))
         )
+        frontier = settled(frontier)
         seen = seen.unionByName(frontier)
     return seen.join(known, "memory_id").select("memory_id", "depth", F.round("amount", 9).alias("amount"), F.round(F.least(F.lit(most), F.col("activation") + F.col("amount")), 9).alias("activation"))
 
@@ -136,13 +141,11 @@ def decayed_activation(memories: DataFrame, edges: DataFrame, factor: float = 0.
     The hub reference is the nearest-rank quantile of out-strength.
     """
     strength = edges.groupBy("source_id").agg(F.sum(F.col("weight") * F.col("conductance")).alias("strength"))
-    n = strength.agg(F.count("*").alias("n"))
-    ranked = strength.select("strength", F.row_number().over(Window.orderBy(F.round("strength", 9), "source_id")).alias("k"))
-    hub = ranked.crossJoin(F.broadcast(n)).where(F.col("k") == F.floor(quantile * (F.col("n") - 1) + 0.5) + 1).select(F.col("strength").alias("hub"))
+    hub = ranked_value(strength.withColumn("strength", F.round("strength", 9)), "strength", int(quantile * (strength.count() - 1) + 0.5))
     emotion = F.when(F.coalesce("emotion", F.lit(0.0)) == 0, 0.5).otherwise(F.col("emotion"))
-    keep = F.least(F.lit(0.90), factor + 0.05 * F.least(F.lit(1.0), F.coalesce("strength", F.lit(0.0)) / F.col("hub")) + 0.03 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (emotion - 0.5) * 2)))
+    keep = F.least(F.lit(0.90), factor + 0.05 * F.least(F.lit(1.0), F.coalesce("strength", F.lit(0.0)) / F.lit(hub)) + 0.03 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (emotion - 0.5) * 2)))
     after = F.col("activation") * keep
-    return memories.select("memory_id", "activation", "emotion").join(strength, F.col("memory_id") == F.col("source_id"), "left").crossJoin(F.broadcast(hub)).select(
+    return memories.select("memory_id", "activation", "emotion").join(strength, F.col("memory_id") == F.col("source_id"), "left").select(
         "memory_id", F.round(F.when(after <= 0.02, 0.0).otherwise(after), 6).alias("activation")
     )
 
@@ -203,7 +206,7 @@ def hot_neighbors(memories: DataFrame, edges: DataFrame, seeds: DataFrame, least
     reach = edges.join(seeds.select(F.col("memory_id").alias("source_id")), "source_id", "left_semi").join(seeds.select(F.col("memory_id").alias("target_id")), "target_id", "left_anti")
     hot = reach.join(memories.where(F.col("activation") >= least).select(F.col("memory_id").alias("target_id"), "activation"), "target_id")
     one = Window.partitionBy("target_id").orderBy(F.desc("weight"), "source_id")
-    return hot.withColumn("k", F.row_number().over(one)).where("k = 1").orderBy(F.desc("activation"), F.desc("weight"), F.xxhash64("target_id", F.lit(seed)), "target_id").limit(limit).select("target_id", F.col("source_id").alias("bridge"), "activation", "weight")
+    return hot.withColumn("k", F.row_number().over(one)).where("k = 1").orderBy(F.desc("activation"), F.desc("weight"), F.md5(F.concat_ws("|", "target_id", F.lit(str(seed)))), "target_id").limit(limit).select("target_id", F.col("source_id").alias("bridge"), "activation", "weight")
 
 
 def equalised_emotion(memories: DataFrame, edges: DataFrame, nudge: float = 0.05, threshold: float = 0.2, least: float = 0.5) -> DataFrame:
@@ -217,21 +220,39 @@ def equalised_emotion(memories: DataFrame, edges: DataFrame, nudge: float = 0.05
     return emotion.join(mean, "memory_id", "left").select("memory_id", F.round(F.coalesce(moved, "emotion"), 6).alias("emotion"))
 
 
-def components_of(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Connected components by least label, with pointer jumps between rounds;
-    each round is checkpointed in the shared folder when one is set."""
-    both = both_directions(edges).select("memory_id", "other").distinct()
-    labels = both.groupBy("memory_id").agg(F.least("memory_id", F.min("other")).alias("label"))
-    shared = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
+def components_of(edges: DataFrame) -> DataFrame:
+    """``memory_id, label`` of every record on an edge: the least id it reaches.
+
+    A round takes the least label among neighbours and then the label's own
+    label, so a chain shortens by half; rounds go on until nothing moves.
+    """
+    both = settled(both_directions(edges).select("memory_id", "other").distinct())
+    labels = settled(both.groupBy("memory_id").agg(F.least("memory_id", F.min("other")).alias("label")))
+    while True:
         near = both.join(labels.select(F.col("memory_id").alias("other"), F.col("label").alias("theirs")), "other").groupBy("memory_id").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(near, "memory_id").select("memory_id", F.least("label", "theirs").alias("label"), F.col("label").alias("old"))
-        lower = lower.checkpoint() if shared else lower.persist()
-        moved = lower.where("label <> old").limit(1).count()
-        labels = lower.select("memory_id", "label")
-        if not moved:
-            break
-    return labels
+        lower = settled(labels.join(near, "memory_id").select("memory_id", F.least("label", "theirs").alias("label"), F.col("label").alias("old")))
+        jump = lower.select(F.col("memory_id").alias("label"), F.col("label").alias("further"))
+        after = settled(lower.join(jump, "label", "left").select("memory_id", F.coalesce("further", "label").alias("label"), "old"))
+        labels = after.select("memory_id", "label")
+        if after.where("label <> old").limit(1).count() == 0:
+            return labels
+
+
+def ranked_value(rows: DataFrame, column: str, place: int, buckets: int = 8192) -> float | None:
+    """The value at ``place`` (from 0) in ascending order, without ordering all
+    rows: buckets of the value range are counted first, and only the one that
+    holds the place is ordered."""
+    seen = rows.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if seen["low"] is None:
+        return None
+    width = (seen["high"] - seen["low"]) / buckets
+    bucket = F.floor((F.col(column) - seen["low"]) / width) if width > 0 else F.lit(0)
+    counts = sorted((r["b"], r["n"]) for r in rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect())
+    for b, n in counts:
+        if place < n:
+            return rows.where(bucket == b).select(column).orderBy(column).offset(place).limit(1).first()[0]
+        place -= n
+    return None
 
 
 def link_proposals(pairs: DataFrame, memories: DataFrame, edges: DataFrame, least: float = 0.82, degree_cap: int = 12, per_source: int = 2) -> DataFrame:

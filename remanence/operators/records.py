@@ -49,7 +49,7 @@ def wakeup(memories: DataFrame, seed: int = 3) -> DataFrame:
         section("pinned", memories.where("pinned"), None)
         .unionByName(section("emotional", memories.where("emotion >= 0.7"), 5, F.desc("ts"), "memory_id"))
         .unionByName(section("latest", memories, 3, F.desc("ts"), "memory_id"))
-        .unionByName(section("old", memories.where("ts < timestamp_ntz'2024-01-01 04:00:00'"), 3, F.xxhash64("memory_id", F.lit(seed)), "memory_id"))
+        .unionByName(section("old", memories.where("ts < timestamp_ntz'2024-01-01 04:00:00'"), 3, F.md5(F.concat_ws("|", "memory_id", F.lit(str(seed)))), "memory_id"))
     )
 
 
@@ -103,8 +103,12 @@ def dialogue_windows(messages: DataFrame, hits: DataFrame, most: int = 6, minute
 
 
 def first_accepted(events: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
-    """Events at least ``minutes`` after the last accepted one of their key,
-    folded in time order within each key."""
+    """Events at least ``minutes`` after the last accepted one of their key.
+
+    An event that follows a gap of ``minutes`` is accepted whatever came before,
+    so each key falls into islands that are folded by themselves, and a busy key
+    is spread over as many tasks as it has gaps.
+    """
     import pandas as pd
 
     gap = pd.Timedelta(minutes=minutes)
@@ -118,7 +122,10 @@ def first_accepted(events: DataFrame, key: str, at: str, minutes: int) -> DataFr
             last = t if ok else last
         return rows[kept]
 
-    return events.groupBy(key).applyInPandas(fold, events.schema)
+    line = Window.partitionBy(key).orderBy(at, "event_id")
+    wide = F.col(at) >= F.lag(at).over(line) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    islands = events.withColumn("__island", F.sum(F.coalesce(wide, F.lit(True)).cast("int")).over(line))
+    return islands.groupBy(key, "__island").applyInPandas(lambda rows: fold(rows.drop(columns="__island")), events.schema)
 
 
 def every_nth(events: DataFrame, key: str, at: str, n: int) -> DataFrame:

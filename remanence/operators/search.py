@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
 from ..functions.vector import cosine
+from ..session import settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, TEXT_ONLY = 60, 1.5
@@ -101,10 +102,10 @@ def diffused(seeds: DataFrame, edges: DataFrame, now, depth: int = 3, budget: in
     fresh = F.when(F.col("last_fired").isNull(), 0.4).when(age <= 7, 1.0).when(age <= 30, 0.8).when(age <= 90, 0.6).otherwise(0.4)
     strength = F.col("weight") * F.col("conductance") * fresh
     out = edges.select("source_id", "target_id", strength.alias("eff"))
-    out = out.withColumn("whole", F.sum("eff").over(Window.partitionBy("source_id"))).where("eff > 0")
+    out = settled(out.withColumn("whole", F.sum("eff").over(Window.partitionBy("source_id"))).where("eff > 0"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "memory_id")
     seen = seeds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget).select("query_id", "memory_id", F.col("similarity").alias("mass"), F.lit(0).alias("depth"), "place")
-    frontier = seen
+    frontier = seen = settled(seen)
     for level in range(1, depth + 1):
         reached = frontier.join(out, frontier["memory_id"] == out["source_id"]).select(
             "query_id", F.col("target_id").alias("memory_id"), (F.col("mass") * 0.85 * F.col("eff") / F.col("whole")).alias("mass"), "place", F.round("eff", 9).alias("eff")
@@ -112,7 +113,7 @@ def diffused(seeds: DataFrame, edges: DataFrame, now, depth: int = 3, budget: in
         one = Window.partitionBy("query_id", "memory_id").orderBy("place", F.desc("eff"))
         line = Window.partitionBy("query_id").orderBy("place", F.desc("eff"), "memory_id")
         used = seen.groupBy("query_id").agg(F.max("place").alias("used"))
-        frontier = (
+        frontier = settled(
             reached.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k").join(used, "query_id")
             .withColumn("new", F.row_number().over(line) + F.col("used")).where(F.col("new") <= budget)
             .select("query_id", "memory_id", "mass", F.lit(level).alias("depth"), F.col("new").alias("place"))
@@ -121,6 +122,14 @@ def diffused(seeds: DataFrame, edges: DataFrame, now, depth: int = 3, budget: in
     return seen.select("query_id", "memory_id", "mass", "depth")
 
 
+def with_diffusion(seeds: DataFrame, edges: DataFrame, now, depth: int = 3, budget: int = 25) -> DataFrame:
+    """Recall candidates ``(query_id, memory_id, similarity, graph)``: the seeds,
+    with no graph score, and what diffusion reaches beyond them, with its mass."""
+    seeds = settled(seeds.select("query_id", "memory_id", "similarity"))
+    reached = diffused(seeds, edges, now, depth, budget).where("depth > 0").join(seeds.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    return seeds.withColumn("graph", F.lit(0.0)).unionByName(reached.select("query_id", "memory_id", F.lit(0.0).alias("similarity"), F.col("mass").alias("graph")))
+
+
 def recall_scores(candidates: DataFrame, memories: DataFrame, confidence: DataFrame, superseded: DataFrame) -> DataFrame:
     """The weighted recall score of candidates ``(query_id, memory_id,
     similarity, graph)``: .45 similarity, .15 activation, .15 graph,

@@ -138,7 +138,7 @@ def c02_cross_level_edges(spark, sf_dir):
 
 
 @query(sql("""SELECT a, b, similarity, round(0.12 + greatest(0.0, least(1.0, (similarity - 0.82) / 0.18)) * 0.12, 6) AS weight FROM (
-  SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id AND x.vec_id % 50 = 0) p
+  SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND x.vec_id % 50 = 0) p
   JOIN memories s ON s.memory_id = a JOIN memories t ON t.memory_id = b WHERE similarity >= 0.1 AND s.collection <> 'library' AND t.collection <> 'library'
   AND ((s.level = t.level AND s.level <> 'cognition') OR (s.level = 'cognition' AND t.level IN ('raw', 'understanding')))
   AND NOT EXISTS (FROM semantic f WHERE least(f.source_id, f.target_id) = least(a, b) AND greatest(f.source_id, f.target_id) = greatest(a, b))

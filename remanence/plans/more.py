@@ -10,7 +10,7 @@ from ..operators import graph, lifecycle, proposals, ranking, reports, search
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
-from .search import ASKED, TOKENS, VECTOR_RANK, _text_rank, _vector_rank
+from .search import ASKED, RECALL_NOW, TOKENS, VECTOR_RANK, _text_rank, _vector_rank, diffusion_sql
 
 
 @query(sql(r"""SELECT item_id AS query_id, len(regexp_extract_all(text, '[.!?;。！？；\n]')) > 0 AS split FROM benchmark"""))
@@ -50,19 +50,23 @@ def h91_day_counter(spark, sf_dir):
     return e.select("event_id", days["d"].alias("days"))
 
 
-@query()
+SEEDS = "(SELECT doc_id % 3 AS query_id, memory_id, 1.0::DOUBLE AS similarity FROM memories WHERE pinned)"
+
+
+@query(sql("SELECT query_id, memory_id, round(mass, 9) AS mass, depth FROM diffused", diffusion_sql(SEEDS, RECALL_NOW)))
 def j12_diffusion(spark, sf_dir):
     seeds = T.memories(spark, sf_dir).where("pinned").select((F.col("doc_id") % 3).alias("query_id"), "memory_id", F.lit(1.0).alias("similarity"))
-    return search.diffused(seeds, T.flow_edges(spark, sf_dir), "1998-06-01 00:00:00").withColumn("mass", F.round("mass", 9))
+    return search.diffused(seeds, T.flow_edges(spark, sf_dir), RECALL_NOW).withColumn("mass", F.round("mass", 9))
 
 
-@query()
+@query(sql("""SELECT target_id, source_id AS bridge, activation, weight FROM (SELECT f.target_id, f.source_id, m.activation, f.weight FROM flow f JOIN memories s ON s.memory_id = f.source_id AND s.pinned JOIN memories m ON m.memory_id = f.target_id
+  WHERE NOT m.pinned AND m.activation >= 2 QUALIFY row_number() OVER (PARTITION BY f.target_id ORDER BY f.weight DESC, f.source_id) = 1) ORDER BY activation DESC, weight DESC, md5(target_id || '|1'), target_id LIMIT 20"""))
 def c03_hot_neighbors(spark, sf_dir):
     m = T.memories(spark, sf_dir)
     return graph.hot_neighbors(m, T.flow_edges(spark, sf_dir), m.where("pinned").select("memory_id"), limit=20)
 
 
-GROUPS = "groups AS (SELECT label AS group_id, list(memory_id) AS members FROM (SELECT label, memory_id, vec_id FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 5) GROUP BY 1)"
+GROUPS = """groups AS (SELECT min(vec_id) AS group_id, list(memory_id) AS members FROM (SELECT label, memory_id, vec_id, least((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 5, greatest(0, (count(*) OVER (PARTITION BY label) - 2) // 5)) AS run FROM vectors) GROUP BY label, run)"""
 
 
 def _groups(spark, sf_dir):
@@ -82,7 +86,7 @@ def j19_group_signals(spark, sf_dir):
     return proposals.group_signals(_groups(spark, sf_dir), T.vectors(spark, sf_dir))
 
 
-@query()
+@query(sql("""SELECT group_id, records, span_days, CASE WHEN group_id % 2 = 0 THEN 'pending' END AS status FROM (SELECT group_id, count(*)::INT AS records, date_diff('day', min(ts)::DATE, max(ts)::DATE) AS span_days FROM (SELECT group_id, unnest(members) AS memory_id FROM groups) JOIN memories USING (memory_id) GROUP BY 1)""", GROUPS))
 def n20_group_payloads(spark, sf_dir):
     g = _groups(spark, sf_dir)
     prior = g.select("group_id", F.lit("pending").alias("status")).where("group_id % 2 = 0")

@@ -139,7 +139,8 @@ def i17_dialogue_windows(spark, sf_dir):
     return records.dialogue_windows(m, hits)
 
 
-@query()
+@query(sql("""SELECT 'pinned' AS section, memory_id FROM memories WHERE pinned UNION ALL SELECT * FROM (SELECT 'emotional', memory_id FROM memories WHERE emotion >= 0.7 ORDER BY ts DESC, memory_id LIMIT 5)
+  UNION ALL SELECT * FROM (SELECT 'latest', memory_id FROM memories ORDER BY ts DESC, memory_id LIMIT 3) UNION ALL SELECT * FROM (SELECT 'old', memory_id FROM memories WHERE ts < TIMESTAMP '2024-01-01 04:00:00' ORDER BY md5(memory_id || '|3'), memory_id LIMIT 3)"""))
 def f02_wakeup(spark, sf_dir):
     return records.wakeup(T.memories(spark, sf_dir))
 

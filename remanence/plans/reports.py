@@ -18,7 +18,8 @@ def _now():
     return F.expr("timestamp_ntz'2024-01-02 00:00:00'")
 
 
-ALIKE = "alike AS (SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.label = y.label AND x.memory_id < y.memory_id)"
+ALIKE = """alike AS (SELECT x.memory_id AS a, y.memory_id AS b, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS similarity FROM vectors x JOIN vectors y ON x.memory_id < y.memory_id),
+either_way AS (SELECT a, b, similarity FROM alike WHERE similarity >= 0.2 UNION ALL SELECT b, a, similarity FROM alike WHERE similarity >= 0.2)"""
 
 
 def _alike(spark, sf_dir, least):
@@ -30,7 +31,12 @@ def c10_semantic_pairs(spark, sf_dir):
     return _alike(spark, sf_dir, 0.3)
 
 
-@query()
+@query(sql("""SELECT old, new, similarity, direct, shared FROM (SELECT p.*, EXISTS (FROM around r WHERE r.memory_id = old AND r.other = new) AS direct,
+    (SELECT count(*) FROM around r JOIN around q ON r.other = q.other WHERE r.memory_id = old AND q.memory_id = new)::INT AS shared
+    FROM (SELECT CASE WHEN m.ts < n.ts THEN a ELSE b END AS old, CASE WHEN m.ts < n.ts THEN b ELSE a END AS new, similarity FROM alike JOIN memories m ON m.memory_id = a JOIN memories n ON n.memory_id = b
+      WHERE similarity >= 0.2 AND m.ts <> n.ts AND m.tags[2] = n.tags[2]) p)
+  WHERE direct OR shared > 0 OR similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY new ORDER BY direct DESC, similarity DESC, old) <= 2 ORDER BY direct DESC, similarity DESC, new, old LIMIT 80""",
+           ALIKE, "around AS (SELECT source_id AS memory_id, target_id AS other FROM flow UNION SELECT target_id, source_id FROM flow)"))
 def c08_update_candidates(spark, sf_dir):
     """Only records of one domain are candidates, so only those are compared."""
     m = T.memories(spark, sf_dir)
@@ -39,8 +45,8 @@ def c08_update_candidates(spark, sf_dir):
     return proposals.update_candidates(pairs, m, T.flow_edges(spark, sf_dir), least=0.2, high=0.3)
 
 
-@query(sql("""SELECT a, b, similarity, 'up_' || substr(sha256('evokes|' || a || '|' || b), 1, 16) AS id FROM alike JOIN memories m ON m.memory_id = a JOIN memories n ON n.memory_id = b
-  WHERE similarity >= 0.2 AND m.collection <> 'library' AND n.collection = 'library' AND NOT EXISTS (FROM semantic WHERE source_id = a AND target_id = b)
+@query(sql("""SELECT a, b, similarity, 'up_' || substr(sha256('evokes|' || a || '|' || b), 1, 16) AS id FROM either_way JOIN memories m ON m.memory_id = a JOIN memories n ON n.memory_id = b
+  WHERE m.collection <> 'library' AND n.collection = 'library' AND NOT EXISTS (FROM semantic WHERE source_id = a AND target_id = b)
   QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) <= 2 ORDER BY similarity DESC, a, b LIMIT 40""", ALIKE))
 def c07_evokes_proposals(spark, sf_dir):
     """Every record outside the library asks every library text."""
@@ -85,7 +91,7 @@ def d15_review_queue(spark, sf_dir):
     return reports.queue_report(_proposals(spark, sf_dir), _now())
 
 
-@query(sql("""SELECT seed, member, array_to_string(list_sort(list(DISTINCT lane)), '+') AS lanes FROM (SELECT a AS seed, b AS member, 'semantic' AS lane FROM alike WHERE similarity >= 0.3 UNION ALL SELECT source_id, target_id, 'flow' FROM flow WHERE weight >= 0.4) GROUP BY 1, 2
+@query(sql("""SELECT seed, member, array_to_string(list_sort(list(DISTINCT lane)), '+') AS lanes FROM (SELECT a AS seed, b AS member, 'semantic' AS lane FROM either_way WHERE similarity >= 0.3 UNION ALL SELECT source_id, target_id, 'flow' FROM flow WHERE weight >= 0.4) GROUP BY 1, 2
   QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count(DISTINCT lane) DESC, member) <= 24""", ALIKE))
 def j18_candidate_pools(spark, sf_dir):
     """Every record is a seed, so an alike pair offers each end to the other."""
@@ -99,7 +105,7 @@ def j18_candidate_pools(spark, sf_dir):
 def j17_bounded_clusters(spark, sf_dir):
     pairs = _alike(spark, sf_dir, 0.3)
     labels = graph.components_of(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
-    return proposals.bounded_clusters(pairs, labels, secondary=0.25)
+    return proposals.bounded_clusters(T.vectors(spark, sf_dir), pairs, labels, secondary=0.25)
 
 
 @query(sql("SELECT memory_id, coalesce(degree, 0) AS degree FROM memories LEFT JOIN (SELECT memory_id, count(DISTINCT other) AS degree FROM (SELECT source_id AS memory_id, target_id AS other FROM semantic UNION ALL SELECT target_id, source_id FROM semantic) GROUP BY 1) USING (memory_id) WHERE coalesce(degree, 0) < 2 ORDER BY degree, ts, memory_id LIMIT 80"))
@@ -125,10 +131,20 @@ def _chunks(spark, sf_dir):
     )
 
 
-@query(sql("SELECT 'd' || doc_id AS parent_id, 'tiling' AS rule FROM documents WHERE false"))
+@query(sql("""SELECT DISTINCT parent_id, unnest(CASE WHEN i <> 1 THEN [] WHEN doc_id % 11 = 1 THEN (CASE WHEN n > 1 THEN ['tiling', 'length'] ELSE ['tiling', 'length'] END) WHEN doc_id % 11 = 2 THEN ['role'] WHEN doc_id % 11 = 3 THEN ['relation'] WHEN doc_id % 11 = 4 THEN ['label']
+    WHEN doc_id % 11 = 5 THEN ['echo'] WHEN doc_id % 11 = 6 THEN ['numbering'] ELSE [] END) AS rule FROM (SELECT doc_id, 'd' || doc_id AS parent_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents WHERE text <> '')"""))
 def h50_chunk_contract(spark, sf_dir):
+    """The first chunk of most parents is spoiled, each in its own way."""
     parents, parts = _chunks(spark, sf_dir)
-    return chunks.violations(parents, parts)
+    kind = F.when(F.col("chunk_no") == 1, F.substring("parent_id", 2, 20).cast("long") % 11)
+    spoiled = parts.withColumn("kind", kind).withColumns({
+        "text": F.when(F.col("kind") == 1, F.concat(F.lit("\u0001"), "text")).otherwise(F.col("text")),
+        "chunk_role": F.when(F.col("kind") == 2, "song").otherwise(F.col("chunk_role")), "relationship": F.when(F.col("kind") == 3, "cousin").when(F.col("kind") == 5, "echo").otherwise(F.col("relationship")),
+        "index_label": F.when(F.col("kind") == 4, "much too long a label").otherwise(F.col("index_label")), "echo_of": F.when(F.col("kind") == 5, F.lit(None).cast("int")).otherwise(F.col("echo_of")),
+        "chunk_no": F.when(F.col("kind") == 6, 0).otherwise(F.col("chunk_no")),
+    })
+    # A longer first chunk shifts all that follow: the rule is told once a parent.
+    return chunks.violations(parents, spoiled)
 
 
 @query(sql("""SELECT 'd' || doc_id AS parent_id, sum(CASE WHEN i % 3 = 0 AND i % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS context_only, count(*) AS chunks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents) WHERE NOT (i = n AND line = '') GROUP BY 1"""))

@@ -97,20 +97,48 @@ def e04_superseded_by(spark, sf_dir):
     return graph.newest_versions(T.semantic_edges(spark, sf_dir))
 
 
-RECALL = """scored AS (SELECT query_id, f.memory_id, newest, round(0.45 * round(similarity, 6) + 0.15 * least(activation / 8, 1) + 0.10 * coalesce(confidence, 0) - CASE WHEN newest IS NULL THEN 0 ELSE 0.05 END, 9) AS score
-  FROM fusion f JOIN memories m USING (memory_id) LEFT JOIN conf USING (memory_id) LEFT JOIN newest USING (memory_id)),
+#: Edge times of the driver's tables end in 1998.
+RECALL_NOW = "1998-06-01 00:00:00"
+
+
+def diffusion_sql(seeds: str, now: str, depth: int = 3, budget: int = 25) -> str:
+    """Common tables of a diffusion from ``seeds (query_id, memory_id,
+    similarity)``; the last one is ``diffused (query_id, memory_id, mass, depth)``."""
+    parts = [
+        f"""eff AS (SELECT source_id, target_id, weight * conductance * CASE WHEN last_fired IS NULL THEN 0.4 WHEN age <= 7 THEN 1.0 WHEN age <= 30 THEN 0.8 WHEN age <= 90 THEN 0.6 ELSE 0.4 END AS eff
+  FROM (SELECT *, (epoch(TIMESTAMP '{now}') - epoch(last_fired)) / 86400 AS age FROM flow))""",
+        "out_edges AS (SELECT * FROM (SELECT *, sum(eff) OVER (PARTITION BY source_id) AS whole FROM eff) WHERE eff > 0)",
+        f"front0 AS (SELECT query_id, memory_id, similarity AS mass, 0 AS depth, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, memory_id) AS place FROM {seeds} QUALIFY place <= {budget})",
+        "seen0 AS (SELECT * FROM front0)",
+    ]
+    for level in range(1, depth + 1):
+        was = level - 1
+        parts.append(f"""front{level} AS (SELECT query_id, memory_id, mass, {level} AS depth, used + row_number() OVER (PARTITION BY query_id ORDER BY place, e DESC, memory_id) AS place FROM (
+  SELECT f.query_id, o.target_id AS memory_id, f.mass * 0.85 * o.eff / o.whole AS mass, f.place, round(o.eff, 9) AS e FROM front{was} f JOIN out_edges o ON f.memory_id = o.source_id
+  WHERE NOT EXISTS (FROM seen{was} s WHERE s.query_id = f.query_id AND s.memory_id = o.target_id)
+  QUALIFY row_number() OVER (PARTITION BY f.query_id, o.target_id ORDER BY f.place, round(o.eff, 9) DESC) = 1)
+  JOIN (SELECT query_id, max(place) AS used FROM seen{was} GROUP BY 1) USING (query_id) QUALIFY used + row_number() OVER (PARTITION BY query_id ORDER BY place, e DESC, memory_id) <= {budget})""")
+        parts.append(f"seen{level} AS (SELECT * FROM seen{was} UNION ALL SELECT * FROM front{level})")
+    return ",\n".join([*parts, f"diffused AS (SELECT query_id, memory_id, mass, depth FROM seen{depth})"])
+
+
+RECALL = diffusion_sql("(SELECT query_id, memory_id, round(similarity, 6) AS similarity FROM fusion)", RECALL_NOW) + """,
+candidates AS (SELECT query_id, memory_id, round(similarity, 6) AS similarity, 0.0 AS graph FROM fusion
+  UNION ALL SELECT query_id, memory_id, 0.0, mass FROM diffused d WHERE depth > 0 AND NOT EXISTS (FROM fusion f WHERE f.query_id = d.query_id AND f.memory_id = d.memory_id)),
+scored AS (SELECT query_id, f.memory_id, newest, round(0.45 * similarity + 0.15 * least(activation / 8, 1) + 0.15 * graph + 0.10 * coalesce(confidence, 0) - CASE WHEN newest IS NULL THEN 0 ELSE 0.05 END, 9) AS score
+  FROM candidates f JOIN memories m USING (memory_id) LEFT JOIN conf USING (memory_id) LEFT JOIN newest USING (memory_id)),
 live AS (SELECT query_id, memory_id, max(score) AS score FROM (SELECT query_id, coalesce(newest, memory_id) AS memory_id, round(score + CASE WHEN newest IS NULL THEN 0 ELSE 0.05 END, 9) AS score FROM scored)
   JOIN memories m USING (memory_id) WHERE NOT list_contains(tags, 'state:obsolete') GROUP BY 1, 2)"""
 
 
-@query(sql("SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM live WHERE score >= 0.25 QUALIFY rank <= 5", TOKENS, ASKED, VECTOR_RANK, FUSED, CONFIDENCE, NEWEST, RECALL))
+@query(sql("SELECT query_id, memory_id, round(score, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM live WHERE score >= 0.25 QUALIFY rank <= 5", TOKENS, ASKED, VECTOR_RANK, FUSED, CONFIDENCE, NEWEST, RECALL))
 def i06_recall(spark, sf_dir):
     m, s = T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir)
-    candidates = _fusion(spark, sf_dir).withColumn("graph", F.lit(0.0))
+    candidates = search.with_diffusion(_fusion(spark, sf_dir), T.flow_edges(spark, sf_dir), RECALL_NOW)
     ranked = search.recall_scores(candidates, m, graph.reviewed_confidence(s), graph.newest_versions(s))
     policy = search.POLICIES["conversation"]
     live = search.current_versions(ranked, m).where(F.col("score") >= policy.least)
-    return search.top(live, "query_id", [F.desc("score"), F.asc("memory_id")], policy.budget)
+    return search.top(live, "query_id", [F.desc("score"), F.asc("memory_id")], policy.budget).withColumn("score", F.round("score", 7))
 
 
 @query(sql("""SELECT query_id, memory_id, round(min(score + 0.003 * rank + 0.001 * topic), 6) AS score FROM (

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | None = None, app: str = "remanence", **extra: str) -> SparkSession:
@@ -30,3 +32,19 @@ def build_session(cpus: int | None = None, app: str = "remanence", **extra: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that all executors share, for steps that
+    build on one another: plans stay small and a lost executor costs a step. Only
+    where ``spark.checkpoint.dir`` names no folder (tests, one machine) a
+    temporary one is made and set."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="remanence-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

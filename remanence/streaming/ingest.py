@@ -41,17 +41,22 @@ def sync_index(spark: SparkSession, source: str, schema: T.StructType, out: str,
     run_available(indexed(stream), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
 
 
+#: Seconds that state stays after it has expired, for late events.
+SPARE = 86_400
+
+
 class GapFilter(StatefulProcessor):
     """Passes events at least ``seconds`` after the last one passed of a key.
 
-    Events of one micro-batch are taken in time order; the state is one time.
+    Events of one micro-batch are taken in time order; the state is one time,
+    which goes a day after it has stopped to matter.
     """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.TimestampType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.TimestampType())]), ttlDurationMs=(self.seconds + SPARE) * 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -74,19 +79,20 @@ def gap_filtered(stream: DataFrame, key: str, seconds: int) -> DataFrame:
     """``stream`` (event_id, ts, key, ...) through :class:`GapFilter`; needs
     the RocksDB state store."""
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=GapFilter(seconds), outputStructType=stream.schema, outputMode="Append", timeMode="None"
+        statefulProcessor=GapFilter(seconds), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
 class RecentlyShown(StatefulProcessor):
     """Marks events whose key was shown within the time to live, and counts
-    showings up to ``most``; state expires by event time."""
+    showings up to ``most``. A showing counts for ``seconds`` of event time; its
+    state goes a day later by the clock, so late events still find it."""
 
     def __init__(self, seconds: int, most: int = 8):
         self.seconds, self.most = seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.DoubleType()), T.StructField("count", T.IntegerType())]))
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.DoubleType()), T.StructField("count", T.IntegerType())]), ttlDurationMs=(self.seconds + SPARE) * 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -109,7 +115,7 @@ class RecentlyShown(StatefulProcessor):
 
 def recently_shown(stream: DataFrame, key: str, seconds: int) -> DataFrame:
     kind = T.StructType(stream.schema.fields + [T.StructField("cooled", T.BooleanType()), T.StructField("shown", T.IntegerType())])
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=RecentlyShown(seconds), outputStructType=kind, outputMode="Append", timeMode="None")
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=RecentlyShown(seconds), outputStructType=kind, outputMode="Append", timeMode="ProcessingTime")
 
 
 def windowed_counts(stream: DataFrame, width: str, late: str) -> DataFrame:
