@@ -49,14 +49,14 @@ class GapFilter(StatefulProcessor):
     """Passes events at least ``seconds`` after the last one passed of a key.
 
     Events of one micro-batch are taken in time order; the state is one time,
-    which goes a day after it has stopped to matter.
+    which goes a day after it has stopped to matter if the query is ``lasting``.
     """
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, lasting: bool = False):
+        self.seconds, self.lasting = seconds, lasting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.TimestampType())]), ttlDurationMs=(self.seconds + SPARE) * 1000)
+        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.TimestampType())]), ttlDurationMs=(self.seconds + SPARE) * 1000 if self.lasting else None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -75,24 +75,25 @@ class GapFilter(StatefulProcessor):
         pass
 
 
-def gap_filtered(stream: DataFrame, key: str, seconds: int) -> DataFrame:
+def gap_filtered(stream: DataFrame, key: str, seconds: int, lasting: bool = False) -> DataFrame:
     """``stream`` (event_id, ts, key, ...) through :class:`GapFilter`; needs
-    the RocksDB state store."""
+    the RocksDB state store. A query that runs on should be ``lasting``, so that
+    its state expires; an ``availableNow`` job would not end with such timers."""
     return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=GapFilter(seconds), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=GapFilter(seconds, lasting), outputStructType=stream.schema, outputMode="Append", timeMode="ProcessingTime" if lasting else "None"
     )
 
 
 class RecentlyShown(StatefulProcessor):
     """Marks events whose key was shown within the time to live, and counts
     showings up to ``most``. A showing counts for ``seconds`` of event time; its
-    state goes a day later by the clock, so late events still find it."""
+    state goes a day later by the clock if the query is ``lasting``."""
 
-    def __init__(self, seconds: int, most: int = 8):
-        self.seconds, self.most = seconds, most
+    def __init__(self, seconds: int, most: int = 8, lasting: bool = False):
+        self.seconds, self.most, self.lasting = seconds, most, lasting
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.DoubleType()), T.StructField("count", T.IntegerType())]), ttlDurationMs=(self.seconds + SPARE) * 1000)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.DoubleType()), T.StructField("count", T.IntegerType())]), ttlDurationMs=(self.seconds + SPARE) * 1000 if self.lasting else None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -113,9 +114,9 @@ class RecentlyShown(StatefulProcessor):
         pass
 
 
-def recently_shown(stream: DataFrame, key: str, seconds: int) -> DataFrame:
+def recently_shown(stream: DataFrame, key: str, seconds: int, lasting: bool = False) -> DataFrame:
     kind = T.StructType(stream.schema.fields + [T.StructField("cooled", T.BooleanType()), T.StructField("shown", T.IntegerType())])
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=RecentlyShown(seconds), outputStructType=kind, outputMode="Append", timeMode="ProcessingTime")
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=RecentlyShown(seconds, lasting=lasting), outputStructType=kind, outputMode="Append", timeMode="ProcessingTime" if lasting else "None")
 
 
 def windowed_counts(stream: DataFrame, width: str, late: str) -> DataFrame:
