@@ -74,7 +74,7 @@ def percent(part: Column, whole: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     out = F.format_string("%d B", n)
     for unit, size in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30)):
-        out = F.when(n >= size, F.format_string(f"%.1f {unit}", n / size)).otherwise(out)
+        out = F.when(n >= size, F.format_string(f"%.1f {unit}", F.bround(n / size, 1))).otherwise(out)
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import beliefs, graphs, lifecycle, more, records, reports, scalars, search, streams  # noqa: F401  (each registers its queries)
+from . import actions, beliefs, graphs, lifecycle, more, records, reports, scalars, search, streams  # noqa: F401  (each registers its queries)
 from .registry import ORACLES, QUERIES, Query
 
 
