@@ -1,18 +1,22 @@
 """Token-id files compressed by Re-Pair grammars (operator 7).
 
 Documents are range-partitioned by id, tokenised, and written as blocks. In a
-block, frequent pairs of adjacent ids are replaced by new symbols, again and
-again; pairs never cross a document's end. A block row holds
+block, the most frequent pairs of adjacent ids are replaced by new symbols until
+no pair has ``LEAST`` uses; pairs never cross a document's end. A block row holds
 
 - ``shard, block``: order of the blocks; ids ascend through them;
 - ``doc_ids, counts, offsets``: documents, their token counts, and where their
   symbols begin in the block's sequence;
-- ``rules``: two symbols (uint16) a rule, rule r being symbol ``BASE + r``;
+- ``rules``: two symbols a rule, rule r being symbol ``BASE + r``;
 - ``lengths``: expansion length (uint32) of every rule;
-- ``symbols``: the sequence (uint16).
+- ``symbols``: the sequence.
 
-One document can be decoded without the others: its symbols are a slice, and a
-rule's expansion length says how far each symbol reaches.
+Symbols are stored as a plane of their low 16 bits and one of the 8 bits above,
+so a block may have 2^24 - ``BASE`` rules, more than it has ids.
+
+Any stretch of a document can be decoded without the rest: its symbols are a
+slice, and the stored expansion lengths tell which of them, and which half of
+each rule, reach into the stretch.
 
 Defined results: a null text is empty and holds the end id alone; null doc_ids
 come first, repeated ones are ordered by text; an empty table writes no block.
@@ -34,124 +38,128 @@ from pyspark.sql import functions as F
 from .common import written
 
 BASE = 49_408
-MOST_RULES = 65_536 - BASE
-#: Tokens a block, rounds of replacement, least uses of a rule.
-BLOCK, ROUNDS, LEAST = 1 << 19, 5, 8
-_TABLE = 19
+#: Tokens a block, least uses of a rule.
+BLOCK, LEAST = 1 << 19, 6
+#: A round replaces pairs down to this share of the uses of the most frequent.
+SHARE = 0.25
 #: Words whose ids one process remembers before it starts afresh.
 REMEMBERED = 700_000
 #: The tokenizer of this process, kept between tasks with what it has learned.
 _OWN: dict[str, WordTokenizer] = {}
 
 
-def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grammar of one block: rules (n, 2), symbols, and the documents' new
-    starts. ``starts``: where documents begin in ``ids``.
+def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Grammar of one block: rules (n, 2), their expansion lengths, symbols, and
+    the documents' new starts. ``starts``: where documents begin in ``ids``.
 
-    A round counts pairs in hash cells, makes a rule of the pair last seen in
-    each full cell, counts the rule's true uses, and replaces from the left
-    wherever rules overlap.
+    A round counts all pairs exactly and replaces those that are at least
+    ``SHARE`` as frequent as the most frequent one; where two of them overlap the
+    more frequent has its way, as if they were replaced one after another.
+    Rounds end when no pair has ``LEAST`` uses.
     """
-    sequence = ids.astype(np.uint16)
+    sequence = ids.astype(np.uint32)
     first = np.zeros(len(sequence) + 1, dtype=bool)
     first[starts] = True
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(ROUNDS):
-        if len(sequence) < 2 or made >= MOST_RULES:
-            break
-        left, right = sequence[:-1].astype(np.uint32), sequence[1:].astype(np.uint32)
-        cell = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(32 - _TABLE)
+    rules, lengths = [np.empty((0, 2), dtype=np.uint32)], np.ones(BASE, dtype=np.int64)
+    while len(sequence) > 1:
         inside = ~first[1 : len(sequence)]
-        count = np.bincount(cell[inside], minlength=1 << _TABLE)
-        full = np.flatnonzero(count >= LEAST)
-        if len(full) > MOST_RULES - made:
-            full = full[np.argsort(-count[full], kind="stable")[: MOST_RULES - made]]
-        if not len(full):
+        pair = sequence[:-1].astype(np.uint64) << np.uint64(24) | sequence[1:]
+        ordered = np.sort(pair[inside])
+        cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
+        uses = np.diff(np.append(cut, len(ordered)))
+        if not len(uses) or uses.max() < LEAST:
             break
-        seen = np.zeros(1 << _TABLE, dtype=np.int32)
-        places = np.flatnonzero(inside).astype(np.int32)
-        seen[cell[places]] = places
-        pick = np.full(1 << _TABLE, -1, dtype=np.int32)
-        pick[full] = np.arange(len(full), dtype=np.int32)
-        a, b = sequence[seen[full]], sequence[seen[full] + 1]
-        rule = pick[cell]
-        hit = inside & (rule >= 0)
-        at = np.flatnonzero(hit)
-        r = rule[at]
-        true = (sequence[at] == a[r]) & (sequence[at + 1] == b[r])
-        at, r = at[true], r[true]
-        at, r = _disjoint(at, r)
-        used = np.bincount(r, minlength=len(full))
+        chosen = uses >= max(LEAST, SHARE * uses.max())
+        names, uses = ordered[cut[chosen]], uses[chosen]
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[np.argsort(-uses, kind="stable")] = np.arange(len(names))
+        # Only pairs that begin with the left symbol of a chosen one are looked up.
+        left = np.zeros(int(sequence.max()) + 1, dtype=bool)
+        left[(names >> np.uint64(24)).astype(np.int64)] = True
+        at = np.flatnonzero(inside & left[sequence[:-1]])
+        place = np.searchsorted(names, pair[at])
+        same = names[np.minimum(place, len(names) - 1)] == pair[at]
+        at, order = at[same], rank[place[same]]
+        at, order = _replaced(at, order)
+        used = np.bincount(order, minlength=len(names))
         good = used >= LEAST
         if not good.any():
-            break
-        number = np.cumsum(good) - 1 + made + BASE
-        keep = good[r]
-        at, r = at[keep], r[keep]
-        before = len(sequence)
-        sequence[at] = number[r].astype(np.uint16)
-        left_over = np.ones(before, dtype=bool)
-        left_over[at + 1] = False
-        sequence, first = sequence[left_over], np.append(first[:-1][left_over], False)
-        rules.append(np.stack([a[good], b[good]], axis=1))
-        made += int(good.sum())
-        if len(sequence) > 0.98 * before:
-            break
-    grammar = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint16)
-    return grammar, sequence, np.flatnonzero(first)
-
-
-def _disjoint(at: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of replacements that overlap in a chain, every other one."""
-    if not len(at):
-        return at, rule
-    index = np.arange(len(at))
-    head = np.append(True, np.diff(at) > 1)
-    rank = index - np.maximum.accumulate(np.where(head, index, 0))
-    keep = rank % 2 == 0
-    return at[keep], rule[keep]
-
-
-def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat expansions of all symbols: (flat, offset, length) by symbol. Rules
-    nest as deep as there were rounds, so a few passes over all of them do."""
-    length = np.ones(BASE + len(rules), dtype=np.int64)
-    while True:
-        longer = length[rules].sum(axis=1)
-        if (longer == length[BASE:]).all():
-            break
-        length[BASE:] = longer
-    sequence = rules.ravel().astype(np.int64)
-    while True:
-        nested = sequence >= BASE
-        if not nested.any():
-            break
-        sizes = np.where(nested, 2, 1)
-        at = np.cumsum(sizes) - sizes
-        wider = np.empty(int(sizes.sum()), dtype=np.int64)
-        wider[at] = np.where(nested, rules[np.where(nested, sequence - BASE, 0), 0], sequence)
-        wider[at[nested] + 1] = rules[sequence[nested] - BASE, 1]
-        sequence = wider
-    offset = np.arange(BASE + len(rules), dtype=np.int64)
-    offset[BASE:] = BASE + np.cumsum(length[BASE:]) - length[BASE:]
-    return np.concatenate([np.arange(BASE, dtype=np.uint16), sequence.astype(np.uint16)]), offset, length
-
-
-def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    flat, offset, length = table
-    sizes = length[symbols]
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(offset[symbols] - (ends - sizes), sizes) + np.arange(total)]
-
-
-def document_ids(block: dict, which: int) -> np.ndarray:
-    """Ids of one document of a block row, decoding nothing else."""
-    rules = np.frombuffer(block["rules"], dtype="<u2").reshape(-1, 2)
-    symbols = np.frombuffer(block["symbols"], dtype="<u2")
+            good[:] = used >= 2
+            if not good.any():
+                break
+        number = np.cumsum(good) - 1 + len(lengths)
+        at, order = at[good[order]], order[good[order]]
+        fresh = names[np.argsort(rank)][good]
+        rule = np.stack([fresh >> np.uint64(24), fresh & np.uint64(0xFFFFFF)], axis=1).astype(np.uint32)
+        rules.append(rule)
+        lengths = np.append(lengths, lengths[rule].sum(axis=1))
+        sequence[at] = number[order]
+        stay = np.ones(len(sequence), dtype=bool)
+        stay[at + 1] = False
+        sequence, first = sequence[stay], np.append(first[:-1][stay], False)
+    return np.concatenate(rules), lengths[BASE:], sequence, np.flatnonzero(first)
+
+
+def _replaced(at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the overlapping places are replaced when ranks go in order, each
+    from the left. A place is free to go once both neighbours rank after it, or
+    are gone; each pass settles all such places."""
+    taken = np.zeros(len(at), dtype=bool)
+    alive = np.arange(len(at))
+    while len(alive):
+        a, r = at[alive], order[alive]
+        touch = np.diff(a) == 1
+        # Equal ranks that overlap are one symbol repeated: the left one goes first.
+        before_wins = np.append(False, touch & (r[:-1] <= r[1:]))
+        after_wins = np.append(touch & (r[1:] < r[:-1]), False)
+        win = ~before_wins & ~after_wins
+        taken[alive[win]] = True
+        lost = np.append(False, touch & win[:-1]) | np.append(touch & win[1:], False)
+        alive = alive[~win & ~lost]
+    return at[taken], order[taken]
+
+
+def planes(symbols: np.ndarray) -> bytes:
+    symbols = symbols.ravel()
+    return (symbols & 0xFFFF).astype("<u2").tobytes() + (symbols >> 16).astype(np.uint8).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data, "<u2", n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int64) << 16
+
+
+def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Ids ``begin`` to ``end`` of what ``symbols`` expand to. Lengths place every
+    symbol, so only those that reach into the stretch are ever expanded."""
+    size = lambda s: np.where(s >= BASE, lengths[np.maximum(s - BASE, 0)], 1) if len(lengths) else np.ones(len(s), dtype=np.int64)
+    own = size(symbols)
+    at = np.cumsum(own) - own
+    end = int(own.sum()) if end is None else end
+    out = np.empty(max(0, end - begin), dtype=np.uint16)
+    while len(symbols):
+        reach = (at < end) & (at + own > begin)
+        symbols, at = symbols[reach], at[reach]
+        leaf = symbols < BASE
+        out[at[leaf] - begin] = symbols[leaf]
+        rule, at = rules[symbols[~leaf] - BASE], at[~leaf]
+        symbols = rule.ravel()
+        own = size(symbols)
+        at = np.repeat(at, 2)
+        at[1::2] += own[::2]
+    return out
+
+
+def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules and expansion lengths of a block row."""
+    return from_planes(block["symbols"]), from_planes(block["rules"]).reshape(-1, 2), np.frombuffer(block["lengths"], dtype="<u4").astype(np.int64)
+
+
+def document_ids(block: dict, which: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Ids (of a stretch) of one document of a block row, decoding nothing else."""
+    symbols, rules, lengths = opened(block)
     ends = [*block["offsets"][1:], len(symbols)]
-    return expand(symbols[block["offsets"][which] : ends[which]], expansions(rules))
+    return decode(symbols[block["offsets"][which] : ends[which]], rules, lengths, begin, end)
 
 
 class WordTokenizer:
@@ -241,12 +249,11 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
 
     def row(shard: int, block: int, names: list, pending: list[np.ndarray]) -> pa.RecordBatch:
         counts = np.array([len(p) for p in pending])
-        rules, symbols, offsets = compress(np.concatenate(pending), np.cumsum(counts) - counts)
-        lengths = expansions(rules)[2][BASE:].astype("<u4")
+        rules, lengths, symbols, offsets = compress(np.concatenate(pending), np.cumsum(counts) - counts)
         return pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([names], pa.list_(types)), "counts": pa.array([counts.tolist()], pa.list_(pa.int32())),
-            "offsets": pa.array([offsets.tolist()], pa.list_(pa.int32())), "rules": [rules.astype("<u2").tobytes()],
-            "lengths": [lengths.tobytes()], "symbols": [symbols.astype("<u2").tobytes()],
+            "offsets": pa.array([offsets.tolist()], pa.list_(pa.int32())), "rules": [planes(rules)],
+            "lengths": [lengths.astype("<u4").tobytes()], "symbols": [planes(symbols)],
         })
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -263,8 +270,9 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
-                ids = expand(np.frombuffer(b["symbols"], dtype="<u2"), expansions(np.frombuffer(b["rules"], dtype="<u2").reshape(-1, 2))).astype("<u4")
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1).to_pylist()[0]
+                ids = decode(*opened(b)).astype("<u4")
                 counts = np.array(b["counts"], dtype=np.int64)
                 ends = np.cumsum(counts)
                 sums = [zlib.crc32(ids[e - n : e]) for n, e in zip(counts.tolist(), ends.tolist())]
@@ -276,13 +284,29 @@ def read_documents(blocks: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = to_arrow_type(blocks.schema["doc_ids"].dataType.elementType)
-    order = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # One small row a block: a million blocks at 1 TB of ids.
-    before = blocks.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("tokens")).select(
-        "shard", "block", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("before")
-    )
+    sizes = blocks.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("tokens"))
     decoded = blocks.mapInArrow(run, f"shard int, block int, doc_id {kind}, within long, n_tokens long, ids_crc32 long")
-    return decoded.join(before, ["shard", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    return decoded.join(_before(sizes), ["shard", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+#: Shards whose totals are summed together.
+SHARDS = 512
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """``shard, block, before``: tokens of all earlier blocks. Sums run within a
+    shard, within a group of shards and over the groups, so no window holds more
+    than a shard's blocks, ``SHARDS`` shards, or one row a group."""
+
+    def running(rows: DataFrame, within: list[str], order: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
+
+    shards = sizes.groupBy("shard").agg(F.sum("tokens").alias("tokens")).withColumn("group", F.floor(F.col("shard") / SHARDS).cast("int"))
+    groups = running(shards.groupBy("group").agg(F.sum("tokens").alias("tokens")), [], "group", "groups").drop("tokens")
+    shards = running(shards, ["group"], "shard", "shards").join(groups, "group").select("shard", "shards", "groups")
+    blocks = running(sizes, ["shard"], "block", "blocks")
+    return blocks.join(shards, "shard").select("shard", "block", (F.col("groups") + F.col("shards") + F.col("blocks")).alias("before"))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end: int = 2) -> DataFrame:
