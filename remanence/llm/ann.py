@@ -41,6 +41,8 @@ class Options:
     chunk: int = 4096
     query_block: int = 2048
     columns: int = 8
+    #: Rows after which the abandoning bound is tightened.
+    slice: int = 1024
     #: Width of the abandoning test, in units of 1/sqrt(dimensions seen).
     epsilon: float = 2.1
     recall: float = 0.985
@@ -91,26 +93,29 @@ def fit(sample: np.ndarray, total: int, o: Options) -> Index:
 
 
 def scan(query: np.ndarray, vectors: np.ndarray, o: Options) -> np.ndarray:
-    """Rows of ``vectors`` (rotated) that may be among the nearest of
-    ``query`` (rotated)."""
+    """Rows of ``vectors`` (rotated) that may be among the nearest of ``query``
+    (rotated). Rows go in slices; what a slice leaves is measured whole, so the
+    bound that abandons candidates is the tenth best of all slices before."""
     n, d = vectors.shape
-    if n <= 4 * o.nearest:
-        return np.arange(n)
-    head = 4 * o.nearest
-    first = ((vectors[:head] - query) ** 2).sum(1)
-    bound = np.partition(first, o.nearest - 1)[o.nearest - 1]
-    alive = np.arange(head, n)
-    partial = np.zeros(len(alive))
-    for begin in range(0, d, o.columns):
-        end = min(d, begin + o.columns)
-        block = vectors[alive, begin:end] - query[begin:end]
-        partial = partial + np.einsum("ij,ij->i", block, block)
-        limit = bound if end == d else bound * (1 + o.epsilon / end**0.5) ** 2 * end / d
-        stay = partial <= limit * (1 + 1e-9)
-        alive, partial = alive[stay], partial[stay]
-        if not len(alive):
-            break
-    return np.append(np.flatnonzero(first <= bound * (1 + 1e-9)), alive)
+    found, best, bound = [], np.empty(0), np.inf
+    for start in range(0, n, o.slice):
+        alive = np.arange(start, min(n, start + o.slice))
+        partial = np.zeros(len(alive))
+        for begin in range(0, d, o.columns):
+            end = min(d, begin + o.columns)
+            block = vectors[alive, begin:end] - query[begin:end]
+            partial = partial + np.einsum("ij,ij->i", block, block)
+            limit = bound if end == d else bound * (1 + o.epsilon / end**0.5) ** 2 * end / d
+            stay = partial <= limit * (1 + 1e-9)
+            alive, partial = alive[stay], partial[stay]
+            if not len(alive):
+                break
+        found.append(alive)
+        best = np.append(best, partial[: len(alive)])
+        if len(best) >= o.nearest:
+            best = np.partition(best, o.nearest - 1)[: o.nearest]
+            bound = best.max()
+    return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
 
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", o: Options = Options()) -> DataFrame:

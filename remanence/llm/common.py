@@ -30,10 +30,13 @@ def scratch_dir(spark: SparkSession) -> str:
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, batch_rows: int | None = None, files: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a lineage cut that
     survives the loss of any executor, and that later reads can prune.
 
+    ``files``: most files to write, in proportion to the rows to come; without
+    it every partition is a file, and small tables are very many small files.
+
     ``batch_rows`` bounds the rows that go to a Python worker at once while the
     table is made, where rows are wide.
     """
@@ -43,7 +46,7 @@ def written(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFra
     if batch_rows is not None:
         spark.conf.set(ARROW_ROWS, str(batch_rows))
     try:
-        df.write.parquet(path)
+        (df if files is None else df.coalesce(max(1, files))).write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)

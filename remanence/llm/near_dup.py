@@ -49,6 +49,8 @@ BANDS, ROWS = 42, 6
 NUMERATOR, DENOMINATOR = 80, 100
 #: Members and shingles of one side of a block, on average.
 BLOCK, SHINGLES = 2048, 1 << 20
+#: Rows of a file, for tables whose rows are small, and for those of texts and sets.
+LIGHT, HEAVY = 100_000, 5_000
 #: Rows a Python worker gets at once: sets of long texts are wide.
 AT_ONCE = 200
 #: Standard errors by which an estimate may fall short before a pair is dropped.
@@ -239,15 +241,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among neighbours and then the label of the
     label, so depth halves; rounds end when nothing changes.
     """
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    files = 1 + 2 * edges.count() // LIGHT
+    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct(), "edges", files=files)
+    labels = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels", files=files)
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
         near = both.join(seen, "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = labels.join(near, "node").select("node", F.least("label", "theirs").alias("label"), F.col("label").alias("old"))
-        lower = written(lower, "lower")
+        lower = written(lower, "lower", files=files)
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = written(lower.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), (F.coalesce("further", "label") != F.col("old")).alias("moved")), "labels")
+        after = written(lower.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), (F.coalesce("further", "label") != F.col("old")).alias("moved")), "labels", files=files)
         removed(edges.sparkSession, labels, lower)
         labels = after.select("node", "label")
         if after.where("moved").limit(1).count() == 0:
@@ -312,7 +315,7 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFr
     labelled = shared.join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node").select(
         "key", "node", "band", F.col("n_shingles").alias("n"), F.coalesce("label", "node").alias("label")
     )
-    parts = written(labelled.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")), "bucket-parts")
+    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     most = F.max(F.struct("members", "label", "shingles"))
     blocks = lambda members, shingles: F.ceil(F.greatest(members / BLOCK, shingles / SHINGLES)).cast("int")
     open_ = (
@@ -369,20 +372,22 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     spark = docs.sparkSession
     sketched = written(sketch(docs.select("doc_id", "text"), words), "sketches", 2000)
+    rows = sketched.count()
     nodes = written(
         sketched.where("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("root"), F.min("name").alias("name"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")
         ),
-        "nodes",
+        "nodes", files=1 + 4 * rows // LIGHT,
     )
+    heavy = 1 + rows // HEAVY
     hubs = _bands(nodes).groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    shared = written(_bands(nodes).join(hubs, "key").select("key", "band", "node", "hub"), "buckets")
-    sets = written(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("name", "node"), words), "sets", AT_ONCE)
+    shared = written(_bands(nodes).join(hubs, "key").select("key", "band", "node", "hub"), "buckets", files=1 + BANDS * rows // (4 * LIGHT))
+    sets = written(_sets(docs, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("name", "node"), words), "sets", AT_ONCE, heavy)
     met = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
     stars = met.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links", AT_ONCE)
+    edges = written(_confirmed(_plausible_pairs(stars, nodes), sets), "star-links", AT_ONCE, heavy)
     labels = components(edges)
-    more = written(_across(shared.select("key", "band", "node"), labels, nodes, sets), "cross-links", AT_ONCE)
+    more = written(_across(shared.select("key", "band", "node"), labels, nodes, sets), "cross-links", AT_ONCE, heavy)
     if more.limit(1).count():
         removed(spark, labels)
         labels = components(edges.union(more))
@@ -390,7 +395,9 @@ def groups(docs: DataFrame, words: int = 2) -> DataFrame:
     roots = labels.join(nodes.select("node", "root"), "node")
     least = roots.groupBy("label").agg(F.min("root").alias("low"))
     grouped = roots.join(least, "label").select("node", "low")
-    named = nodes.select("node", "root").join(grouped, "node", "left").select("node", F.coalesce("low", "root").alias("component"))
+    # Written, so that a group of very many copies meets a plain join, which can be split.
+    named = written(nodes.select("node", "root").join(grouped, "node", "left").select("node", F.coalesce("low", "root").alias("component")), "components", files=1 + rows // LIGHT)
+    removed(spark, nodes, labels)
     out = sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(

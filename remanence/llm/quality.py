@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, written
+from .common import BLANKS, removed, written
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "other letter", "digit", "space", "line end", "sentence mark", "other")
@@ -135,6 +135,7 @@ def learn(docs: DataFrame, limits: Limits = Limits()) -> References:
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     common_rows = words_of.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limits.common_words).collect()
     class_rows = counted.where("kind IS NOT NULL").collect()
+    removed(docs.sparkSession, counted)
     kept = sorted(lang for lang, n in totals.items() if n >= limits.reference_words)
     classes, words, shares = [], [], []
     for lang in kept:

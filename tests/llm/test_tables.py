@@ -72,6 +72,17 @@ def test_nearest_recall(spark):
     assert [r[1] for r in sorted(got[0])] == list(range(50, 60))
 
 
+def test_scan_keeps_the_nearest_as_its_bound_tightens():
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(3000, 32))
+    exact = ann.Options(epsilon=50.0)
+    for query in rng.normal(size=(20, 32)):
+        apart = ((vectors - query) ** 2).sum(1)
+        some = ann.scan(query, vectors, exact)
+        assert set(np.argsort(apart)[:10]) <= set(some.tolist()) and len(some) < 600
+    assert len(ann.scan(np.zeros(32), vectors[:0], exact)) == 0
+
+
 def test_nearest_of_few_or_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (100, [2.0, 1.0]), (7, [5.0, 5.0])], "vec_id long, embedding array<double>")
     rows = ann.search(few, F.col("vec_id") % 100 == 0).collect()
