@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Options:
     chunk: int = 4096
     query_block: int = 2048
     columns: int = 8
-    #: Rows after which the abandoning bound is tightened.
+    #: Most rows after which the abandoning bound is tightened.
     slice: int = 1024
     #: Width of the abandoning test, in units of 1/sqrt(dimensions seen).
     epsilon: float = 2.1
@@ -94,12 +94,15 @@ def fit(sample: np.ndarray, total: int, o: Options) -> Index:
 
 def scan(query: np.ndarray, vectors: np.ndarray, o: Options) -> np.ndarray:
     """Rows of ``vectors`` (rotated) that may be among the nearest of ``query``
-    (rotated). Rows go in slices; what a slice leaves is measured whole, so the
-    bound that abandons candidates is the tenth best of all slices before."""
+    (rotated). Rows go in slices, each twice the last up to ``o.slice``; what a
+    slice leaves is measured whole, so the bound that abandons candidates is the
+    tenth best of all slices before. Only the first, small slice has no bound."""
     n, d = vectors.shape
     found, best, bound = [], np.empty(0), np.inf
-    for start in range(0, n, o.slice):
-        alive = np.arange(start, min(n, start + o.slice))
+    start, width = 0, min(o.slice, 4 * o.nearest)
+    while start < n:
+        alive = np.arange(start, min(n, start + width))
+        start, width = start + width, min(o.slice, 2 * width)
         partial = np.zeros(len(alive))
         for begin in range(0, d, o.columns):
             end = min(d, begin + o.columns)
@@ -148,6 +151,7 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
                 )
 
     placed = written(clean.mapInArrow(place, "id long, v array<double>, asks boolean, probes array<int>"), "ann-lists")
+    removed(spark, clean)
     counts = {r["l"]: r["n"] for r in placed.groupBy(F.col("probes")[0].alias("l")).agg(F.count("*").alias("n")).collect()}
     chunks = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, -(-n // o.chunk))])
     asked = placed.where("asks").count()
