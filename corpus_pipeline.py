@@ -47,7 +47,8 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: Compression, sketches and BPE are beyond SQL; a brute-force test covers them.
+#: Compression, sketches and BPE are beyond SQL; tests check each stage's
+#: decisions, and compare the operators with brute force.
 ORACLE_SQL = None
 
 
