@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
+from . import alignment, ann, byte_bpe, language, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -70,8 +70,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
