@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import removed, written
+from .common import removed, repeated_ranges, written
 
 #: Units of a chunk (a document is never split), units a process remembers.
 CHUNK, REMEMBERED = 1 << 20, 400_000
@@ -64,12 +64,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-def repeated_ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``starts[i], starts[i] + 1, ...`` (``counts[i]`` of them) for every i."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
-
-
 class Aligner:
     """Units of one process: their ids, groups and links, found when first met."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, byte_bpe, language, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
+from . import alignment, ann, byte_bpe, language, lexical, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -74,9 +74,29 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH kept AS (SELECT row_number() OVER () AS k, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+tokens AS (SELECT k, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM kept),
+tf AS (SELECT k, term, count(*) AS tf FROM tokens GROUP BY ALL),
+sizes AS (SELECT k, sum(tf)::BIGINT AS n FROM tf GROUP BY k),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weighed AS (SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM asked JOIN df USING (term), whole),
+scored AS (SELECT item_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // len))))::BIGINT AS score
+  FROM weighed JOIN tf USING (term) JOIN sizes USING (k), whole GROUP BY item_id, k)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored JOIN kept USING (k) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language, op11_alignment)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language, op11_alignment, op12_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op12_lexical": OP12_SQL}
