@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, byte_bpe, language, lexical, mixing, near_dup, ngram_lm, quality, secret_scan, token_store, url_filter
+from . import alignment, ann, byte_bpe, language, lexical, mixing, near_dup, ngram_lm, quality, repeats, secret_scan, token_store, url_filter
 from .common import documents
 
 #: Rules of the URL query: (action, host and path).
@@ -94,9 +94,25 @@ FROM scored JOIN kept USING (k) WHERE score > 0 QUALIFY rank <= 10
 """
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT k, doc_id, i, array_to_string(w[i:i+12], ' ') AS phrase FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+earliest AS (SELECT phrase, min(doc_id) AS low FROM windows GROUP BY phrase),
+gone AS (SELECT DISTINCT k, i + o AS i FROM windows JOIN earliest USING (phrase), range(13) AS r(o) WHERE low < doc_id),
+words AS (SELECT k, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+kept AS (SELECT k, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language, op11_alignment, op12_lexical)}
+    return {f.__name__: f for f in (op1_ngram_lm, op2_source_mixing, op3_quality, op4_near_dup, op5_url_filter, op6_byte_bpe, op7_token_store, op8_secret_scan, op9_nearest, op10_language, op11_alignment, op12_lexical, op13_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op12_lexical": OP12_SQL}
+    return {"op5_url_filter": OP5_SQL, "op12_lexical": OP12_SQL, "op13_repeats": OP13_SQL}

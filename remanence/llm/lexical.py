@@ -154,8 +154,8 @@ def opened(spark, path: str) -> Index:
 class Asked:
     """Items asked together: numbers of their terms and, later, their weights."""
 
-    def __init__(self, items: dict):
-        self.ids = list(items)
+    def __init__(self, items: dict, together: int = TOGETHER):
+        self.ids, self.together = list(items), together
         self.number = {t: i for i, t in enumerate(sorted(set().union(*items.values()) if items else ()))}
         self.of = [np.sort(np.fromiter((self.number[t] for t in found), dtype=np.int64, count=len(found))) for found in items.values()]
         self.weight = np.zeros(len(self.number), dtype=np.int64)
@@ -191,8 +191,8 @@ class _Block:
     def items(self, asked: Asked) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Some items at a time: their numbers, the rows of ``term`` that any of
         them has, and their weights on these."""
-        for begin in range(0, len(asked.ids), TOGETHER):
-            some = np.arange(begin, min(begin + TOGETHER, len(asked.ids)))
+        for begin in range(0, len(asked.ids), asked.together):
+            some = np.arange(begin, min(begin + asked.together, len(asked.ids)))
             weights = np.zeros((len(some), len(self.term)))
             for k, i in enumerate(some):
                 mine = np.isin(self.term, asked.of[i], assume_unique=True)
@@ -304,7 +304,7 @@ def search(index: Index, items: DataFrame, limit: int = 10) -> DataFrame:
         mine: dict = {}
         for row in split.where(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k).collect():
             mine.setdefault(row["item_id"], set()).update(map(bytes, row["terms"]))
-        asked = Asked(mine)
+        asked = Asked(mine, TOGETHER)
         asked.weigh(_holding(index, spark.sparkContext.broadcast(asked)), index.documents)
         for item, lower in _least(index, spark.sparkContext.broadcast(asked), limit).items():
             asked.least[item] = lower
