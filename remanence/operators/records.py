@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timefn
+from ..session import settled, workspace
 
 
 def newest(rows: DataFrame, limit: int, at: str = "ts", key: str = "memory_id", where: Column | None = None, offset: int = 0) -> DataFrame:
@@ -102,30 +105,82 @@ def dialogue_windows(messages: DataFrame, hits: DataFrame, most: int = 6, minute
     return near.groupBy("hit_id").agg(F.substring(body, 1, clip).alias("window"), F.count("*").alias("lines"))
 
 
-def first_accepted(events: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
-    """Events at least ``minutes`` after the last accepted one of their key.
+#: Events of an island that are folded in one row; longer ones are followed by pointers.
+FOLDED = 4096
+DAY = 86_400_000_000
+
+
+def first_accepted(events: DataFrame, key: str, at: str, minutes: int, folded: int = FOLDED) -> DataFrame:
+    """Events at least ``minutes`` after the last accepted one of their key, by
+    time and ``event_id``; those without a time are left out.
 
     An event that follows a gap of ``minutes`` is accepted whatever came before,
-    so each key falls into islands that are folded by themselves, and a busy key
-    is spread over as many tasks as it has gaps.
+    so each key falls into islands. Short ones are folded; in longer ones every
+    event points to the first that is ``minutes`` later, and what the first
+    event reaches is found by doubling. Windows are cut by day, so that no task
+    orders all events of a busy key.
     """
-    import pandas as pd
-
-    gap = pd.Timedelta(minutes=minutes)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, "event_id"])
-        kept, last = [], None
-        for t in rows[at]:
-            ok = last is None or t - last >= gap
-            kept.append(ok)
-            last = t if ok else last
-        return rows[kept]
-
-    line = Window.partitionBy(key).orderBy(at, "event_id")
-    wide = F.col(at) >= F.lag(at).over(line) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    islands = events.withColumn("__island", F.sum(F.coalesce(wide, F.lit(True)).cast("int")).over(line))
-    return islands.groupBy(key, "__island").applyInPandas(lambda rows: fold(rows.drop(columns="__island")), events.schema)
+    gap = minutes * 60_000_000
+    rows = events.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col("event_id").alias("id")).where("t IS NOT NULL")
+    with workspace(events.sparkSession) as settle:
+        islands = settle(_islands(rows.withColumn("day", F.floor(F.col("t") / DAY)), gap))
+        sizes = islands.groupBy("key", "island").agg(F.count("*").alias("n"))
+        large = settle(sizes.where(F.col("n") > folded).select("key", "island"))
+        members = islands
+        parts = []
+        if large.limit(1).count():
+            same = lambda left: left["key"].eqNullSafe(large["key"]) & (left["island"] == large["island"])
+            members = islands.join(large, same(islands), "left_anti")
+            parts.append(_reached(islands.join(large, same(islands), "left_semi"), gap, settle).select("row"))
+        line = F.array_sort(F.collect_list(F.struct("t", "id", "row")))
+        start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{events.schema.simpleString()}>").alias("kept"))
+        step = lambda seen, x: F.when(
+            seen["last"].isNull() | (x["t"] - seen["last"] >= gap), F.struct(x["t"].alias("last"), F.concat(seen["kept"], F.array(x["row"])).alias("kept"))
+        ).otherwise(seen)
+        parts.append(members.groupBy("key", "island").agg(line.alias("line")).select(F.explode(F.aggregate("line", start, step)["kept"]).alias("row")))
+        return settled(reduce(DataFrame.union, parts).select("row.*"))
+
+
+def _islands(rows: DataFrame, gap: int) -> DataFrame:
+    """``rows (key, t, id, day)`` with ``island``, the time of the last event
+    before or at theirs that follows a gap."""
+    line = Window.partitionBy("key", "day").orderBy("t", "id")
+    later = rows.withColumn("before", F.lag("t").over(line)).withColumn("start", F.when(F.col("t") - F.col("before") >= gap, F.col("t")))
+    within = later.withColumn("inner", F.max("start").over(line))
+    days = Window.partitionBy("key").orderBy("day")
+    by_day = later.groupBy("key", "day").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("start").alias("inner"))
+    opens = F.col("yesterday").isNull() | (F.col("low") - F.col("yesterday") >= gap)
+    by_day = by_day.withColumn("yesterday", F.lag("high").over(days)).withColumn("first", F.when(opens, F.col("low")))
+    earlier = F.last(F.coalesce("inner", "first"), ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1))
+    by_day = by_day.select(F.col("key").alias("k"), F.col("day").alias("d"), F.coalesce("first", earlier).alias("carried"))
+    both = within.join(by_day, within["key"].eqNullSafe(by_day["k"]) & (within["day"] == by_day["d"]))
+    return both.select("row", "key", "t", "id", "day", F.coalesce("inner", "carried").alias("island"))
+
+
+def _reached(rows: DataFrame, gap: int, settle) -> DataFrame:
+    """Of every island the events that its first one leads to, when each points
+    to the first event that is ``gap`` later."""
+    me = F.struct("t", "id")
+    group = F.struct("key", "island")
+    marks = rows.select(group.alias("g"), "day", "t", "id", F.lit(0).alias("asks"), me.alias("me"))
+    asking = rows.select(group.alias("g"), F.floor((F.col("t") + gap) / DAY).alias("day"), (F.col("t") + gap).alias("t"), "id", F.lit(1).alias("asks"), me.alias("me"))
+    both = marks.union(asking)
+    back = Window.partitionBy("g", "day").orderBy(F.desc("t"), "asks", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    event = F.when(F.col("asks") == 0, F.col("me"))
+    days = Window.partitionBy("g").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    first = both.groupBy("g", "day").agg(F.min(event).alias("first")).withColumn("later", F.last("first", ignorenulls=True).over(days)).select("g", "day", "later")
+    pointed = both.withColumn("next", F.last(event, ignorenulls=True).over(back)).where("asks = 1").join(first, ["g", "day"])
+    jump = settle(pointed.select("g", "me", F.coalesce("next", "later").alias("next")).where("next IS NOT NULL").distinct())
+    found = settle(rows.groupBy(group.alias("g")).agg(F.min(me).alias("me")))
+    while True:
+        fresh = settle(found.join(jump, ["g", "me"]).select("g", F.col("next").alias("me")))
+        if fresh.limit(1).count() == 0:
+            break
+        found = settle(found.union(fresh).distinct())
+        on = jump.select("g", F.col("me").alias("next"), F.col("next").alias("further"))
+        jump = settle(jump.join(on, ["g", "next"]).select("g", "me", F.col("further").alias("next")))
+    named = rows.withColumn("g", group).withColumn("me", me).dropDuplicates(["g", "me"])
+    return named.join(found, ["g", "me"], "left_semi")
 
 
 def every_nth(events: DataFrame, key: str, at: str, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import records
+from ..session import shared_folder
 from ..sources import tables as T
 from ..streaming import ingest
 from .oracle import sql
@@ -14,11 +15,7 @@ from .registry import query
 
 
 def _scratch(spark) -> str:
-    """The shared folder of the session; a temporary one where none is set."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="remanence-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query(sql("""SELECT event_id, event_type FROM (WITH RECURSIVE ordered AS (SELECT event_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),

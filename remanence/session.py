@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +36,44 @@ def build_session(cpus: int | None = None, app: str = "remanence", **extra: str)
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that all executors share, for steps that
-    build on one another: plans stay small and a lost executor costs a step. Only
-    where ``spark.checkpoint.dir`` names no folder (tests, one machine) a
-    temporary one is made and set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only
+    where it names none (tests, one machine) a temporary one is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="remanence-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that all executors share, for steps that
+    build on one another: plans stay small and a lost executor costs a step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any store that Spark writes to."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``settled`` of its own, whose tables go when the block ends. What
+    outlives the block has to be settled outside."""
+    folder = f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+    def settle(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield settle
+    finally:
+        deleted(spark, folder)
