@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, proposals
+from ..operators import graph, proposals, structure
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
@@ -150,3 +150,40 @@ def j20_link_proposals(spark, sf_dir):
     v = T.vectors(spark, sf_dir)
     pairs = proposals.alike_to(v.where("vec_id % 50 = 0"), v, "memory_id", 0.1)
     return graph.link_proposals(pairs, T.memories(spark, sf_dir), T.semantic_edges(spark, sf_dir), least=0.1).select("a", "b", "similarity", "weight")
+
+
+#: Links between records that hold cycles: from an order to the part on its first line, where few are bought.
+CYCLIC = """cyclic_links AS (SELECT 'd' || s AS source_id, 'd' || t AS target_id, max(l_shipdate) AS created FROM (
+  SELECT l_partkey % n AS s, l_orderkey % n AS t, l_shipdate FROM lineitem, (SELECT count(*) AS n FROM documents) WHERE l_linenumber = 1 AND l_quantity <= 8) GROUP BY s, t)"""
+REACHED = """reach AS (SELECT target_id AS a, source_id AS b FROM cyclic_links UNION SELECT a, source_id FROM reach JOIN cyclic_links ON b = target_id),
+rings AS (SELECT x.a AS memory_id, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+ends AS (SELECT source_id AS memory_id FROM cyclic_links UNION SELECT target_id FROM cyclic_links)"""
+
+
+def _cyclic_links(spark, sf_dir):
+    n = T.table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    lines = T.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity <= 8").crossJoin(F.broadcast(n))
+    name = lambda key: F.concat(F.lit("d"), (F.col(key) % F.col("n")).cast("string"))
+    return lines.groupBy(name("l_partkey").alias("source_id"), name("l_orderkey").alias("target_id")).agg(F.max("l_shipdate").alias("created"))
+
+
+def recursive(body: str, *more: str) -> str:
+    return sql(body, *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive("SELECT memory_id, coalesce(component, memory_id) AS component, component IS NOT NULL AS cyclic FROM ends LEFT JOIN rings USING (memory_id)", CYCLIC, REACHED))
+def j13_strong_components(spark, sf_dir):
+    return structure.strong_components(_cyclic_links(spark, sf_dir).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+
+
+@query(recursive("""SELECT 'up_' || substr(sha256(kind || '|' || source_id || '|' || target_id), 1, 16) AS proposal_id, * FROM (
+  SELECT 'structure_cycle' AS kind, e.source_id, e.target_id, size, component FROM (
+    SELECT s.component, arg_max({'source_id': source_id, 'target_id': target_id}, (strftime(created, '%Y-%m-%d %H:%M:%S'), source_id, target_id)) AS e
+    FROM cyclic_links JOIN rings s ON source_id = s.memory_id JOIN rings t ON target_id = t.memory_id WHERE s.component = t.component GROUP BY 1)
+    JOIN (SELECT component, count(*) AS size FROM rings GROUP BY 1) USING (component)
+  UNION ALL SELECT 'structure_overlong', latest, start, hops, NULL FROM (SELECT start, tip AS latest, hops FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1)
+    WHERE hops > 5 AND start NOT IN (SELECT memory_id FROM rings) AND NOT EXISTS (FROM cyclic_links WHERE source_id = latest AND target_id = start))""", CYCLIC, REACHED,
+    "steps AS (SELECT target_id AS memory_id, arg_min(source_id, (-epoch(coalesce(ts, TIMESTAMP '1900-01-01')), source_id)) AS next FROM cyclic_links LEFT JOIN memories ON memory_id = source_id GROUP BY 1)",
+    "walk AS (SELECT memory_id AS start, next AS tip, 1::BIGINT AS hops, [memory_id, next] AS path FROM steps WHERE next <> memory_id UNION ALL SELECT start, next, hops + 1, list_append(path, next) FROM walk JOIN steps ON memory_id = tip WHERE NOT list_contains(path, next))"))
+def j14_structure_proposals(spark, sf_dir):
+    return structure.structure_proposals(_cyclic_links(spark, sf_dir), T.memories(spark, sf_dir))
