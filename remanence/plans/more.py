@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import router, text
-from ..operators import graph, lifecycle, proposals, ranking, reports, search
+from ..operators import graph, greedy, lifecycle, proposals, ranking, reports, search
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
@@ -93,10 +93,19 @@ def n20_group_payloads(spark, sf_dir):
     return reports.group_payloads(g, T.memories(spark, sf_dir), prior).select("group_id", F.size("records").alias("records"), "span_days", "status")
 
 
+def _order_groups(spark, sf_dir):
+    """Records on the lines of one order form a group; its channels are its lines."""
+    n = T.table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    member = F.concat(F.lit("d"), (F.col("l_partkey") % F.col("n")).cast("string"))
+    lines = T.table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))
+    groups = lines.groupBy(F.col("l_orderkey").alias("group_id")).agg(
+        F.collect_set(member).alias("members"), F.max("l_linenumber").alias("channels"), F.min("l_quantity").alias("least"), F.count("*").alias("lines"))
+    return groups.where("lines BETWEEN 2 AND 6").drop("lines")
+
+
 @query()
 def e05_limited_groups(spark, sf_dir):
-    g = T.vectors(spark, sf_dir).select(F.col("vec_id").alias("group_id"), F.array(F.concat(F.lit("d"), (F.col("vec_id") % 40).cast("string"))).alias("members"), (F.col("vec_id") % 3).alias("channels"), (F.col("vec_id") % 7).alias("least"))
-    return proposals.limited_groups(g)
+    return greedy.limited_groups(_order_groups(spark, sf_dir))
 
 
 @query(sql("SELECT query_id, 'd' || doc_id AS memory_id, round(1.0 / rank, 6) AS score FROM text_rank WHERE 1.0 / rank >= 0.35 AND doc_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1.0 / rank, 6) DESC, 'd' || doc_id) = 1", TOKENS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import router
 from ..functions.vector import cosine
-from ..operators import chunks, graph, lifecycle, proposals, ranking, reports
+from ..operators import chunks, graph, greedy, lifecycle, proposals, ranking, reports
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
@@ -103,9 +103,7 @@ def j18_candidate_pools(spark, sf_dir):
 
 @query()
 def j17_bounded_clusters(spark, sf_dir):
-    pairs = _alike(spark, sf_dir, 0.3)
-    labels = graph.components_of(pairs.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
-    return proposals.bounded_clusters(T.vectors(spark, sf_dir), pairs, labels, secondary=0.25)
+    return greedy.bounded_clusters(T.vectors(spark, sf_dir), _alike(spark, sf_dir, 0.3), secondary=0.25)
 
 
 @query(sql("SELECT memory_id, coalesce(degree, 0) AS degree FROM memories LEFT JOIN (SELECT memory_id, count(DISTINCT other) AS degree FROM (SELECT source_id AS memory_id, target_id AS other FROM semantic UNION ALL SELECT target_id, source_id FROM semantic) GROUP BY 1) USING (memory_id) WHERE coalesce(degree, 0) < 2 ORDER BY degree, ts, memory_id LIMIT 80"))
