@@ -2,7 +2,7 @@
 
 ``Engine`` binds the operators to a set of tables. Nothing it returns has run:
 results are lazy DataFrames, and a write is published by the caller through
-:func:`remanence.sources.files.publish`. Reads change nothing; heat and counts
+:func:`remanence.sources.snapshots.publish`. Reads change nothing; heat and counts
 are separate, idempotent writes.
 """
 

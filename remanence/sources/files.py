@@ -5,7 +5,6 @@ reads."""
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
@@ -15,33 +14,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import tables
+from . import snapshots, tables
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Proposals of a JSON queue document; a malformed document fails."""
+    """Proposals of a queue that :func:`write_queue` has published, or of one JSON
+    document; a malformed document fails."""
     schema = T.StructType([T.StructField("proposals", T.ArrayType(tables.PROPOSAL))])
+    store = snapshots.Store(spark, path)
+    if (found := store.snapshot()).version:
+        path = f"{store.root}/{found.tables['table']['folder']}"
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline("proposals"))
 
 
 def write_queue(proposals: DataFrame, path: str) -> None:
-    """The queue as one JSON document, staged first and then renamed."""
+    """The queue as one JSON document, published as a new version."""
     doc = proposals.agg(F.collect_list(F.struct(*proposals.columns)).alias("proposals"))
-    publish(doc.coalesce(1), path, "json")
-
-
-def publish(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Writes beside ``path`` and renames, so readers see all or nothing."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.format(kind).save(staged)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(source, target):
-        raise OSError(f"cannot publish {path}")
+    snapshots.publish(doc.coalesce(1), path, "json")
 
 
 def append_trace(rows: DataFrame, path: str) -> None:
