@@ -12,12 +12,13 @@ word numbers; four steps find which windows recur and where:
    fifth of the words. A chunk sends each of its seeds once.
 2. Seeds that several documents have go back to the chunks that hold them.
 3. Windows around such a seed are confirmed by 96 bits of hash of all their words:
-   a chunk sends each once, with its least doc_id and where it is; the least
-   doc_id of all chunks goes back.
+   a chunk sends each once, with its least doc_id and where it is; whether that
+   is the least of all chunks goes back.
 4. A chunk compiles the recurring windows into Aho-Corasick automata, shards of
-   at most ``PATTERNS`` phrases, in which a word is one character, and streams
-   all its documents through them. Every occurrence in a document with a larger
-   doc_id than the phrase's first one is removed.
+   at most ``PATTERNS`` phrases, and streams all its documents through them. A
+   word is spelled as one of ``LETTERS`` letters, since nodes of many edges are
+   slow; what an automaton finds is then compared word by word. Every occurrence
+   is removed but those in the first document that has the phrase.
 
 What is grouped by a seed or a window is one small row a chunk, never a row an
 occurrence, and the sorts behind the groups spill.
@@ -35,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -44,14 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, written
+from .common import repeated_ranges, scratch_dir, written
 
 #: Words of a window, and of the seed that stands for it.
 WINDOW, SEED = 13, 5
 #: Words and documents of a chunk (a document is never split).
 CHUNK, DOCUMENTS = 1 << 19, 1 << 16
-#: Phrases of one automaton; their words must fit the characters there are.
-PATTERNS = 80_000
+#: Phrases of one automaton, and letters that stand for words in it.
+PATTERNS, LETTERS = 80_000, 64
 #: Positions whose seeds are chosen at once.
 AT_ONCE = 1 << 16
 
@@ -77,7 +79,7 @@ class _Chunk:
         self.doc_ids = row["doc_ids"]
         self.lengths = np.frombuffer(row["lengths"], "<i8")
         self.words = row["words"].split(b" ") if row["words"] else []
-        self.ids = np.frombuffer(row["ids"], "<u4").astype(np.int64)
+        self.ids = np.frombuffer(row["ids"], "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
         self.ends = np.cumsum(self.lengths)
         self.named = np.array([i is not None for i in self.doc_ids], dtype=bool)
         self.number = np.array([0 if i is None else i for i in self.doc_ids], dtype=np.int64)
@@ -119,7 +121,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         ids = np.concatenate(held).astype("<u4") if held else np.zeros(0, "<u4")
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([np.array(lengths, dtype="<i8").tobytes()], pa.binary()),
-            pa.array([b" ".join(known)], pa.binary()), pa.array([ids.tobytes()], pa.binary()),
+            pa.array([b" ".join(known)], pa.binary()), pa.array([ids.view("u1").reshape(-1, 4).T.tobytes()], pa.binary()),
         ], names=["chunk", "doc_ids", "lengths", "words", "ids"])
 
     size = 0
@@ -128,8 +130,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             part = batch.slice(begin, 200)
             for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = (text or "").encode("utf-8", "replace").split()
-                for w in set(words).difference(known):
-                    known[w] = len(known)
+                for w in dict.fromkeys(words):
+                    if w not in known:
+                        known[w] = len(known)
                 doc_ids.append(name)
                 lengths.append(len(words))
                 held.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words)))
@@ -181,33 +184,48 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ], names=["chunk", "at", "high", "low", "doc", "many"])
 
 
-def covered(chunk: _Chunk, at: np.ndarray, first: np.ndarray, most: int = PATTERNS) -> np.ndarray:
-    """Which words of the chunk go: those of every occurrence, in a document
-    after ``first``, of the window that begins ``at``."""
+def covered(chunk: _Chunk, windows: np.ndarray, most: int = PATTERNS) -> np.ndarray:
+    """Which words of the chunk go: those of every occurrence of a window that
+    begins at ``w`` of ``windows``. If an earlier chunk's document has it first,
+    all occurrences go; ``-1 - w`` says that a document of this chunk does, and
+    the occurrences in that one stay."""
+    own = windows < 0
+    at = np.where(own, -1 - windows, windows)
     change = np.zeros(len(chunk.ids) + 1, dtype=np.int64)
+    letters = np.frombuffer(b"".join(map(xxhash.xxh32_digest, chunk.words)), "u1").reshape(-1, 4)[:, 0] % LETTERS + ord("0")
+    # A letter of its own after every document keeps phrases within one.
+    doc = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths)
+    place = np.arange(len(doc)) + doc
+    spelling = np.full(len(doc) + len(chunk.lengths), ord("\n"), dtype=np.uint8)
+    spelling[place] = letters[chunk.ids]
+    text = spelling.tobytes().decode("ascii")
+    word = np.zeros(len(spelling), dtype=np.int64)
+    word[place] = np.arange(len(doc))
     for begin in range(0, len(at), most):
-        phrases = chunk.ids[at[begin : begin + most, None] + np.arange(WINDOW)]
-        earliest = first[begin : begin + most]
-        used = np.unique(phrases)
-        # One character for every word of the phrases, surrogates left out; U+0000 for all others.
-        letter = np.arange(1, len(used) + 1, dtype=np.uint32)
-        letter[letter >= 0xD800] += 0x800
-        code = np.zeros(len(chunk.words), dtype="<u4")
-        code[used] = letter
+        some, mine = at[begin : begin + most], own[begin : begin + most]
+        alike: dict[str, list[int]] = {}
+        for k, p in enumerate(place[some].tolist()):
+            alike.setdefault(text[p : p + WINDOW], []).append(k)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, phrase in enumerate(code[phrases]):
-            automaton.add_word(phrase.tobytes().decode("utf-32-le"), k)
+        for k, phrase in enumerate(alike):
+            automaton.add_word(phrase, k)
         automaton.make_automaton()
-        text = code[chunk.ids]
-        for number, named, end, length in zip(chunk.number.tolist(), chunk.named.tolist(), chunk.ends.tolist(), chunk.lengths.tolist()):
-            if not named or length < WINDOW:
-                continue
-            hits = list(automaton.iter(text[end - length : end].tobytes().decode("utf-32-le")))
-            if hits:
-                last, phrase = np.array(hits, dtype=np.int64).T
-                last = last[earliest[phrase] < number] + (end - length)
-                np.add.at(change, last - WINDOW + 1, 1)
-                np.add.at(change, last + 1, -1)
+        hits = np.fromiter(chain.from_iterable(automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        # Phrases spelled alike are told apart by their words.
+        size = np.fromiter(map(len, alike.values()), dtype=np.int64, count=len(alike))
+        member = np.fromiter(chain.from_iterable(alike.values()), dtype=np.int64, count=int(size.sum()))
+        phrase = member[repeated_ranges((np.cumsum(size) - size)[hits[:, 1]], size[hits[:, 1]])]
+        begins = np.repeat(word[hits[:, 0]] - WINDOW + 1, size[hits[:, 1]])
+        same = chunk.named[doc[begins]]
+        for k in range(WINDOW):
+            same &= chunk.ids[begins + k] == chunk.ids[some[phrase] + k]
+        phrase, begins = phrase[same], begins[same]
+        number = chunk.number[doc[begins]]
+        first = np.full(len(some), np.iinfo(np.int64).max)
+        np.minimum.at(first, phrase, number)
+        goes = begins[~mine[phrase] | (number > first[phrase])]
+        np.add.at(change, goes, 1)
+        np.add.at(change, goes + WINDOW, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -218,8 +236,7 @@ def _remove(with_text: bool, patterns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             chunk = _Chunk(row)
-            found = row["windows"] or []
-            gone = covered(chunk, np.array([w["at"] for w in found], dtype=np.int64), np.array([w["first"] for w in found], dtype=np.int64), patterns)
+            gone = covered(chunk, np.array(row["windows"] or [], dtype=np.int64), patterns)
             spans, texts = [], []
             for end, length in zip(chunk.ends.tolist(), chunk.lengths.tolist()):
                 own = gone[end - length : end]
@@ -245,7 +262,7 @@ def without_repeats(docs: DataFrame, text: bool = True, chunk: int = CHUNK, patt
     # Bucketed, so that answers move to the chunks and the chunks stay.
     name = f"repeat_chunks_{uuid.uuid4().hex}"
     buckets = max(1, 2 * source.rdd.getNumPartitions())
-    chunked.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    chunked.write.bucketBy(buckets, "chunk").sortBy("chunk").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     try:
         chunks = spark.table(name)
         same = Window.partitionBy("seed")
@@ -257,8 +274,8 @@ def without_repeats(docs: DataFrame, text: bool = True, chunk: int = CHUNK, patt
         same = Window.partitionBy("high", "low")
         windows = (
             chunks.join(seeds, "chunk").mapInArrow(_send_windows, "chunk long, at int, high long, low int, doc long, many boolean")
-            .withColumns({"first": F.min("doc").over(same), "recurs": (F.count("*").over(same) > 1) | F.max("many").over(same)}).where("recurs")
-            .groupBy("chunk").agg(F.collect_list(F.struct("at", "first")).alias("windows"))
+            .withColumn("own", F.col("doc") == F.min("doc").over(same)).where("many OR NOT own")
+            .groupBy("chunk").agg(F.collect_list(F.when(F.col("own"), -1 - F.col("at")).otherwise(F.col("at"))).alias("windows"))
         )
         schema = "doc_id long, n_words long, removed array<struct<begin:int,end:int>>, kept_sha256 string" + ", text string" * text
         return written(chunks.join(windows, "chunk", "left").mapInArrow(_remove(text, patterns), schema), "without-repeats")
