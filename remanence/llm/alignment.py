@@ -32,10 +32,12 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import removed, repeated_ranges, written
 
 #: Units of a chunk (a document is never split), units a process remembers.
-CHUNK, REMEMBERED = 1 << 20, 400_000
+CHUNK, REMEMBERED = 1 << 18, 150_000
 #: First-stage groups of one pair.
 SALTS = 16
 #: Characters, as ranges, that some notion of white space or of a piece model
@@ -52,7 +54,6 @@ SALTS = 16
 ODD_RANGES = [(0, 9), (11, 31), (0x7F, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x2581, 0x2581), (0x3000, 0x3000), (0xFEFF, 0xFEFF)]
 ODD = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ODD_RANGES)
 UNIT = re.compile(rf"[ \n]*[^ \n]+(?:(?<=[{ODD}])[ \n]+[^ \n]+)*")
-MARKS = ".,;:!?"
 SPACE = chr(0x2581)
 
 
@@ -64,6 +65,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+def _flat(lists: Iterator[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists, and all their items."""
+    lists = list(lists)
+    counts = np.array([len(x) for x in lists], dtype=np.int64)
+    return counts, np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum()))
+
+
 class Aligner:
     """Units of one process: their ids, groups and links, found when first met."""
 
@@ -86,11 +94,7 @@ class Aligner:
         self.neighbours = {p[i : i + 2] for i, p in enumerate(pieces) if not self.b.is_byte(i) for i in range(len(p) - 1)}
         self.divisible = not any("\n" in n or (n[1] == SPACE and n[0] != SPACE) for n in self.neighbours)
         self.names = [str(i) for i in range(max(kinds, len(pieces)))]
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.roots: dict[str, tuple[bytes, bytes, bool]] = {}
         self.groups: list[str] = []
         self.sizes = np.zeros((0, 5), dtype=np.int64)  # A ids, B ids, groups, links, unaligned
         self.ends = np.zeros(1, dtype=np.int64)
@@ -112,47 +116,44 @@ class Aligner:
     def units(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of every text's units; new ones are learned together."""
         split = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(u for u in chain.from_iterable(split) if u not in self.known))
-        for begin in range(0, len(new), 20_000):
-            self.learn(new[begin : begin + 20_000])
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        for begin in range(0, len(new), 5_000):
+            self.learn(new[begin : begin + 5_000])
         return [np.fromiter(map(self.known.__getitem__, s), dtype=np.int64, count=len(s)) for s in split]
 
-    def _parted(self, unit: str) -> tuple[str, str]:
-        """A unit as word and marks, where neither side's tokens span the two."""
-        core = unit.rstrip(MARKS)
-        if core and core[-1].isalpha() and core != unit and core[-1] + unit[len(core)] not in self.neighbours:
-            return core, unit[len(core) :]
-        return unit, ""
-
-    def _encode(self, roots: list[str]) -> None:
-        ids_a = self.a.encode_batch_fast(roots, add_special_tokens=False)
-        # B puts a space first; where none belongs, a line break keeps it apart.
-        ids_b = self.b.encode([r[1:] if r[0] == " " else "\n" + r for r in roots], num_threads=1)
-        for root, a, b in zip(roots, ids_a, ids_b):
-            a, b = a.ids, b if root[0] == " " else b[2:]
-            data = root.encode("utf-8", "replace")
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-            self.roots[root] = np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes(), same
-
     def learn(self, units: list[str]) -> None:
-        parted = [self._parted(u) for u in units]
-        new = list(dict.fromkeys(p for pair in parted for p in pair if p and p not in self.roots))
-        for begin in range(0, len(new), 2_000):
-            self._encode(new[begin : begin + 2_000])
-        found = [[self.roots[p] for p in pair if p] for pair in parted]
-        good = [all(same for *_, same in f) for f in found]
-        joined = [(b"".join(a for a, _, _ in f), b"".join(b for _, b, _ in f)) if ok else (b"", b"") for f, ok in zip(found, good)]
-        sizes, groups, pairs, times, counts = self.align(
-            np.frombuffer(b"".join(a for a, _ in joined), dtype="<u4").astype(np.int64), np.array([len(a) // 4 for a, _ in joined]),
-            np.frombuffer(b"".join(b for _, b in joined), dtype="<u4").astype(np.int64), np.array([len(b) // 4 for _, b in joined]),
-        )
-        sizes[:, 4] = ~np.array(good, dtype=bool)
+        n_a, a = _flat(e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False))
+        # B puts a space first; where none belongs, a line break keeps it apart.
+        found = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        n_b, b = _flat(ids if u[0] == " " else ids[2:] for u, ids in zip(units, found))
+        data = [u.encode("utf-8", "replace") for u in units]
+        good = self._same(data, n_a, a, self.a_bytes) & self._same(data, n_b, b, self.b_bytes)
+        if not good.all():
+            n_a, a, n_b, b = n_a * good, a[np.repeat(good, n_a)], n_b * good, b[np.repeat(good, n_b)]
+        sizes, groups, pairs, times, counts = self.align(a, n_a, b, n_b)
+        sizes[:, 4] = ~good
         self.known.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
         self.groups += groups
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(counts))
         self.pairs, self.times = np.append(self.pairs, pairs), np.append(self.times, times)
 
+    def _same(self, data: list[bytes], counts: np.ndarray, ids: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+        """Whether every unit's tokens are its bytes."""
+        found = [tokens[i] for i in ids.tolist()]
+        ends = np.cumsum(counts)
+        if b"".join(found) == b"".join(data):
+            size = np.append(0, np.cumsum([len(f) for f in found]))
+            return size[ends] - size[ends - counts] == np.array([len(d) for d in data])
+        return np.array([b"".join(found[e - n : e]) == d for d, n, e in zip(data, counts.tolist(), ends.tolist())], dtype=bool)
+
+    def shorten(self, size: int) -> None:
+        """Keeps the ``size`` units that were met first: common ones come early."""
+        if len(self.known) > size:
+            self.known = dict(islice(self.known.items(), size))
+            self.groups, self.sizes, self.ends = self.groups[:size], self.sizes[:size].copy(), self.ends[: size + 1].copy()
+            self.pairs, self.times = self.pairs[: self.ends[-1]].copy(), self.times[: self.ends[-1]].copy()
+
     def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
         """Of consecutive units with ``n_a`` and ``n_b`` ids each: sizes, groups
         as text, linked id pairs with how often a group has them, pairs a unit."""
@@ -216,7 +217,28 @@ def _digest(aligner: Aligner, units: np.ndarray) -> str:
 COUNTED = ["n_a", "n_b", "n_groups", "n_links"]
 
 
-def _chunk_row(aligner: Aligner, number: int, ids: list, docs: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+#: Units or pairs of a row: rows stay small, whatever a chunk holds.
+PIECE = 8192
+
+
+def _packed(unit: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending unit numbers and their uses: steps and uses as planes of bytes,
+    most of which are zero, compressed."""
+    both = np.concatenate([np.diff(unit, prepend=0), times]).astype("<u4")
+    return _COMPRESSOR.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(_DECOMPRESSOR.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _chunk_rows(aligner: Aligner, number: int, ids: list, docs: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows of three kinds: documents with their distinct units,
+    pieces of the units' links, pieces of the distinct pairs."""
     lengths = np.array([len(d) for d in docs])
     units = np.concatenate(docs)
     doc = np.repeat(np.arange(len(docs)), lengths)
@@ -233,19 +255,31 @@ def _chunk_row(aligner: Aligner, number: int, ids: list, docs: list[np.ndarray],
     starts = np.cumsum(wide) - wide
     linked = np.unique(np.repeat(of, wide[unit]) * max(1, len(pairs)) + place[repeated_ranges(starts[unit], wide[unit])])
     holding = np.bincount(linked % max(1, len(pairs)), minlength=len(pairs))
-    summed = [np.bincount(of, weights=times * aligner.sizes[local[unit], k], minlength=len(docs)).astype(np.int64).tolist() for k in range(4)]
-    binary = lambda values, kind: pa.array([values.astype(kind).tobytes()], pa.binary())
-    return pa.RecordBatch.from_arrays([
-        pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), *(pa.array([s], pa.list_(pa.int64())) for s in summed),
-        pa.array([["" if b or not len(d) else _digest(aligner, d) for d, b in zip(docs, bad)]], pa.list_(pa.string())),
-        pa.array([pairs], pa.list_(pa.int64())), pa.array([holding], pa.list_(pa.int64())),
-        binary(wide, "<u4"), binary(place, "<u4"), binary(aligner.times[at], "<i8"),
-        binary(np.bincount(of, minlength=len(docs)), "<u4"), binary(unit, "<u4"), binary(times, "<u4"),
-    ], names=["chunk", "doc_ids", *COUNTED, "digests", "pairs", "holding", "wide", "place", "inside", "kinds", "unit", "times"])
+    summed = [np.bincount(of, weights=times * aligner.sizes[local[unit], k], minlength=len(docs)).astype(np.int64) for k in range(4)]
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()) if f.name == "chunk" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    ends = np.cumsum(np.bincount(of, minlength=len(docs)))
+    yield batch(
+        len(docs), doc_id=ids, **dict(zip(COUNTED, summed)), units=[_packed(unit[b:e], times[b:e]) for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())],
+        digest=["" if b or not len(d) else _digest(aligner, d) for d, b in zip(docs, bad)],
+    )
+    for begin in range(0, len(local), PIECE):
+        some = wide[begin : begin + PIECE]
+        part = slice(int(starts[begin]), int(starts[begin] + some.sum()))
+        yield batch(1, first=[begin], wide=[some.astype("<u4").tobytes()], place=[place[part].astype("<u4").tobytes()], inside=[aligner.times[at[part]].astype("<i8").tobytes()])
+    for begin in range(0, len(pairs), PIECE):
+        yield batch(1, first=[begin], pairs=[pairs[begin : begin + PIECE]], holding=[holding[begin : begin + PIECE]])
 
 
 def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk: int) -> DataFrame:
     id_type, kind = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
+    long, binary, longs = pa.int64(), pa.binary(), pa.list_(pa.int64())
+    arrow = pa.schema([
+        ("chunk", long), ("doc_id", id_type), *((c, long) for c in COUNTED), ("units", binary), ("digest", pa.string()),
+        ("first", pa.int32()), ("wide", binary), ("place", binary), ("inside", binary), ("pairs", longs), ("holding", longs),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = own_aligner(a_path, b_path), TaskContext.get().partitionId() << 32
@@ -261,34 +295,38 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk: int) -> DataFrame:
                     held.append(units if text else units[:0])
                     size += len(units)
                 if size >= chunk:
-                    yield _chunk_row(aligner, number, ids, held, id_type)
+                    yield from _chunk_rows(aligner, number, ids, held, arrow)
                     ids, held, size, number = [], [], 0, number + 1
                     if len(aligner.known) > REMEMBERED:
-                        aligner.forget()
+                        aligner.shorten(REMEMBERED // 2)
         if ids:
-            yield _chunk_row(aligner, number, ids, held, id_type)
-        if len(aligner.known) > REMEMBERED:
-            aligner.forget()
+            yield from _chunk_rows(aligner, number, ids, held, arrow)
+        aligner.shorten(REMEMBERED // 2)
         pa.default_memory_pool().release_unused()
 
-    counted = ", ".join(f"{c} array<long>" for c in COUNTED)
-    schema = f"chunk long, doc_ids array<{kind}>, {counted}, digests array<string>, pairs array<long>, holding array<long>, wide binary, place binary, inside binary, kinds binary, unit binary, times binary"
+    counted = ", ".join(f"{c} long" for c in COUNTED)
+    schema = f"chunk long, doc_id {kind}, {counted}, units binary, digest string, first int, wide binary, place binary, inside binary, pairs array<long>, holding array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _totals(chunks: DataFrame) -> DataFrame:
-    """``pair, documents, best``: two-stage sums over the chunks' counts, and
-    whether no pair of the same A id has more. A vocabulary bounds the A ids."""
-    rows = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "holding")).alias("p")).select("chunk", "p.pairs", "p.holding")
+    """``a, pair, documents``: two-stage sums over the chunks' counts."""
+    rows = chunks.where("pairs IS NOT NULL").select("chunk", F.explode(F.arrays_zip("pairs", "holding")).alias("p")).select("chunk", "p.pairs", "p.holding")
     salted = rows.groupBy(F.col("pairs").alias("pair"), F.pmod(F.xxhash64("chunk"), F.lit(SALTS)).alias("salt")).agg(F.sum("holding").alias("documents"))
-    totals = salted.groupBy("pair").agg(F.sum("documents").alias("documents")).withColumn("a", F.shiftright("pair", 32))
+    totals = written(salted.groupBy("pair").agg(F.sum("documents").alias("documents")).withColumn("a", F.shiftright("pair", 32)), "pair-totals")
+    return totals
+
+
+def _best(totals: DataFrame) -> DataFrame:
+    """``pair, documents, best``: whether no pair of the same A id has more. A
+    vocabulary bounds the A ids."""
     highest = totals.groupBy("a").agg(F.max("documents").alias("highest"))
     return totals.join(F.broadcast(highest), "a").select("pair", "documents", (F.col("documents") == F.col("highest")).alias("best"))
 
 
 def pair_counts(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> DataFrame:
     """``a_id, b_id, documents, best``: documents that hold the two ids linked."""
-    found = _totals(_chunks(docs, a_path, b_path, chunk))
+    found = _best(_totals(_chunks(docs, a_path, b_path, chunk)))
     return found.select(F.shiftright("pair", 32).alias("a_id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b_id"), "documents", "best")
 
 
@@ -313,7 +351,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     found.append([g for u in units.tolist() for g in parsed(aligner.groups[u])] if aligned else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, group_type)], names=["doc_id", "groups"])
                 if len(aligner.known) > REMEMBERED:
-                    aligner.forget()
+                    aligner.shorten(REMEMBERED // 2)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, groups array<struct<a:array<int>,b:array<int>>>")
 
@@ -325,19 +363,21 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _finished(id_type: pa.DataType):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunks.drop_columns(["pairs", "holding"]).to_pylist()[0]
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = chunk.filter(pc.is_valid(chunk.column("digest")))
+        units = chunk.filter(pc.is_valid(chunk.column("wide"))).sort_by("first")
+        joined = lambda rows, name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind).astype(np.int64)
+        wide, place, inside = joined(units, "wide", "<u4"), joined(units, "place", "<u4"), joined(units, "inside", "<i8")
+        packed = [_unpacked(x) for x in docs.column("units").to_pylist()]
+        kinds = np.array([len(u) for u, _ in packed], dtype=np.int64)
+        unit, times = np.concatenate([u for u, _ in packed]), np.concatenate([t for _, t in packed])
         at = answers.column("at").to_numpy()
         documents, best = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         documents[at], best[at] = answers.column("documents").to_numpy(), answers.column("best").to_numpy(zero_copy_only=False)
-        values = {c: np.frombuffer(row[c], dtype="<i8" if c == "inside" else "<u4").astype(np.int64) for c in ("wide", "place", "inside", "kinds", "unit", "times")}
-        out = []
-        for weight in (best, documents):
-            units = _sums(weight[values["place"]] * values["inside"], values["wide"])
-            out.append(_sums(units[values["unit"]] * values["times"], values["kinds"]))
+        n_best, count_sum = (_sums(_sums(weight[place] * inside, wide)[unit] * times, kinds) for weight in (best, documents))
         return pa.table({
-            "doc_id": pa.array(row["doc_ids"], id_type), **{c: pa.array(row[c], pa.int64()) for c in COUNTED},
-            "n_best": pa.array(out[0]), "count_sum": pa.array(out[1]), "groups_sha256": pa.array(row["digests"], pa.string()),
+            "doc_id": docs.column("doc_id").cast(id_type), **{c: docs.column(c) for c in COUNTED},
+            "n_best": pa.array(n_best), "count_sum": pa.array(count_sum), "groups_sha256": docs.column("digest"),
         })
 
     return run
@@ -348,9 +388,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> Da
     of every row."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     chunks = written(_chunks(docs, a_path, b_path, chunk), "aligned-chunks")
-    held = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-    answers = held.join(_totals(chunks), "pair").select(F.col("chunk").alias("to"), "at", "documents", "best")
+    held = chunks.where("pairs IS NOT NULL").select("chunk", "first", F.posexplode("pairs").alias("k", "pair")).select("chunk", (F.col("first") + F.col("k")).alias("at"), "pair")
+    totals = _totals(chunks)
+    answers = held.join(_best(totals), "pair").select(F.col("chunk").alias("to"), "at", "documents", "best")
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{c} long" for c in [*COUNTED, "n_best", "count_sum"]) + ", groups_sha256 string"
-    found = written(chunks.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_finished(to_arrow_type(kind)), schema), "aligned")
-    removed(spark, chunks)
+    rest = chunks.where("pairs IS NULL").drop("pairs", "holding")
+    found = written(rest.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_finished(to_arrow_type(kind)), schema), "aligned")
+    removed(spark, chunks, totals)
     return found
