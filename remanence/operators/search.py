@@ -43,13 +43,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = asked.select("term").distinct()
     held = words.select(key, "length", F.explode("words").alias("term")).join(wanted, "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return scored(asked, held, corpus, key, limit)
+
+
+def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame, key: str, limit: int) -> DataFrame:
+    """BM25 ranks of ``asked (query_id, term)`` over the postings ``held (key,
+    length, term, tf)`` of all asked terms; ``corpus``: one row ``n, mean``."""
     df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weighted = held.join(df, "term").select(
         key, "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("part")
     )
-    scored = asked.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(scored, "query_id", [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank", "score")
+    summed = asked.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(summed, "query_id", [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank", "score")
 
 
 def top(df: DataFrame, by: str, order: list, limit: int) -> DataFrame:

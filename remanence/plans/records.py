@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import segments
 from ..operators import records, search
 from ..sources import tables as T
 from .oracle import sql
@@ -163,3 +164,30 @@ def g01_jaccard(spark, sf_dir):
     m = T.memories(spark, sf_dir).select("doc_id", "tags")
     both = m.alias("a").join(m.alias("b"), F.col("a.doc_id") + 1 == F.col("b.doc_id"))
     return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.round(F.size(F.array_intersect("a.tags", "b.tags")) / F.size(F.array_union("a.tags", "b.tags")), 6).alias("jaccard"))
+
+
+#: One character of a script without blanks for each letter, and the letters.
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+UNSPACED = f"""unspaced AS (SELECT id, conv_id, kind, ts, replace(translate(lower(text), '{LATIN}', '{HAN}'), ' ', '') AS text FROM messages),
+runs AS (SELECT id, unnest(regexp_extract_all(text, '[{HAN[0]}-{HAN[-1]}]+')) AS run FROM unspaced)"""
+
+
+def _unspaced(spark, sf_dir):
+    """The messages as a script that puts no blanks between words."""
+    return T.messages(spark, sf_dir).withColumn("text", F.replace(F.translate(F.lower("text"), LATIN, HAN), F.lit(" "), F.lit("")))
+
+
+@query(sql("SELECT id, sum(greatest(length(run) - 1, 0))::BIGINT AS tokens, count(DISTINCT run)::BIGINT AS runs FROM runs GROUP BY id", UNSPACED))
+def h01_unspaced_bigrams(spark, sf_dir):
+    """Without a dictionary every run falls back to its bigrams."""
+    segmented = segments.segmenter()
+    m = _unspaced(spark, sf_dir).select("id", segmented("text").alias("tokens"), F.array_distinct(segments.runs(F.col("text"))).alias("runs")).where(F.size("runs") > 0)
+    han = F.filter("tokens", lambda t: t.rlike(f"^[{HAN[0]}-{HAN[-1]}]+$"))
+    return m.select("id", F.size(han).cast("long").alias("tokens"), F.size("runs").cast("long").alias("runs"))
+
+
+@query(sql("""SELECT word, max(uses) AS uses FROM (SELECT g.word AS word, g.uses, min(g.uses * total / (l.uses * r.uses)) AS lift FROM (SELECT word, uses, unnest(range(1, length(word))) AS cut FROM grams WHERE length(word) > 1) g
+  JOIN grams l ON l.word = substr(g.word, 1, cut) JOIN grams r ON r.word = substr(g.word, cut + 1), (SELECT sum(uses) AS total FROM grams WHERE length(word) = 1) GROUP BY 1, 2) WHERE lift >= 8 GROUP BY 1""", UNSPACED,
+           "grams AS (SELECT substr(run, i::INT, n::INT) AS word, count(*) AS uses FROM runs, range(1, 5) s(n), unnest(range(1, length(run) - n + 2)) t(i) GROUP BY 1 HAVING count(*) >= 5 OR length(word) = 1)"))
+def h01_learned_words(spark, sf_dir):
+    return segments.learned(_unspaced(spark, sf_dir))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, dot
-from ..operators import graph, search
+from ..operators import graph, search, text_index
+from ..session import shared_folder
 from ..sources import tables as T
 from .oracle import sql
 from .registry import query
@@ -48,6 +51,23 @@ def i04_postings(spark, sf_dir):
     return search.postings(T.memories(spark, sf_dir), "doc_id", "text")
 
 
+CHANGED = """changed AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' ' || source || ' ' || text ELSE text END AS text FROM memories WHERE doc_id % 13 <> 0)"""
+
+
+@query(sql("SELECT query_id, doc_id, rank, score FROM text_rank", CHANGED, TOKENS.replace("FROM memories", "FROM changed")))
+def i04_kept_index(spark, sf_dir):
+    """An index that takes most records, then the rest with some changed and
+    some removed, is merged, and answers."""
+    m = T.memories(spark, sf_dir).select("doc_id", "text", "source")
+    index = text_index.TextIndex(spark, f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    index.update(m.where("doc_id % 11 <> 0").select("doc_id", "text"))
+    longer = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" "), "source", F.lit(" "), "text")).otherwise(F.col("text")).alias("text")
+    index.update(m.where("doc_id % 11 = 0 OR doc_id % 7 = 0").where("doc_id % 13 <> 0").select("doc_id", longer), m.where("doc_id % 13 = 0"))
+    index.merge()
+    index.store.vacuum()
+    return index.search(T.search_queries(spark, sf_dir))
+
+
 @query(sql("SELECT query_id, doc_id, rank, distance FROM vector_rank", ASKED, VECTOR_RANK))
 def i08_vector_search(spark, sf_dir):
     return _vector_rank(spark, sf_dir)
