@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import router
 from ..functions.vector import cosine
-from ..operators import chunks, graph, greedy, lifecycle, proposals, ranking, reports
+from ..operators import chunks, graph, greedy, kept_pairs, lifecycle, maintenance, proposals, ranking, reports
+from ..session import shared_folder
 from ..sources import tables as T
+from ..sources.snapshots import Store
 from .oracle import sql
 from .registry import query
 from .search import CONFIDENCE, TOKENS, _text_rank
@@ -262,3 +266,41 @@ def o70_snapshot_delta(spark, sf_dir):
     m = T.memories(spark, sf_dir)
     mean = lambda df: df.groupBy("level").agg(F.round(F.avg("activation"), 6).alias("mean"))
     return reports.snapshot_delta(mean(m), mean(m.where("tier = 'short'")), "level", "mean")
+
+
+@query(sql("SELECT a, b, similarity FROM alike JOIN vectors x ON a = x.memory_id JOIN vectors y ON b = y.memory_id WHERE similarity >= 0.3 AND x.vec_id % 10 <> 3 AND y.vec_id % 10 <> 3", ALIKE))
+def n18_kept_pairs(spark, sf_dir):
+    """Pairs kept over three runs: most vectors, then the rest with some turned
+    round, then those as they are and some gone; the same as one whole join."""
+    v = T.vectors(spark, sf_dir).select("memory_id", "vec_id", "embedding")
+    turned = F.when(F.col("vec_id") % 7 == 2, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding")
+    kept = kept_pairs.KeptPairs(spark, f"{shared_folder(spark)}/kept-pairs-{uuid.uuid4().hex}")
+    kept.update(v.where("vec_id % 4 <> 1").select("memory_id", "embedding"))
+    kept.update(v.select("memory_id", turned))
+    kept.update(v.where("vec_id % 10 <> 3").select("memory_id", "embedding"))
+    kept.store.vacuum()
+    return kept.pairs()
+
+
+@query(sql("""SELECT * FROM (SELECT 'trash' AS task, 'trash' AS "table", count(*) AS before, count(*) FILTER (ts >= TIMESTAMP '2024-01-08 00:00:00' - INTERVAL 7 DAY) AS after FROM memories WHERE doc_id % 9 = 0
+  UNION ALL SELECT 'events', 'events', count(*), count(m.memory_id) FROM (SELECT 'd' || (event_id % (2 * n)) AS memory_id FROM events, (SELECT count(*) AS n FROM documents)) e LEFT JOIN memories m USING (memory_id)
+  UNION ALL SELECT 'edges', 'edges', (SELECT count(*) FROM flow), count(*) FROM (SELECT w, row_number() OVER (PARTITION BY source_id ORDER BY w DESC, last_fired DESC, target_id) AS rn FROM
+    (SELECT source_id, target_id, last_fired, round(weight * 0.9, 9) AS w FROM flow)) WHERE rn = 1 OR w >= 0.1
+  UNION ALL SELECT 'tier', 'memories', count(*), count(*) FROM memories)"""))
+def l59_maintenance(spark, sf_dir):
+    """A dry run, then the run that applies; what the new snapshot holds."""
+    m = T.memories(spark, sf_dir).select("doc_id", "memory_id", "ts", F.when(F.col("doc_id") % 17 == 0, "odd").otherwise(F.col("tier")).alias("tier"))
+    n = m.agg(F.count("*").alias("n"))
+    log = T.table(spark, sf_dir, "events").select("event_id").crossJoin(F.broadcast(n)).select("event_id", F.concat(F.lit("d"), (F.col("event_id") % (2 * F.col("n"))).cast("string")).alias("memory_id"))
+    store = Store(spark, f"{shared_folder(spark)}/maintained-{uuid.uuid4().hex}")
+    store.commit({"memories": m, "events": log, "edges": T.flow_edges(spark, sf_dir), "trash": m.where("doc_id % 9 = 0").withColumnRenamed("ts", "deleted_at")})
+    now = F.expr("timestamp_ntz'2024-01-08 00:00:00'")
+    planned = maintenance.run(store, now)
+    assert store.snapshot().version == 1
+    applied = maintenance.run(store, now, apply=True)
+    after = None
+    for name in ("trash", "events", "edges", "memories"):
+        row = store.read(name).agg(F.lit(name).alias("table"), F.count("*").alias("held"))
+        after = row if after is None else after.unionByName(row)
+    same = planned.select("task", "table", "before", "after").intersect(applied.select("task", "table", "before", "after"))
+    return same.join(after, "table").where("after = held").select("task", "table", "before", "after")
