@@ -109,7 +109,14 @@ def identity_surface(body: Column, most: int = 24) -> Column:
     return F.substring(bare, F.greatest(F.lit(1), F.length(bare) - most + 1), F.lit(most))
 
 
+def searched_body(tag: Column, snippet: Column, body: Column, matched: Column, shadow: Column, context: Column) -> Column:
+    """All that a candidate is searched in: its six fields joined by blanks, a
+    missing one as an empty string."""
+    return F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in (tag, snippet, body, matched, shadow, context)]), " ")
+
+
 def candidate_body(snippet: Column, body: Column) -> Column:
+    """What is shown of a candidate."""
     return F.coalesce(F.when(snippet != "", snippet), body)
 
 

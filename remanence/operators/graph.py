@@ -70,15 +70,11 @@ def resolved_updates(semantic: DataFrame, hops: int = 5) -> DataFrame:
     return every.select("memory_id", F.when(done, F.col("newest")).alias("newest"), done.alias("resolved"))
 
 
-def on_cycle(semantic: DataFrame, hops: int = 5) -> DataFrame:
-    """Records that reach themselves along ``updates`` within ``hops``."""
-    edges = semantic.where("role = 'updates'").select("source_id", "target_id").distinct()
-    walk = edges.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("at"))
-    found = walk.where("memory_id = at").select("memory_id")
-    for _ in range(hops - 1):
-        walk = walk.where("memory_id <> at").join(edges, F.col("at") == F.col("source_id")).select("memory_id", F.col("target_id").alias("at")).distinct()
-        found = found.union(walk.where("memory_id = at").select("memory_id"))
-    return found.distinct()
+def on_cycle(semantic: DataFrame) -> DataFrame:
+    """Records that reach themselves along ``updates``, over cycles of any length."""
+    from .structure import strong_components
+
+    return strong_components(semantic.where("role = 'updates'")).where("cyclic").select("memory_id")
 
 
 def typed_violations(semantic: DataFrame, memories: DataFrame) -> DataFrame:

@@ -149,8 +149,18 @@ def h102_identity_surface(spark, sf_dir):
     return T.messages(spark, sf_dir).select("id", actions.identity_surface(asked).alias("surface"))
 
 
-@query(sql("SELECT memory_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE left(text, 60) END AS body FROM memories WHERE length(text) > 20"))
+@query(sql("""SELECT m.memory_id, m.tags[1] || ' ' || left(m.text, 20) || ' ' || m.text || ' ' || coalesce(u.text, '') || ' ' || ' ' || coalesce(m.source, '') AS body
+  FROM memories m LEFT JOIN (SELECT doc_id + 5 AS doc_id, text FROM memories) u USING (doc_id)"""))
 def h106_candidate_body(spark, sf_dir):
+    """The matched text is that of the record five before."""
+    m = T.memories(spark, sf_dir)
+    matched = m.select((F.col("doc_id") + 5).alias("doc_id"), F.col("text").alias("matched"))
+    both = m.join(matched, "doc_id", "left")
+    return both.select("memory_id", actions.searched_body(F.get("tags", F.lit(0)), F.substring("text", 1, 20), F.col("text"), F.col("matched"), F.lit(None).cast("string"), F.col("source")).alias("body"))
+
+
+@query(sql("SELECT memory_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE left(text, 60) END AS body FROM memories WHERE length(text) > 20"))
+def o62_candidate_body(spark, sf_dir):
     m = T.memories(spark, sf_dir).where(F.length("text") > 20)
     snippet = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise("")
     return m.select("memory_id", actions.candidate_body(snippet, F.substring("text", 1, 60)).alias("body"))

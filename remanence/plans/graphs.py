@@ -68,8 +68,8 @@ def j05_resolve_updates(spark, sf_dir):
     return graph.resolved_updates(T.semantic_edges(spark, sf_dir))
 
 
-@query(sql("""SELECT DISTINCT memory_id FROM (WITH RECURSIVE walk AS (SELECT source_id AS memory_id, target_id AS place, 1 AS d FROM semantic WHERE role = 'updates'
-  UNION SELECT memory_id, s.target_id, d + 1 FROM walk JOIN semantic s ON s.source_id = place WHERE s.role = 'updates' AND d < 5 AND memory_id <> place) SELECT memory_id, place FROM walk) WHERE memory_id = place"""))
+@query(sql("""SELECT DISTINCT memory_id FROM (WITH RECURSIVE walk AS (SELECT source_id AS memory_id, target_id AS place FROM semantic WHERE role = 'updates'
+  UNION SELECT memory_id, s.target_id FROM walk JOIN semantic s ON s.source_id = place WHERE s.role = 'updates') SELECT memory_id, place FROM walk) WHERE memory_id = place"""))
 def j06_update_cycles(spark, sf_dir):
     return graph.on_cycle(T.semantic_edges(spark, sf_dir))
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import aliases
 from ..functions.vector import cosine, dot
 from ..operators import graph, search, text_index
 from ..session import shared_folder
@@ -176,3 +177,13 @@ def h38_cosine_pairs(spark, sf_dir):
     v = T.vectors(spark, sf_dir)
     one = v.where("vec_id = 0").select(F.col("embedding").alias("asked"))
     return v.crossJoin(F.broadcast(one)).select("vec_id", F.round(cosine("embedding", "asked"), 6).alias("cosine"), F.round(F.sqrt(dot("embedding", "embedding")), 6).alias("norm"))
+
+
+@query(sql("""SELECT memory_id, list_sort(list(DISTINCT canonical)) AS named FROM memories, (SELECT 'item' || item_id AS canonical,
+  lower(array_to_string(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')[1:3], '')) AS alias FROM benchmark) WHERE length(alias) >= 2 AND contains(lower(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g')), alias) GROUP BY 1"""))
+def h97_named_in_text(spark, sf_dir):
+    """Aliases of three words: how every passage of the benchmark begins."""
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)), 1, 3)
+    dictionary = T.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("canonical"), F.lit("passage").alias("kind"), F.array_join(words, " ").alias("alias"))
+    found = T.memories(spark, sf_dir).select("memory_id", aliases.matcher(dictionary)("text").alias("found")).where(F.size("found") > 0)
+    return found.select("memory_id", F.array_sort(F.array_distinct(F.transform("found", lambda f: f["canonical"]))).alias("named"))
