@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
-from ..functions.vector import cosine
 from ..session import settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, TEXT_ONLY = 60, 1.5
+#: Vectors and queries a block of a vector search, queries of one matrix product.
+BLOCK, ASKING, SLICE = 8192, 4096, 256
+#: What rounding to six digits can make equal, and the error of a product.
+MARGIN = 1.1e-6
 
 
 @dataclass(frozen=True)
@@ -63,13 +69,106 @@ def top(df: DataFrame, by: str, order: list, limit: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, limit: int, most: float | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, limit: int, most: float | None = None, own: str | None = None) -> DataFrame:
     """``query_id, key, rank, distance``: cosine distance of every vector to the
-    queries ``(query_id, vector)``, which are a stated, small set."""
-    pairs = vectors.join(queries.withColumnRenamed("vector", "asked")).withColumn("distance", F.round(1 - cosine("embedding", "asked"), 6))
+    queries ``(query_id, vector)``; with ``own``, a query's column of that name
+    is the key that it does not find. A vector of another length, null or zero
+    is at distance 1.
+
+    Both sides are dealt to blocks and every block of vectors meets every block
+    of queries in one matrix product, of which the best ``limit`` a query go on.
+    """
+    n, m = (max(1, -(-side.count() // size)) for side, size in ((vectors, BLOCK), (queries, ASKING)))
+    sound = lambda c: F.when(F.forall(c, lambda x: x.isNotNull()), F.col(c).cast("array<double>")).alias("v")
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    answers = vectors.select(F.col(key).alias("key"), sound("embedding"), block(key, n).alias("j"), every(m).alias("i"))
+    asks = queries.select("query_id", (F.lit(None).cast(vectors.schema[key].dataType) if own is None else F.col(own)).alias("own"), sound("vector"), block("query_id", m).alias("i"), every(n).alias("j"))
+    if own is not None:
+        answers, asks = answers.where("key IS NOT NULL"), asks.where("own IS NOT NULL")
+    kinds = asks.schema["query_id"].dataType.simpleString(), answers.schema["key"].dataType.simpleString()
+    near = answers.groupBy("i", "j").cogroup(asks.groupBy("i", "j")).applyInArrow(
+        lambda left, right: _measured(left, right, limit), f"query_id {kinds[0]}, key {kinds[1]}, distance double"
+    ).withColumn("distance", F.round("distance", 6)).withColumnRenamed("key", key)
     if most is not None:
-        pairs = pairs.where(F.col("distance") <= most)
-    return top(pairs.select("query_id", key, "distance"), "query_id", [F.asc("distance"), F.asc(key)], limit).select("query_id", key, "rank", "distance")
+        near = near.where(F.col("distance") <= most)
+    return top(near, "query_id", [F.asc("distance"), F.asc(key)], limit).select("query_id", key, "rank", "distance")
+
+
+def _measured(answers: pa.Table, asks: pa.Table, limit: int) -> pa.Table:
+    """``query_id, key, distance`` of all that may be among the ``limit`` nearest
+    of a query once distances are rounded: the product only chooses, distances
+    are summed in the order of :func:`cosine`. Of equal ones the first keys stay."""
+    room = max(pc.max(pc.list_value_length(t["v"])).as_py() or 0 for t in (answers, asks))
+    (v, lengths), (q, wanted) = _matrix(answers["v"], room), _matrix(asks["v"], room)
+    key, own, query = (t[c].combine_chunks() for t, c in ((answers, "key"), (asks, "own"), (asks, "query_id")))
+    code = pa.chunked_array([key, own]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    codes, owns = code[: len(key)], code[len(key) :]
+    owns = np.where(owns < 0, -2, owns)
+    place = np.empty(len(key), dtype=np.int64)
+    place[pc.sort_indices(key, null_placement="at_start").to_numpy()] = np.arange(len(key))
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(v) == 0:
+        wanted = wanted[:0]
+    with np.errstate(all="ignore"):
+        for d in np.unique(wanted):
+            same = np.flatnonzero((lengths == d) & (d >= 0))
+            a, size, asked = v[: max(d, 0), same], _norm(v[: max(d, 0), same]), np.flatnonzero(wanted == d)
+            odd = ~((size > 1e-100) & (size < 1e100))
+            unit = np.where(odd, 0, a / size)
+            for begin in range(0, len(asked), SLICE):
+                some = asked[begin : begin + SLICE]
+                b = q[: max(d, 0), some]
+                length = _norm(b)
+                far = np.ones((len(some), len(key)))
+                far[:, same] = 1 - (b / length).T @ unit
+                exact = ~((length > 1e-100) & (length < 1e100))
+                for x in np.flatnonzero(exact):
+                    far[x, same] = _distance(b[:, [x]], a, length[x], size)
+                far[:, same[odd]] = np.stack([_distance(b[:, [x]], a[:, odd], length[x], size[odd]) for x in range(len(some))]) if odd.any() else far[:, same[odd]]
+                mine = codes[None, :] == owns[some, None]
+                far[mine] = np.nan
+                cut = np.partition(far, limit - 1, axis=1)[:, limit - 1] if len(key) > limit else np.full(len(some), np.nan)
+                x, y = np.nonzero(~(far > cut[:, None] + MARGIN) & ~mine)
+                at = np.full(len(key), -1)
+                at[same] = np.arange(len(same))
+                met = at[y] >= 0
+                value = np.ones(len(x))
+                value[met] = _distance(b, a, length, size, x[met], at[y[met]])
+                order = np.lexsort((place[y], value, x))
+                x, y, value = x[order], y[order], value[order]
+                first = np.ones(len(x), dtype=bool)
+                first[1:] = (x[1:] != x[:-1]) | ((value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1])))
+                begins = np.flatnonzero(first)
+                kept = np.arange(len(x)) - begins[np.cumsum(first) - 1] < limit if len(x) else first
+                found.append((some[x[kept]], y[kept], value[kept]))
+    x, y, value = (np.concatenate(part) for part in zip(*found))
+    return pa.table({"query_id": query.take(pa.array(x)), "key": key.take(pa.array(y)), "distance": pa.array(value, from_pandas=False)})
+
+
+def _matrix(column: pa.ChunkedArray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as columns of ``room`` rows, and their lengths; null: -1."""
+    lists = column.combine_chunks()
+    lengths = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(lengths), room))
+    out[np.arange(room)[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
+    return np.ascontiguousarray(out.T), lengths
+
+
+def _norm(v: np.ndarray) -> np.ndarray:
+    total = np.zeros(v.shape[1])
+    for x in v:
+        total += x * x
+    return np.sqrt(total)
+
+
+def _distance(b: np.ndarray, a: np.ndarray, length: np.ndarray, size: np.ndarray, x=slice(None), y=slice(None)) -> np.ndarray:
+    """One minus the cosine of columns x of b and y of a, summed as Spark sums."""
+    both = length[x] * size[y] if np.ndim(length) else length * size[y]
+    total = np.zeros(len(both))
+    for p, r in zip(b, a):
+        total += p[x] * r[y]
+    return 1 - np.where((both > 0) | np.isnan(both), total / both, 0.0)
 
 
 def fused(by_vector: DataFrame, by_text: DataFrame, key: str) -> DataFrame:
