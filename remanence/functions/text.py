@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORDS = r"[\p{L}\p{N}]+"
+WORDS, BETWEEN = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "was", "for")
 
 
 def tokens(text: Column, least: int = 2) -> Column:
     """Lower-cased runs of letters and digits of at least ``least`` characters."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0)), lambda t: F.length(t) >= least)
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda t: F.length(t) >= max(least, 1))
 
 
 def query_terms(text: Column) -> Column:

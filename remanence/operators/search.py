@@ -17,6 +17,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K, TEXT_ONLY = 60, 1.5
 #: Vectors and queries a block of a vector search, queries of one matrix product.
 BLOCK, ASKING, SLICE = 8192, 4096, 256
+#: Documents a slice and queries a block of a text search; documents and terms of one matrix product.
+DOCUMENTS, PASSAGES, HEIGHT, WIDTH = 4096, 512, 1024, 2048
 #: What rounding to six digits can make equal, and the error of a product.
 MARGIN = 1.1e-6
 
@@ -42,28 +44,94 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """``query_id, key, rank, score``: best ``limit`` documents a query, any
     query term matching. Higher is better; ties go to the smaller key.
 
-    Only terms that a query asks for are shuffled; corpus figures are one row.
+    Only terms that a query asks for are shuffled, and one row without a term a
+    document, from which the corpus figures come: texts are cut once.
     """
     asked = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
     words = docs.select(F.col(key), tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    held = words.select(key, "length", F.explode("words").alias("term")).join(wanted, "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    return scored(asked, held, corpus, key, limit)
+    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    terms = words.select(key, "length", F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).join(wanted, "term")
+    held = terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    whole = held.where("term = ''")
+    corpus = whole.agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    return scored(asked, held.where("term <> ''"), corpus, key, limit)
 
 
 def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame, key: str, limit: int) -> DataFrame:
     """BM25 ranks of ``asked (query_id, term)`` over the postings ``held (key,
-    length, term, tf)`` of all asked terms; ``corpus``: one row ``n, mean``."""
-    df = held.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))
+    length, term, tf)`` of all asked terms; ``corpus``: one row ``n, mean``.
+
+    Documents are dealt to slices and queries to blocks; a slice meets a block
+    in matrix products, and the best ``limit`` of the slice a query go on. So
+    rows grow with the postings, not with the queries that share them.
+    """
+    many = asked.agg(F.count_distinct("query_id").alias("asking"))
+    sizes = F.broadcast(corpus.crossJoin(many).select(
+        "n", "mean", *[F.greatest(F.ceil(F.col(c) / k).cast("int"), F.lit(1)).alias(name) for c, k, name in (("n", DOCUMENTS, "slices"), ("asking", PASSAGES, "blocks"))]
+    ))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = held.join(df, "term").select(
-        key, "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("part")
-    )
-    summed = asked.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    asks = asked.join(df, "term").crossJoin(sizes).select("query_id", "term", idf.alias("idf"), block("query_id", "blocks").alias("i"), every("slices").alias("j"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    answers = held.crossJoin(sizes).select(F.col(key).alias("key"), "term", part.alias("part"), block(key, "slices").alias("j"), every("blocks").alias("i"))
+    kinds = asks.schema["query_id"].dataType.simpleString(), answers.schema["key"].dataType.simpleString()
+    summed = answers.groupBy("i", "j").cogroup(asks.groupBy("i", "j")).applyInArrow(
+        lambda left, right: _summed(left, right, limit), f"query_id {kinds[0]}, key {kinds[1]}, score double"
+    ).select("query_id", F.col("key").alias(key), F.round("score", 6).alias("score"))
     return top(summed, "query_id", [F.desc("score"), F.asc(key)], limit).select("query_id", key, "rank", "score")
 
 
+def _summed(answers: pa.Table, asks: pa.Table, limit: int) -> pa.Table:
+    """``query_id, key, score`` of all that may be among the ``limit`` highest of
+    a query once scores are rounded; of equal ones the first keys stay."""
+    keys, queries = (t[c].combine_chunks().dictionary_encode(null_encoding="encode") for t, c in ((answers, "key"), (asks, "query_id")))
+    terms = asks["term"].combine_chunks().dictionary_encode()
+    term = pc.index_in(answers["term"].combine_chunks(), value_set=terms.dictionary)
+    met = pc.is_valid(term).to_numpy(zero_copy_only=False)
+    doc, query = (c.indices.to_numpy() for c in (keys, queries))
+    doc, term, part = doc[met], term.drop_null().to_numpy(), answers["part"].to_numpy()[met]
+    order = np.lexsort((term // WIDTH, doc // HEIGHT))
+    doc, term, part = doc[order], term[order], part[order]
+    own, idf = terms.indices.to_numpy(), asks["idf"].to_numpy()
+    place = np.empty(len(keys.dictionary), dtype=np.int64)
+    place[pc.sort_indices(keys.dictionary, null_placement="at_start").to_numpy()] = np.arange(len(place))
+    weight = []
+    for low in range(0, len(terms.dictionary), WIDTH):
+        some = (own >= low) & (own < low + WIDTH)
+        weight.append((own[some] - low, query[some], idf[some]))
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for low in range(0, len(place), HEIGHT):
+        high = min(low + HEIGHT, len(place))
+        score, hits = np.zeros((high - low, len(queries.dictionary))), slice(*np.searchsorted(doc, (low, high)))
+        if hits.start == hits.stop:
+            continue
+        d, t, w = doc[hits] - low, term[hits], part[hits]
+        for k, (own_term, own_query, own_idf) in enumerate(weight):
+            span = slice(*np.searchsorted(t // WIDTH, (k, k + 1)))
+            if span.start < span.stop:
+                left, right = np.zeros((high - low, WIDTH)), np.zeros((WIDTH, len(queries.dictionary)))
+                np.add.at(left, (d[span], t[span] - k * WIDTH), w[span])
+                np.add.at(right, (own_term, own_query), own_idf)
+                score += left @ right
+        # A rounded score of 0 is still a hit: every shared term adds something.
+        cut = np.maximum(np.partition(score, len(score) - limit, axis=0)[len(score) - limit] - MARGIN, 0) if len(score) > limit else np.zeros(score.shape[1])
+        y, x = np.nonzero((score >= cut) & (score > 0))
+        value = score[y, x]
+        y = y + low
+        near = np.round(value, 11)
+        order = np.lexsort((place[y], -near, x))
+        x, y, value, near = x[order], y[order], value[order], near[order]
+        first = np.ones(len(x), dtype=bool)
+        first[1:] = (x[1:] != x[:-1]) | (near[1:] != near[:-1])
+        begins = np.flatnonzero(first)
+        kept = np.arange(len(x)) - begins[np.cumsum(first) - 1] < limit if len(x) else first
+        found.append((x[kept], y[kept], value[kept]))
+    x, y, value = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"query_id": queries.dictionary.take(pa.array(x)), "key": keys.dictionary.take(pa.array(y)), "score": pa.array(value)})
+
+
 def top(df: DataFrame, by: str, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of each group, with ``rank`` from 1."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= limit)
