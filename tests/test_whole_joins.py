@@ -98,3 +98,22 @@ def test_pools_have_members_of_any_id(spark, brute):
     wanted = {(a, b, "+".join(sorted(some[b]))) for a, some in lanes.items() for b in sorted(some, key=lambda b: (-len(some[b]), b))[:24]}
     assert {tuple(r) for r in catalog.queries()["j18_candidate_pools"](spark, SF).collect()} == wanted
     assert any(b < a and "semantic" in lane for a, b, lane in wanted)
+
+
+@pytest.mark.parametrize("block", [20, 4096])
+def test_first_alike_are_the_smallest_ids(spark, brute, monkeypatch, block):
+    monkeypatch.setattr(proposals, "BLOCK", block)
+    v, wanted = T.vectors(spark, SF), {}
+    for a, b in pairs(brute, 0.2):
+        wanted.setdefault(a, []).append(b)
+    got: dict = {}
+    for r in proposals.first_alike_to(v, v, "memory_id", 0.2, 3).collect():
+        got.setdefault(r["a"], []).append(r["b"])
+    assert {a: sorted(some) for a, some in got.items()} == {a: sorted(some)[:3] for a, some in wanted.items()}
+
+
+def test_edges_keep_their_likeness(spark, brute):
+    known = pairs(brute, 0.2)
+    edges = T.flow_edges(spark, SF).toDF("a", "b", *T.flow_edges(spark, SF).columns[2:])
+    got = {(r["a"], r["b"]): r["similarity"] for r in proposals.alike_ends(edges, T.vectors(spark, SF), 0.2).collect()}
+    assert got == pytest.approx({k: known[k] for k in {(r["a"], r["b"]) for r in edges.collect()} if k in known})
