@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens
+from ..functions.text import tokens
 from ..session import settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -19,6 +23,10 @@ RRF_K, TEXT_ONLY = 60, 1.5
 BLOCK, ASKING, SLICE = 8192, 4096, 256
 #: Documents a slice and queries a block of a text search; documents and terms of one matrix product.
 DOCUMENTS, PASSAGES, HEIGHT, WIDTH = 4096, 512, 1024, 2048
+#: Asked terms that are sent to every task; where there are more, they are joined.
+SENT = 100_000
+#: A token, as :func:`tokens` cuts it.
+WORD = re.compile(r"[^\W_]{2,}")
 #: What rounding to six digits can make equal, and the error of a product.
 MARGIN = 1.1e-6
 
@@ -45,18 +53,51 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     query term matching. Higher is better; ties go to the smaller key.
 
     Only terms that a query asks for are shuffled, and one row without a term a
-    document, from which the corpus figures come: texts are cut once.
+    document, from which the corpus figures come. The counts are settled, so
+    that texts are cut once whatever is asked of them; they are summed only
+    where a key and length come again.
     """
-    asked = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    wanted = asked.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
-    terms = words.select(key, "length", F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).join(wanted, "term")
-    held = terms.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    whole = held.where("term = ''")
-    corpus = whole.agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    spark = docs.sparkSession
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    asked = queries.select("query_id", "text").mapInArrow(_counter(), f"id {kinds[0]}, length int, term string, tf long").where("term <> ''").select(F.col("id").alias("query_id"), "term").distinct()
+    wanted = asked.select("term").distinct()
+    some = [r["term"] for r in wanted.limit(SENT + 1).collect()]
+    few = spark.sparkContext.broadcast(frozenset(some)) if len(some) <= SENT else None
+    terms = docs.select(key, text).mapInArrow(_counter(few), f"id {kinds[1]}, length int, term string, tf long")
+    if few is None:
+        terms = terms.join(wanted.unionByName(spark.createDataFrame([("",)], "term string")), "term")
+    held = settled(terms.select(F.col("id").alias(key), "length", "term", "tf"))
+    if held.where("term = ''").groupBy(key, "length").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        held = settled(held.groupBy(key, "length", "term").agg(F.sum("tf").alias("tf")))
+    corpus = held.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
     return scored(asked, held.where("term <> ''"), corpus, key, limit)
 
 
+def _counter(few: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from texts to ``id, length, term, tf``: the tokens of each text
+    (those of ``few`` alone, if given) counted, and the empty term once.
+    Letters newer than the JVM's Unicode are letters here."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = None if few is None else few.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                rows, lengths, terms, uses = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    words = WORD.findall((text or "").lower())
+                    counts = Counter(words)
+                    met = counts if only is None else only.intersection(counts)
+                    terms += [*met, ""]
+                    uses += [*map(counts.get, met), 1]
+                    rows.append(len(met) + 1)
+                    lengths.append(len(words))
+                each = np.repeat(np.arange(len(rows)), rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each)), pa.array(np.array(lengths, dtype=np.int32)[each]), pa.array(terms, pa.string()), pa.array(uses, pa.int64())], names=["id", "length", "term", "tf"])
+
+    return counted
+
+
 def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame, key: str, limit: int) -> DataFrame:
     """BM25 ranks of ``asked (query_id, term)`` over the postings ``held (key,
     length, term, tf)`` of all asked terms; ``corpus``: one row ``n, mean``.

@@ -63,3 +63,13 @@ def test_no_join_of_questions_with_postings(texts):
     docs, asked = texts
     plan = search.bm25(docs, asked)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_texts_are_cut_once_and_keys_that_come_again_are_summed(texts, monkeypatch):
+    docs, asked = texts
+    plan = search.bm25(docs, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+    again = docs.union(docs.where("doc_id % 3 = 0"))
+    assert listed(search.bm25(again, asked, limit=6)) == listed(plain(again, asked, 6))
+    monkeypatch.setattr(search, "SENT", 2)
+    assert listed(search.bm25(again, asked, limit=6)) == listed(plain(again, asked, 6))
