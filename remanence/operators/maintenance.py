@@ -65,7 +65,7 @@ def run(store: Store, now: Column, only: list[str] | None = None, apply: bool =
             try:
                 changed = {table: settle(df) for table, df in tasks[name](tables, now).items()}
                 for table, df in changed.items():
-                    moved = tables[table].exceptAll(df.select(*tables[table].columns)).count() + df.select(*tables[table].columns).exceptAll(tables[table]).count()
+                    moved = _moved(tables[table], df.select(*tables[table].columns))
                     report.append((name, table, tables[table].count(), df.count(), moved, None))
             except Exception as problem:  # noqa: BLE001  a task may fail in any way; the others go on
                 report.append((name, None, None, None, None, f"{type(problem).__name__}: {str(problem).splitlines()[0][:300]}" if str(problem) else type(problem).__name__))
@@ -80,6 +80,12 @@ def run(store: Store, now: Column, only: list[str] | None = None, apply: bool =
         return settled(spark.createDataFrame(report, "task string, table string, before long, after long, changed long, error string"))
 
 
+def _moved(before: DataFrame, after: DataFrame) -> int:
+    """Rows that only one side has, repeats counted: both are gone through once."""
+    balance = before.withColumn("_side", F.lit(1)).union(after.withColumn("_side", F.lit(-1))).groupBy(*before.columns).agg(F.abs(F.sum("_side")).alias("_only"))
+    return balance.agg(F.coalesce(F.sum("_only"), F.lit(0))).first()[0]
+
+
 def succeeded(report: DataFrame) -> bool:
     return report.where("error IS NOT NULL").limit(1).count() == 0
 
