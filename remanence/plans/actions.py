@@ -221,7 +221,8 @@ def i27_person_lines(spark, sf_dir):
 
 @query(sql("""SELECT query_id, 'd' || doc_id AS memory_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, 'd' || doc_id) AS place FROM text_rank JOIN memories USING (doc_id) WHERE contains(lower(text), 'an') QUALIFY place <= 2""", TOKENS))
 def i28_person_seeds(spark, sf_dir):
-    r = _text_rank(spark, sf_dir).join(T.memories(spark, sf_dir).select("doc_id", "memory_id", "text"), "doc_id").select("query_id", "memory_id", "rank", "text")
+    # The hits are ten a passage; the texts stay where they are read.
+    r = F.broadcast(_text_rank(spark, sf_dir)).join(T.memories(spark, sf_dir).select("doc_id", "memory_id", "text"), "doc_id").select("query_id", "memory_id", "rank", "text")
     return actions.person_seeds(r, T.search_queries(spark, sf_dir).select("query_id", F.lit("AN").alias("alias")))
 
 

@@ -108,7 +108,7 @@ def h78_evidence(spark, sf_dir):
     from .search import _text_rank
 
     best = _text_rank(spark, sf_dir).where("rank = 1").select("query_id", "doc_id")
-    both = best.join(T.search_queries(spark, sf_dir).withColumnRenamed("text", "asked"), "query_id").join(T.memories(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    both = F.broadcast(best.join(T.search_queries(spark, sf_dir).withColumnRenamed("text", "asked"), "query_id")).join(T.memories(spark, sf_dir).select("doc_id", "text"), "doc_id")
     place = text.span(F.col("text"), F.get(text.evidence_terms(F.col("asked"), F.col("text")), F.lit(0)))
     return both.select(
         "query_id", "doc_id", text.evidence_terms(F.col("asked"), F.col("text")).alias("terms"), text.evidence_window(F.col("asked"), F.col("text")).alias("window"),
