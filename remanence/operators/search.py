@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,14 @@ RRF_K, TEXT_ONLY = 60, 1.5
 BLOCK, ASKING, SLICE = 8192, 4096, 256
 #: Documents a slice and queries a block of a text search; documents and terms of one matrix product.
 DOCUMENTS, PASSAGES, HEIGHT, WIDTH = 4096, 512, 1024, 2048
+#: A term goes through a matrix product if more than one query of so many asks for it.
+COMMON = 32
 #: Asked terms that are sent to every task; where there are more, they are joined.
 SENT = 100_000
 #: A token, as :func:`tokens` cuts it.
 WORD = re.compile(r"[^\W_]{2,}")
+#: Bytes as they are, but for capitals of ASCII, and blanks for what is no letter or digit of it.
+APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 #: What rounding to six digits can make equal, and the error of a product.
 MARGIN = 1.1e-6
 
@@ -52,58 +56,89 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """``query_id, key, rank, score``: best ``limit`` documents a query, any
     query term matching. Higher is better; ties go to the smaller key.
 
-    Only terms that a query asks for are shuffled, and one row without a term a
-    document, from which the corpus figures come. The counts are settled, so
-    that texts are cut once whatever is asked of them; they are summed only
-    where a key and length come again.
+    A text becomes one row: its length and the asked terms in it, by number. The
+    rows are settled, so that texts are cut once whatever is asked of them; only
+    where a key and length come again are they taken apart and summed.
     """
     spark = docs.sparkSession
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
-    asked = queries.select("query_id", "text").mapInArrow(_counter(), f"id {kinds[0]}, length int, term string, tf long").where("term <> ''").select(F.col("id").alias("query_id"), "term").distinct()
+    asked = queries.select("query_id", "text").mapInArrow(_counter(), f"id {kinds[0]}, length int, terms array<string>, tf array<long>").select(F.col("id").alias("query_id"), F.explode("terms").alias("term")).distinct()
     wanted = asked.select("term").distinct()
     some = [r["term"] for r in wanted.limit(SENT + 1).collect()]
-    few = spark.sparkContext.broadcast(frozenset(some)) if len(some) <= SENT else None
-    terms = docs.select(key, text).mapInArrow(_counter(few), f"id {kinds[1]}, length int, term string, tf long")
-    if few is None:
-        terms = terms.join(wanted.unionByName(spark.createDataFrame([("",)], "term string")), "term")
-    held = settled(terms.select(F.col("id").alias(key), "length", "term", "tf"))
-    if held.where("term = ''").groupBy(key, "length").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        held = settled(held.groupBy(key, "length", "term").agg(F.sum("tf").alias("tf")))
-    corpus = held.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
-    return scored(asked, held.where("term <> ''"), corpus, key, limit)
+    if len(some) <= SENT:
+        asked = asked.join(spark.createDataFrame(list(enumerate(some)), "number int, term string"), "term").select("query_id", F.col("number").alias("term"))
+        held = docs.select(key, text).mapInArrow(_counter(spark.sparkContext.broadcast(some)), f"id {kinds[1]}, length int, terms array<int>, tf array<long>")
+    else:
+        held = docs.select(key, text).mapInArrow(_counter(), f"id {kinds[1]}, length int, terms array<string>, tf array<long>")
+    held = settled(held.withColumnRenamed("id", key))
+    each = held.select(key, "length", F.explode(F.arrays_zip("terms", "tf")).alias("use")).select(key, "length", F.col("use.terms").alias("term"), F.col("use.tf").alias("tf"))
+    corpus = held.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("mean"))
+    if held.groupBy(key, "length").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        each = settled(each.groupBy(key, "length", "term").agg(F.sum("tf").alias("tf")))
+        held = packed(each, key)
+    if len(some) > SENT:
+        held = packed(each.join(wanted, "term"), key)
+    return scored(asked, held, corpus, key, limit)
+
+
+def packed(each: DataFrame, key: str) -> DataFrame:
+    """Postings ``key, length, term, tf`` as rows of :func:`scored`."""
+    return each.select(key, "length", F.array("term").alias("terms"), F.array("tf").alias("tf"))
 
 
 def _counter(few: Broadcast | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function from texts to ``id, length, term, tf``: the tokens of each text
-    (those of ``few`` alone, if given) counted, and the empty term once.
-    Letters newer than the JVM's Unicode are letters here."""
+    """A function from texts to ``id, length, terms, tf``: the number of tokens of
+    each text, its distinct ones and their counts; with ``few``, those of its
+    list alone, as places in it. Letters newer than the JVM's Unicode are
+    letters here."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if few is None else few.value
+        only = None if few is None else pa.array(few.value, pa.string())
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                rows, lengths, terms, uses = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    words = WORD.findall((text or "").lower())
-                    counts = Counter(words)
-                    met = counts if only is None else only.intersection(counts)
-                    terms += [*met, ""]
-                    uses += [*map(counts.get, met), 1]
-                    rows.append(len(met) + 1)
-                    lengths.append(len(words))
-                each = np.repeat(np.arange(len(rows)), rows)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(each)), pa.array(np.array(lengths, dtype=np.int32)[each]), pa.array(terms, pa.string()), pa.array(uses, pa.int64())], names=["id", "length", "term", "tf"])
+                each, words = _words(part.column(1).to_pylist())
+                terms = words.unique() if only is None else only
+                code = pc.index_in(words, value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False)
+                asked, wide = code >= 0, max(1, len(terms))
+                pair, uses = np.unique(each[asked] * wide + code[asked], return_counts=True)
+                ends = pa.array(np.searchsorted(pair, np.arange(len(part) + 1) * wide).astype(np.int32))
+                code = pa.array((pair % wide).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(np.bincount(each, minlength=len(part)).astype(np.int32)),
+                    pa.ListArray.from_arrays(ends, terms.take(code) if only is None else code), pa.ListArray.from_arrays(ends, pa.array(uses.astype(np.int64))),
+                ], names=["id", "length", "terms", "tf"])
 
     return counted
 
 
+def _words(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """The tokens of all ``texts``, and the number of the text of each. Texts are
+    cut at what is ASCII and no token first; pieces with other characters are cut
+    by the pattern. Only a capital sigma is lower-cased by what surrounds it, so
+    where there is one the whole text is."""
+    lists = pc.ascii_split_whitespace(pa.array([(t.lower() if "\u03a3" in t else t).encode().translate(APART) if t else b"" for t in texts], pa.string()))
+    pieces = lists.flatten()
+    each = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    ascii_ = pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False)
+    plain = ascii_ & (pc.binary_length(pieces).to_numpy(zero_copy_only=False) > 1)
+    odd, of = pieces.filter(pa.array(~ascii_)), each[~ascii_]
+    odd = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(odd)], pa.int32()), odd), "\n")[0].as_py().lower().split("\n")[: len(odd)]
+    whole = np.fromiter((w.isalnum() and len(w) > 1 for w in odd), bool, len(odd))
+    cut = [WORD.findall(w) for w, one in zip(odd, whole) if not one]
+    more = np.repeat(of[~whole], np.fromiter(map(len, cut), np.int64, len(cut)))
+    return np.concatenate([each[plain], of[whole], more]), pa.concat_arrays([
+        pieces.filter(pa.array(plain)), pa.array(odd, pa.string()).filter(pa.array(whole)), pa.array(list(chain.from_iterable(cut)), pa.string()),
+    ])
+
+
 def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame, key: str, limit: int) -> DataFrame:
     """BM25 ranks of ``asked (query_id, term)`` over the postings ``held (key,
-    length, term, tf)`` of all asked terms; ``corpus``: one row ``n, mean``.
+    length, terms, tf)`` of all asked terms, any number of them in a row;
+    ``corpus``: one row ``n, mean``.
 
     Documents are dealt to slices and queries to blocks; a slice meets a block
-    in matrix products, and the best ``limit`` of the slice a query go on. So
+    in one task's matrix, and the best ``limit`` of the slice a query go on. So
     rows grow with the postings, not with the queries that share them.
     """
     many = asked.agg(F.count_distinct("query_id").alias("asking"))
@@ -113,10 +148,10 @@ def scored(asked: DataFrame, held: DataFrame, corpus: DataFrame, key: str, limit
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     asks = asked.join(df, "term").crossJoin(sizes).select("query_id", "term", idf.alias("idf"), block("query_id", "blocks").alias("i"), every("slices").alias("j"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    answers = held.crossJoin(sizes).select(F.col(key).alias("key"), "term", part.alias("part"), block(key, "slices").alias("j"), every("blocks").alias("i"))
+    bulk = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    answers = held.crossJoin(sizes).select(F.col(key).alias("key"), "terms", "tf", bulk.alias("bulk"), block(key, "slices").alias("j"), every("blocks").alias("i"))
     kinds = asks.schema["query_id"].dataType.simpleString(), answers.schema["key"].dataType.simpleString()
     summed = answers.groupBy("i", "j").cogroup(asks.groupBy("i", "j")).applyInArrow(
         lambda left, right: _summed(left, right, limit), f"query_id {kinds[0]}, key {kinds[1]}, score double"
@@ -129,19 +164,32 @@ def _summed(answers: pa.Table, asks: pa.Table, limit: int) -> pa.Table:
     a query once scores are rounded; of equal ones the first keys stay."""
     keys, queries = (t[c].combine_chunks().dictionary_encode(null_encoding="encode") for t, c in ((answers, "key"), (asks, "query_id")))
     terms = asks["term"].combine_chunks().dictionary_encode()
-    term = pc.index_in(answers["term"].combine_chunks(), value_set=terms.dictionary)
+    lists, tf = answers["terms"].combine_chunks(), answers["tf"].combine_chunks().flatten().to_numpy()
+    term, n = pc.index_in(lists.flatten(), value_set=terms.dictionary), pc.list_value_length(lists).to_numpy()
     met = pc.is_valid(term).to_numpy(zero_copy_only=False)
-    doc, query = (c.indices.to_numpy() for c in (keys, queries))
-    doc, term, part = doc[met], term.drop_null().to_numpy(), answers["part"].to_numpy()[met]
-    order = np.lexsort((term // WIDTH, doc // HEIGHT))
-    doc, term, part = doc[order], term[order], part[order]
+    query, doc, bulk = queries.indices.to_numpy(), np.repeat(keys.indices.to_numpy(), n), np.repeat(answers["bulk"].to_numpy(), n)
+    part = tf * (K1 + 1) / (tf + bulk)
+    doc, term, part = doc[met], term.drop_null().to_numpy(), part[met]
     own, idf = terms.indices.to_numpy(), asks["idf"].to_numpy()
+    # Terms that many queries ask for go through matrix products, the others
+    # posting by posting.
+    uses = np.bincount(own, minlength=len(terms.dictionary))
+    line = np.argsort(-uses, kind="stable")
+    common, number = int((uses * COMMON > len(queries.dictionary)).sum()), np.empty(len(line), dtype=np.int64)
+    number[line] = np.arange(len(line))
+    uses, term, own = uses[line], number[term], number[own]
+    order = np.lexsort((np.minimum(term, common) // WIDTH, term >= common, doc // HEIGHT))
+    doc, term, part = doc[order], term[order], part[order]
+    order = np.argsort(own, kind="stable")
+    own, query, idf, begin = own[order], query[order], idf[order], np.cumsum(uses) - uses
     place = np.empty(len(keys.dictionary), dtype=np.int64)
     place[pc.sort_indices(keys.dictionary, null_placement="at_start").to_numpy()] = np.arange(len(place))
     weight = []
-    for low in range(0, len(terms.dictionary), WIDTH):
-        some = (own >= low) & (own < low + WIDTH)
-        weight.append((own[some] - low, query[some], idf[some]))
+    for low in range(0, common, WIDTH):
+        some = slice(*np.searchsorted(own, (low, min(low + WIDTH, common))))
+        right = np.zeros((min(WIDTH, common - low), len(queries.dictionary)))
+        np.add.at(right, (own[some] - low, query[some]), idf[some])
+        weight.append(right)
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for low in range(0, len(place), HEIGHT):
         high = min(low + HEIGHT, len(place))
@@ -149,13 +197,17 @@ def _summed(answers: pa.Table, asks: pa.Table, limit: int) -> pa.Table:
         if hits.start == hits.stop:
             continue
         d, t, w = doc[hits] - low, term[hits], part[hits]
-        for k, (own_term, own_query, own_idf) in enumerate(weight):
-            span = slice(*np.searchsorted(t // WIDTH, (k, k + 1)))
+        rare = np.searchsorted(t >= common, True)
+        for k, right in enumerate(weight):
+            span = slice(*np.searchsorted(t[:rare] // WIDTH, (k, k + 1)))
             if span.start < span.stop:
-                left, right = np.zeros((high - low, WIDTH)), np.zeros((WIDTH, len(queries.dictionary)))
+                left = np.zeros((high - low, len(right)))
                 np.add.at(left, (d[span], t[span] - k * WIDTH), w[span])
-                np.add.at(right, (own_term, own_query), own_idf)
                 score += left @ right
+        n = uses[t[rare:]]
+        ask = np.repeat(begin[t[rare:]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cell = np.repeat(d[rare:].astype(np.int64) * score.shape[1], n) + query[ask]
+        score += np.bincount(cell, np.repeat(w[rare:], n) * idf[ask], score.size).reshape(score.shape)
         # A rounded score of 0 is still a hit: every shared term adds something.
         cut = np.maximum(np.partition(score, len(score) - limit, axis=0)[len(score) - limit] - MARGIN, 0) if len(score) > limit else np.zeros(score.shape[1])
         y, x = np.nonzero((score >= cut) & (score > 0))

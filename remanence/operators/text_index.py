@@ -85,4 +85,4 @@ class TextIndex:
         asked = queries.select("query_id", F.explode(F.array_distinct(self.tokenize(F.col("text")))).alias("term"))
         held = self._live(self.asked_postings(asked, base), base).select(self.key, "length", "term", "tf")
         corpus = self.store.read("docs", base.version).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        return search.scored(asked, held, corpus, self.key, limit)
+        return search.scored(asked, search.packed(held, self.key), corpus, self.key, limit)

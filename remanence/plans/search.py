@@ -29,7 +29,7 @@ VECTOR_RANK = """vector_rank AS (SELECT query_id, vec_id AS doc_id, round(1 - li
 
 
 def _text_rank(spark, sf_dir):
-    return search.bm25(T.memories(spark, sf_dir).select("doc_id", "text"), T.search_queries(spark, sf_dir))
+    return search.bm25(T.table(spark, sf_dir, "documents").select("doc_id", "text"), T.search_queries(spark, sf_dir))
 
 
 def _vector_rank(spark, sf_dir):

@@ -1,7 +1,10 @@
 """Text search in slices against the plain sum over shared terms."""
 
 import random
+from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +76,26 @@ def test_texts_are_cut_once_and_keys_that_come_again_are_summed(texts, monkeypat
     assert listed(search.bm25(again, asked, limit=6)) == listed(plain(again, asked, 6))
     monkeypatch.setattr(search, "SENT", 2)
     assert listed(search.bm25(again, asked, limit=6)) == listed(plain(again, asked, 6))
+
+
+def test_a_text_is_one_row_of_counts():
+    """Whatever its characters, with the counts of the pattern over the text in lower case."""
+    rng = random.Random(5)
+    some = ["".join(rng.choice("aB9_ .ΑΣσςΒİıKÅß'’éÉ̇四五\x1c\x85\n١²½Ⅷ-\x00ﬁǅ") for _ in range(rng.randrange(40))) for _ in range(1500)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(some))), pa.array(some)], names=["id", "text"])
+    few = ["σσ", "bb", "ας", "99", "四五", "never"]
+    for only in (None, SimpleNamespace(value=few)):
+        rows = pa.Table.from_batches(search._counter(only)([batch])).to_pylist()
+        assert [r["id"] for r in rows] == list(range(len(some)))
+        for text, row in zip(some, rows):
+            words = search.WORD.findall((text or "").lower())
+            named = row["terms"] if only is None else [few[t] for t in row["terms"]]
+            assert row["length"] == len(words) and dict(zip(named, row["tf"])) == {w: n for w, n in Counter(words).items() if only is None or w in few}
+            assert len(set(named)) == len(named)
+
+
+@pytest.mark.parametrize("common", [1, 2, 1000])
+def test_terms_of_many_and_of_few_queries(texts, monkeypatch, common):
+    monkeypatch.setattr(search, "COMMON", common)
+    docs, asked = texts
+    assert listed(search.bm25(docs, asked, limit=6)) == listed(plain(docs, asked, 6))
