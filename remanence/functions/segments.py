@@ -24,6 +24,8 @@ PIECES = re.compile(rf"[{SCRIPT}]+|[^\W_{SCRIPT}]+")
 UNSPACED = re.compile(rf"[{SCRIPT}]")
 #: A dictionary goes to every executor; this bounds its words.
 LARGEST = 1_000_000
+#: Texts whose tokens a task holds at once.
+TEXTS = 200
 
 
 class Words:
@@ -106,7 +108,9 @@ def segmenter(dictionary: DataFrame | None = None, search: bool = False):
     def segmented(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words(known)
         for series in texts:
-            yield series.map(lambda t: tokens_of(t, words, search))
+            # Tokens take many times the room of their text, so few are held at once.
+            for begin in range(0, len(series), TEXTS):
+                yield series[begin : begin + TEXTS].map(lambda t: tokens_of(t, words, search))
 
     return segmented
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from remanence.functions import segments
@@ -73,3 +74,13 @@ def test_history_in_a_script_without_blanks(spark, tmp_path):
         placed = records.dialogue_sessions(messages).select(F.col("id"), "conv_id", "session").join(hits.select("id"), "id").withColumnRenamed("id", "hit_id")
         window = [r.window for r in records.dialogue_windows(messages, placed).collect()]
         assert len(window) == 1 and "User: 蓝色观测站" in window[0] and "Agent: 收到" in window[0] and "远处" not in window[0]
+
+
+def test_tokens_of_few_texts_are_held_at_once(spark):
+    """One batch of texts leaves in slices, in order."""
+    cut = segments.segmenter().func
+    texts = pd.Series([f"x{i} 中文字" for i in range(3 * segments.TEXTS + 1)])
+    parts = list(cut(iter([texts])))
+    assert max(map(len, parts)) <= segments.TEXTS and pd.concat(parts).tolist() == [segments.tokens_of(t, segments.Words({})) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    assert [r["t"] for r in rows.select("id", segments.segmenter()("text").alias("t")).orderBy("id").collect()] == pd.concat(parts).tolist()
