@@ -6,7 +6,8 @@ one edge in and one out, an independent set of them at a time: chains, rings and
 trees vanish in a number of rounds that grows with the logarithm of their
 length. What is left is dense; there the least record that reaches each one is
 spread forwards, and back within its colour. Chains of a successor relation are
-followed by pointer doubling. The driver holds counts alone.
+followed by pointer doubling. The driver holds counts alone: every join goes
+through exchange, as a broadcast a round would pass each round's tables through it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from ..session import settled, workspace
 Settle = Callable[[DataFrame], DataFrame]
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is never broadcast."""
+    return df.hint("merge")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``memory_id, component, cyclic`` of every record on an edge: the least
     record of its strongly connected component, and whether it lies on a cycle
@@ -37,17 +43,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
             if left.limit(1).count():
                 found = _core(left, settle)
                 known = settle(known.union(found))
-                inside = found.select("memory_id")
+                inside = _apart(found.select("memory_id"))
                 left = settle(left.join(inside, left["source_id"] == inside["memory_id"], "left_anti").join(inside, left["target_id"] == inside["memory_id"], "left_anti"))
         for chosen in reversed(contracted):
-            before, after = known.toDF("before", "cb"), known.toDF("after", "ca")
+            before, after = _apart(known.toDF("before", "cb")), _apart(known.toDF("after", "ca"))
             both = chosen.join(before, "before", "left").join(after, "after", "left")
             one, two = F.coalesce("cb", "before"), F.coalesce("ca", "after")
             known = settle(known.union(both.where(one == two).select("memory_id", one)).union(both.where(one == two).select("before", one)).distinct())
         least = known.groupBy("component").agg(F.min("memory_id").alias("least"), F.count("*").alias("n")).where("n > 1")
         ends = every.select(F.col("source_id").alias("memory_id")).union(every.select("target_id")).distinct()
         loops = every.where("source_id = target_id").select(F.col("source_id").alias("memory_id"), F.lit(True).alias("loop"))
-        placed = ends.join(known.join(least, "component").select("memory_id", "least"), "memory_id", "left").join(loops, "memory_id", "left")
+        placed = ends.join(_apart(known.join(_apart(least), "component").select("memory_id", "least")), "memory_id", "left").join(_apart(loops), "memory_id", "left")
         return settled(placed.select("memory_id", F.coalesce("least", "memory_id").alias("component"), (F.col("least").isNotNull() | F.col("loop").isNotNull()).alias("cyclic")))
 
 
@@ -57,15 +63,15 @@ def _reduced(left: DataFrame, settle: Settle, contracted: list[DataFrame]) -> Da
     size = left.count()
     while size:
         heads, tails = left.select(F.col("target_id").alias("source_id")).distinct(), left.select(F.col("source_id").alias("target_id")).distinct()
-        raked = settle(left.join(heads, "source_id", "left_semi").join(tails, "target_id", "left_semi").select("source_id", "target_id"))
+        raked = settle(left.join(_apart(heads), "source_id", "left_semi").join(_apart(tails), "target_id", "left_semi").select("source_id", "target_id"))
         one_in = raked.groupBy(F.col("target_id").alias("memory_id")).agg(F.count("*").alias("i"), F.min("source_id").alias("before")).where("i = 1")
         one_out = raked.groupBy(F.col("source_id").alias("memory_id")).agg(F.count("*").alias("o"), F.min("target_id").alias("after")).where("o = 1")
-        thin = settle(one_in.join(one_out, "memory_id").select("memory_id", "before", "after", F.struct(F.xxhash64("memory_id", F.lit(len(contracted))), "memory_id").alias("turn")))
+        thin = settle(one_in.join(_apart(one_out), "memory_id").select("memory_id", "before", "after", F.struct(F.xxhash64("memory_id", F.lit(len(contracted))), "memory_id").alias("turn")))
         turns = thin.select("memory_id", "turn")
-        around = thin.join(turns.toDF("before", "tb"), "before", "left").join(turns.toDF("after", "ta"), "after", "left")
+        around = thin.join(_apart(turns.toDF("before", "tb")), "before", "left").join(_apart(turns.toDF("after", "ta")), "after", "left")
         first = (F.col("tb").isNull() | (F.col("turn") < F.col("tb"))) & (F.col("ta").isNull() | (F.col("turn") < F.col("ta")))
         chosen = settle(around.where(first).select("memory_id", "before", "after"))
-        gone = chosen.select("memory_id")
+        gone = _apart(chosen.select("memory_id"))
         rest = raked.join(gone, raked["source_id"] == gone["memory_id"], "left_anti").join(gone, raked["target_id"] == gone["memory_id"], "left_anti")
         left = settle(rest.union(chosen.where("before <> after").select("before", "after")).distinct())
         now = left.count()
@@ -81,10 +87,10 @@ def _least_reaching(edges: DataFrame, settle: Settle) -> DataFrame:
     A label's own label is as good, so paths shorten by half a round."""
     labels = settle(edges.select(F.col("source_id").alias("memory_id")).union(edges.select("target_id")).distinct().withColumn("label", F.col("memory_id")))
     while True:
-        near = edges.join(labels.toDF("source_id", "theirs"), "source_id").groupBy(F.col("target_id").alias("memory_id")).agg(F.min("theirs").alias("theirs"))
-        lower = settle(labels.join(near, "memory_id", "left").select("memory_id", F.least("label", "theirs").alias("label"), F.col("label").alias("old")))
+        near = edges.join(_apart(labels.toDF("source_id", "theirs")), "source_id").groupBy(F.col("target_id").alias("memory_id")).agg(F.min("theirs").alias("theirs"))
+        lower = settle(labels.join(_apart(near), "memory_id", "left").select("memory_id", F.least("label", "theirs").alias("label"), F.col("label").alias("old")))
         jump = lower.select(F.col("memory_id").alias("label"), F.col("label").alias("further"))
-        after = settle(lower.join(jump, "label", "left").select("memory_id", F.least("further", "label").alias("label"), "old"))
+        after = settle(lower.join(_apart(jump), "label", "left").select("memory_id", F.least("further", "label").alias("label"), "old"))
         labels = after.select("memory_id", "label")
         if after.where("label <> old").limit(1).count() == 0:
             return labels
@@ -95,9 +101,9 @@ def _core(edges: DataFrame, settle: Settle) -> DataFrame:
     the one that gave it."""
     colours = _least_reaching(edges, settle)
     one, two = colours.toDF("source_id", "cs"), colours.toDF("target_id", "ct")
-    within = settle(edges.join(one, "source_id").join(two, "target_id").where("cs = ct").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+    within = settle(edges.join(_apart(one), "source_id").join(_apart(two), "target_id").where("cs = ct").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
     back = _least_reaching(within, settle).withColumnRenamed("label", "back")
-    return settle(colours.join(back, "memory_id", "left").where("label = coalesce(back, memory_id)").select("memory_id", F.col("label").alias("component")))
+    return settle(colours.join(_apart(back), "memory_id", "left").where("label = coalesce(back, memory_id)").select("memory_id", F.col("label").alias("component")))
 
 
 def chain_ends(steps: DataFrame) -> DataFrame:
@@ -109,10 +115,10 @@ def chain_ends(steps: DataFrame) -> DataFrame:
         done = settle(ahead.limit(0))
         while ahead.limit(1).count():
             further = ahead.select(F.col("memory_id").alias("at"), F.col("at").alias("on"), F.col("hops").alias("more"))
-            both = ahead.join(further, "at", "left")
+            both = ahead.join(_apart(further), "at", "left")
             # Records that have arrived leave the rounds; their own pointers stay with those behind them.
             arrived = done.select(F.col("memory_id").alias("at"), F.col("at").alias("end"), F.col("hops").alias("rest"))
-            moved = settle(both.join(arrived, "at", "left").select(
+            moved = settle(both.join(_apart(arrived), "at", "left").select(
                 "memory_id", F.coalesce("end", "on", "at").alias("at"), (F.col("hops") + F.coalesce("rest", "more", F.lit(0))).alias("hops"), (F.col("end").isNotNull() | F.col("on").isNull()).alias("there"),
             ))
             done = settle(done.union(moved.where("there").select("memory_id", "at", "hops")))
@@ -125,7 +131,7 @@ def newest_successors(updates: DataFrame, memories: DataFrame) -> DataFrame:
     new ones the smaller id."""
     times = memories.select(F.col("memory_id").alias("source_id"), F.col("ts").alias("at"))
     order = Window.partitionBy("target_id").orderBy(F.desc_nulls_last("at"), "source_id")
-    ranked = updates.select("source_id", "target_id").distinct().join(times, "source_id", "left").withColumn("k", F.row_number().over(order))
+    ranked = updates.select("source_id", "target_id").distinct().join(_apart(times), "source_id", "left").withColumn("k", F.row_number().over(order))
     return ranked.where("k = 1").select(F.col("target_id").alias("memory_id"), F.col("source_id").alias("next"))
 
 
@@ -144,11 +150,11 @@ def structure_proposals(updates: DataFrame, memories: DataFrame, most: int = 5)
         members = strong_components(updates.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
         on_cycle = settle(members.where("cyclic"))
         sizes = on_cycle.groupBy("component").agg(F.count("*").alias("size"))
-        inner = updates.join(on_cycle.select(F.col("memory_id").alias("source_id"), "component"), "source_id").join(
-            on_cycle.select(F.col("memory_id").alias("target_id"), F.col("component").alias("other")), "target_id").where("component = other")
+        inner = updates.join(_apart(on_cycle.select(F.col("memory_id").alias("source_id"), "component")), "source_id").join(
+            _apart(on_cycle.select(F.col("memory_id").alias("target_id"), F.col("component").alias("other"))), "target_id").where("component = other")
         newest = inner.groupBy("component").agg(F.max(F.struct(F.coalesce(F.col("created").cast("string"), F.lit("")).alias("at"), "source_id", "target_id")).alias("e"))
         kind = F.lit("structure_cycle")
-        cycles = newest.join(sizes, "component").select(
+        cycles = newest.join(_apart(sizes), "component").select(
             proposal_id(kind, F.col("e.source_id"), F.col("e.target_id")).alias("proposal_id"), kind.alias("kind"), F.col("e.source_id").alias("source_id"), F.col("e.target_id").alias("target_id"), "size", "component",
         )
         steps = settle(newest_successors(updates, memories))
@@ -156,12 +162,12 @@ def structure_proposals(updates: DataFrame, memories: DataFrame, most: int = 5)
         ring = strong_components(steps.select(F.col("memory_id").alias("source_id"), F.col("next").alias("target_id"))).where("cyclic").select("memory_id", "component")
         ring = settle(ring)
         length = ring.groupBy("component").agg(F.count("*").alias("round"))
-        closing = steps.join(ring, "memory_id").join(length, "component").select(F.col("next").alias("last"), F.col("memory_id").alias("before"), "round")
-        ends = chain_ends(steps.join(ring.select("memory_id"), "memory_id", "left_anti")).join(closing, "last", "left")
+        closing = steps.join(_apart(ring), "memory_id").join(_apart(length), "component").select(F.col("next").alias("last"), F.col("memory_id").alias("before"), "round")
+        ends = chain_ends(steps.join(_apart(ring.select("memory_id")), "memory_id", "left_anti")).join(_apart(closing), "last", "left")
         whole = ends.select("memory_id", F.coalesce("before", "last").alias("latest"), (F.col("hops") + F.coalesce(F.col("round") - 1, F.lit(0))).alias("size"))
         kind = F.lit("structure_overlong")
         there = updates.select(F.col("source_id").alias("latest"), F.col("target_id").alias("memory_id")).distinct()
-        overlong = whole.where(F.col("size") > most).join(on_cycle.select("memory_id"), "memory_id", "left_anti").join(there, ["latest", "memory_id"], "left_anti").select(
+        overlong = whole.where(F.col("size") > most).join(_apart(on_cycle.select("memory_id")), "memory_id", "left_anti").join(_apart(there), ["latest", "memory_id"], "left_anti").select(
             proposal_id(kind, F.col("latest"), F.col("memory_id")).alias("proposal_id"), kind.alias("kind"), F.col("latest").alias("source_id"), F.col("memory_id").alias("target_id"), "size", F.lit(None).cast("string").alias("component"),
         )
         return settled(cycles.unionByName(overlong))

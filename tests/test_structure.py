@@ -115,3 +115,25 @@ def test_proposals(spark, seed):
     assert {(r.kind, r.source_id, r.target_id, r.size, r.component) for r in got} == plain_proposals(rows, ts)
     assert len({r.proposal_id for r in got}) == len(got)
     assert {r.kind for r in got} == {"structure_cycle", "structure_overlong"}
+
+
+def test_no_join_passes_a_table_through_the_driver(spark, monkeypatch):
+    """A broadcast is gathered by the driver, and every round would make some."""
+    from contextlib import contextmanager
+
+    plans = []
+    real, last = structure.workspace, structure.settled
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+
+    @contextmanager
+    def watched(session):
+        with real(session) as settle:
+            yield lambda df: settle(noted(df))
+
+    monkeypatch.setattr(structure, "workspace", watched)
+    monkeypatch.setattr(structure, "settled", lambda df: last(noted(df)))
+    rows = [("a", "b", "2020"), ("b", "c", "2021"), ("c", "a", "2022"), ("c", "d", "2022")]
+    memories = spark.createDataFrame([(m, 1) for m in "abcd"], "memory_id string, ts int")
+    got = structure.structure_proposals(spark.createDataFrame(rows, "source_id string, target_id string, created string"), memories).collect()
+    assert [(r["kind"], r["source_id"], r["target_id"], r["size"]) for r in got] == [("structure_cycle", "c", "a", 3)]
+    assert len(plans) > 10 and not any("Broadcast" in plan for plan in plans)
