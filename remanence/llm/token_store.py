@@ -42,8 +42,12 @@ BASE = 49_408
 BLOCK, LEAST = 1 << 19, 6
 #: A round replaces pairs down to this share of the uses of the most frequent.
 SHARE = 0.25
+#: Bits of the buckets that tell rare pairs; places that are settled one by one.
+BUCKETS, FEW = 18, 200
 #: Words whose ids one process remembers before it starts afresh.
 REMEMBERED = 700_000
+#: Marks that are pieces apart from the letters before them; words the library gets at once.
+MARKS, JOINED = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 200
 #: The tokenizer of this process, kept between tasks with what it has learned.
 _OWN: dict[str, WordTokenizer] = {}
 
@@ -55,16 +59,25 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     A round counts all pairs exactly and replaces those that are at least
     ``SHARE`` as frequent as the most frequent one; where two of them overlap the
     more frequent has its way, as if they were replaced one after another.
-    Rounds end when no pair has ``LEAST`` uses.
+    Rounds end when no pair has ``LEAST`` uses. Places of pairs in buckets of
+    fewer uses are not counted again.
     """
     sequence = ids.astype(np.uint32)
     first = np.zeros(len(sequence) + 1, dtype=bool)
     first[starts] = True
     rules, lengths = [np.empty((0, 2), dtype=np.uint32)], np.ones(BASE, dtype=np.int64)
+    live = np.ones(len(sequence), dtype=bool)
     while len(sequence) > 1:
-        inside = ~first[1 : len(sequence)]
-        pair = sequence[:-1].astype(np.uint64) << np.uint64(24) | sequence[1:]
-        ordered = np.sort(pair[inside])
+        where = np.flatnonzero(live[:-1] & ~first[1 : len(sequence)])
+        # Half the bytes wherever two symbols fit into 32 bits.
+        word, width, low = (np.uint32, 16, 0xFFFF) if sequence.max() < 1 << 16 else (np.uint64, 24, 0xFFFFFF)
+        pair = sequence[where].astype(word) << word(width) | sequence[where + 1]
+        # New pairs hold a new symbol, so a rare pair stays rare: its places are left out from now on.
+        bucket = (pair * word(0x9E3779B1)) >> word(8 * pair.itemsize - BUCKETS)
+        often = np.bincount(bucket.astype(np.int64), minlength=1)[bucket] >= LEAST
+        live[where[~often]] = False
+        where, pair = where[often], pair[often]
+        ordered = np.sort(pair)
         cut = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
         uses = np.diff(np.append(cut, len(ordered)))
         if not len(uses) or uses.max() < LEAST:
@@ -73,12 +86,13 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         names, uses = ordered[cut[chosen]], uses[chosen]
         rank = np.empty(len(names), dtype=np.int64)
         rank[np.argsort(-uses, kind="stable")] = np.arange(len(names))
-        # Only pairs that begin with the left symbol of a chosen one are looked up.
-        left = np.zeros(int(sequence.max()) + 1, dtype=bool)
-        left[(names >> np.uint64(24)).astype(np.int64)] = True
-        at = np.flatnonzero(inside & left[sequence[:-1]])
-        place = np.searchsorted(names, pair[at])
-        same = names[np.minimum(place, len(names) - 1)] == pair[at]
+        # Only pairs of a left and a right symbol of chosen ones are looked up.
+        left = np.zeros((2, int(sequence.max()) + 1), dtype=bool)
+        left[0, names >> word(width)] = left[1, names & word(low)] = True
+        some = left[0].take(pair >> word(width)) & left[1].take(pair & word(low))
+        at, pair = where[some], pair[some]
+        place = np.searchsorted(names, pair)
+        same = names[np.minimum(place, len(names) - 1)] == pair
         at, order = at[same], rank[place[same]]
         at, order = _replaced(at, order)
         used = np.bincount(order, minlength=len(names))
@@ -90,23 +104,24 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         number = np.cumsum(good) - 1 + len(lengths)
         at, order = at[good[order]], order[good[order]]
         fresh = names[np.argsort(rank)][good]
-        rule = np.stack([fresh >> np.uint64(24), fresh & np.uint64(0xFFFFFF)], axis=1).astype(np.uint32)
+        rule = np.stack([fresh >> word(width), fresh & word(low)], axis=1).astype(np.uint32)
         rules.append(rule)
         lengths = np.append(lengths, lengths[rule].sum(axis=1))
         sequence[at] = number[order]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         stay = np.ones(len(sequence), dtype=bool)
         stay[at + 1] = False
-        sequence, first = sequence[stay], np.append(first[:-1][stay], False)
+        sequence, live, first = sequence[stay], live[stay], np.append(first[:-1][stay], False)
     return np.concatenate(rules), lengths[BASE:], sequence, np.flatnonzero(first)
 
 
 def _replaced(at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the overlapping places are replaced when ranks go in order, each
     from the left. A place is free to go once both neighbours rank after it, or
-    are gone; each pass settles all such places."""
+    are gone; each pass settles all such places, and the last few go one by one."""
     taken = np.zeros(len(at), dtype=bool)
     alive = np.arange(len(at))
-    while len(alive):
+    while len(alive) > FEW:
         a, r = at[alive], order[alive]
         touch = np.diff(a) == 1
         # Equal ranks that overlap are one symbol repeated: the left one goes first.
@@ -116,6 +131,11 @@ def _replaced(at: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray
         taken[alive[win]] = True
         lost = np.append(False, touch & win[:-1]) | np.append(touch & win[1:], False)
         alive = alive[~win & ~lost]
+    gone: set[int] = set()
+    for _, a, i in sorted(zip(order[alive].tolist(), at[alive].tolist(), alive.tolist())):
+        if a not in gone:
+            taken[i] = True
+            gone.update((a - 1, a, a + 1))
     return at[taken], order[taken]
 
 
@@ -169,7 +189,8 @@ class WordTokenizer:
     The library encodes each distinct word once. Letters and the marks after
     them are separate pieces too, and case is folded, so ``Word.`` is taken from
     ``word`` and ``.``; only letters up to U+00FF, which neither folding nor
-    normalisation lengthens, are treated so.
+    normalisation lengthens, are treated so. The library gets many of them at
+    a time, with blanks between: each is one piece, whose last id ends a word.
     """
 
     def __init__(self, path: str):
@@ -177,45 +198,58 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.roots: dict[str, bytes] = {}
 
-    def _root(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(".,;:!?")
-        if core and core.isalpha() and max(core) <= "\u00ff":
-            return core.lower(), word[len(core) :]
-        return word, ""
+    def _library(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for begin in range(0, len(pieces), 2_000):
+            some = pieces[begin : begin + 2_000]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                yield piece, array("H", got.ids).tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """Learns words of letters alone, by hundreds."""
+        groups = [words[begin : begin + JOINED] for begin in range(0, len(words), JOINED)]
+        for begin in range(0, len(groups), 20):
+            some = groups[begin : begin + 20]
+            for group, got in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(got.ids, dtype=np.uint16)
+                cut = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+                if len(cut) != len(group):
+                    self.roots.update(self._library(group))
+                    continue
+                data = ids.tobytes()
+                self.roots.update(zip(group, [data[i:j] for i, j in zip([0, *cut], cut)]))
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         if len(self.roots) > REMEMBERED * 3 // 2:
             self.roots.clear()
-        parts = [(w, *self._root(w.decode())) for w in words]
-        roots = self.roots
-        new = list({p for _, root, marks in parts for p in (root, marks) if p and p not in roots})
-        for begin in range(0, len(new), 2_000):
-            some = new[begin : begin + 2_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                roots[piece] = array("H", got.ids).tobytes()
-        for word, root, marks in parts:
-            self.known[word] = roots[root] + roots[marks] if marks else roots[root]
+        texts, roots = b"\n".join(words).decode().split("\n"), self.roots
+        cores = [t.rstrip(MARKS) for t in texts]
+        plain = [c.isalpha() and (c.isascii() or max(c) <= "\u00ff") for c in cores]
+        marks = [t[len(c) :] if p else "" for t, c, p in zip(texts, cores, plain)]
+        cores = [c.lower() if p else t for t, c, p in zip(texts, cores, plain)]
+        fresh = {c for c, p in zip(cores, plain) if p}.difference(roots)
+        self._joined(list(fresh))
+        rest = {c for c, p in zip(cores, plain) if not p}.union(marks)
+        rest.discard("")
+        roots.update(self._library(list(rest.difference(roots))))
+        self.known.update((w, roots[c] + roots[m] if m else roots[c]) for w, c, m in zip(words, cores, marks))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         split = [t.encode("utf-8", "replace").split() for t in texts]
-        last, get = array("H", [end]).tobytes(), self.known.get
-        ids = [list(map(get, words)) for words in split]
-        missing = []
-        for found, words in zip(ids, split):
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                missing.append((found, at, words[at]))
+        every: set[bytes] = set().union(*split)
+        missing = every.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = every
         if missing:
-            self.learn({w for _, _, w in missing})
-            for found, at, w in missing:
-                found[at] = self.known[w]
-        return [np.frombuffer(b"".join(found) + last, dtype=np.uint16) for found in ids]
+            self.learn(missing)
+        last, get = array("H", [end]).tobytes(), self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, words)) + last, dtype=np.uint16) for words in split]
 
 
 def own_tokenizer(path: str) -> WordTokenizer:

@@ -473,3 +473,23 @@ def test_redaction(spark, edges, nothing):
     assert rows[2]["text"] == "clean" and rows[3]["text"] is None
     assert secret_scan.redacted(edges).count() == edges.count() and secret_scan.redacted(edges).columns == edges.columns
     assert secret_scan.scan(nothing).collect() == [] and secret_scan.redacted(nothing).collect() == []
+
+
+def test_words_learned_together_have_the_ids_of_whole_texts():
+    """Words of letters go to the library by hundreds, and are cut at the ids that end them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = [f"w{a}{b}rd" for a in "abcéñßøµª" for b in "xyzüçÿQ"] + ["it's", "don't!!", "a,b", "x1y2", "###", "Ünï###", "end.'", "µ_", "naïve…", "ſt", "Σας", "ω.", "<|endoftext|>", "a<|startoftext|>"]
+    texts = [" ".join(words), " ".join(reversed(words)), "no\u00a0break\u2003space Word. word\tWORD", ""]
+    tokens = token_store.WordTokenizer(path)
+    calls = []
+    real = tokens.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, some, **how):
+            calls.extend(some)
+            return real.encode_batch_fast(some, **how)
+
+    tokens.tokenizer = Counted()
+    got = [ids.tolist() for ids in tokens.encode(texts, 2)]
+    assert got == [[*real.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(calls) < 30
