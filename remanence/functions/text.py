@@ -33,8 +33,12 @@ def salient_terms(text: Column, most: int = 12) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    n = F.length(text)
-    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+    """The distinct pairs of neighbouring characters. The text is cut into
+    characters once, so the work grows with its length."""
+    n, chars = F.length(text), F.split(text, "")
+    rest = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), rest), F.slice(chars, F.lit(2), rest), lambda x, y: F.concat(x, y))
+    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def normalised(text: Column) -> Column:

@@ -112,7 +112,7 @@ def h78_evidence(spark, sf_dir):
     place = text.span(F.col("text"), F.get(text.evidence_terms(F.col("asked"), F.col("text")), F.lit(0)))
     return both.select(
         "query_id", "doc_id", text.evidence_terms(F.col("asked"), F.col("text")).alias("terms"), text.evidence_window(F.col("asked"), F.col("text")).alias("window"),
-        F.round(signals.evidence_coverage(text.evidence_terms(F.col("asked"), F.col("text"))), 6).alias("coverage"), text.independent(F.col("asked"), text.cut(F.col("text"), 400)).alias("independent"), place.alias("place"),
+        F.round(signals.evidence_coverage(text.evidence_terms(F.col("asked"), F.col("text"))), 6).alias("coverage"), text.independent(F.col("asked"), F.col("text")).alias("independent"), place.alias("place"),
     )
 
 
