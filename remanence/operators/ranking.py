@@ -17,10 +17,11 @@ def scored_candidates(candidates: DataFrame) -> DataFrame:
 def slots(scored: DataFrame, first: tuple[float, float] = (0.50, 0.50), second: tuple[float, float] = (0.72, 0.65)) -> DataFrame:
     """The one or two records to show for each question, with the reject reason
     of the rest: the best that passes its gates, then a second that passes
-    higher ones and says something else (bigram overlap below 0.72)."""
+    higher ones and says something else (bigram overlap below 0.72). Whole
+    bodies are compared; those that no gate lets through are not sorted along."""
     gate = lambda g: (F.col("rerank") >= g[0]) & (F.col("final") >= g[1])
     order = Window.partitionBy("query_id").orderBy(F.desc("final"), "memory_id")
-    passed = scored.withColumn("gate", gate(first))
+    passed = scored.withColumns({"gate": gate(first), "body": F.when(gate(first) | gate(second), F.col("body"))})
     ranked = passed.withColumn("place", F.sum(F.col("gate").cast("int")).over(order))
     top = ranked.where("gate AND place = 1").select("query_id", F.col("body").alias("top_body"), F.col("memory_id").alias("top_id"))
     rest = ranked.join(top, "query_id", "left")

@@ -203,7 +203,7 @@ def i23_final_scores(spark, sf_dir):
 def _features(spark, sf_dir):
     m = T.memories(spark, sf_dir)
     rows = _text_rank(spark, sf_dir).join(m, "doc_id").select(
-        "query_id", "memory_id", F.substring("text", 1, 300).alias("body"), (1.0 / F.col("rank")).alias("rerank"), F.lit(0.5).alias("tag"), "emotion", F.lit(0.0).alias("recency"),
+        "query_id", "memory_id", F.col("text").alias("body"), (1.0 / F.col("rank")).alias("rerank"), F.lit(0.5).alias("tag"), "emotion", F.lit(0.0).alias("recency"),
         F.least(F.lit(1.0), F.col("activation") / 5).alias("activation"), F.lit(0.0).alias("tier_level"), F.lit(0.0).alias("evidence"), (F.col("doc_id") % 5 == 0).alias("todo"), F.lit(False).alias("repeated"),
     )
     return ranking.scored_candidates(rows)
