@@ -64,14 +64,15 @@ class Store:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.format(found["format"]).load(f"{self.root}/{found['folder']}")
 
-    def commit(self, changed: Mapping[str, DataFrame], dropped: tuple[str, ...] = (), base: Snapshot | None = None, kind: str = "parquet", by: Mapping[str, list[str]] | None = None) -> Snapshot:
+    def commit(self, changed: Mapping[str, DataFrame], dropped: tuple[str, ...] = (), base: Snapshot | None = None, kind: str = "parquet", by: Mapping[str, list[str]] | None = None, options: Mapping[str, str] | None = None) -> Snapshot:
         """The next version after ``base`` (the highest, if none is given): the
-        changed tables anew, the rest as they were. ``by``: partition columns."""
+        changed tables anew, the rest as they were. ``by``: partition columns;
+        ``options``: of the writer."""
         base = self.snapshot() if base is None else base
         tables = {name: dict(found) for name, found in base.tables.items() if name not in dropped}
         for name, df in changed.items():
             folder = f"data/{name.replace('/', '-')}-{uuid.uuid4().hex}"
-            writer = df.write.format(kind)
+            writer = df.write.format(kind).options(**options or {})
             if by and name in by:
                 writer = writer.partitionBy(*by[name])
             writer.save(f"{self.root}/{folder}")

@@ -37,6 +37,47 @@ def test_increments_equal_one_whole_join(spark, tmp_path):
     assert listed(kept.pairs()) == listed(proposals.alike_pairs(vectors(spark, known), "memory_id", 0.5))
 
 
+def test_updates_write_new_pairs_alone(spark, tmp_path):
+    """Old pairs stay in the folder they are in; keys that change, go and come
+    again count as they are now, also after a merge."""
+    rng = random.Random(5)
+    draw = lambda: [rng.gauss(0, 1) for _ in range(3)]
+    known = {f"m{i:02d}": draw() for i in range(25)}
+    kept = kept_pairs.KeptPairs(spark, f"file://{tmp_path}/pairs", least=0.4)
+    kept.update(vectors(spark, known))
+    first = kept.store.snapshot().tables["pairs/1"]
+    was = known.copy()
+    known |= {"a0": draw(), "m03": draw(), "m11": [0.5, 0.25, 1.0]}
+    del known["m20"]
+    kept.update(vectors(spark, known))
+    tables = kept.store.snapshot().tables
+    assert tables["pairs/1"] == first
+    assert all({r["a"], r["b"]} & {"a0", "m03", "m11"} for r in kept.store.read("pairs/2").collect())
+    assert listed(kept.pairs()) == listed(proposals.alike_pairs(vectors(spark, known), "memory_id", 0.4))
+    known |= {"m03": was["m03"], "m20": was["m20"]}
+    del known["a0"]
+    kept.update(vectors(spark, known))
+    wanted = listed(proposals.alike_pairs(vectors(spark, known), "memory_id", 0.4))
+    assert listed(kept.pairs()) == wanted
+    merged = kept.merge()
+    assert [name for name in merged.tables if name.startswith("pairs/")] == ["pairs/4"] and listed(kept.pairs()) == wanted
+    assert kept.store.read("pairs/4").count() == len(wanted)
+    del known["m05"]
+    kept.update(vectors(spark, known))
+    kept.store.vacuum()
+    assert listed(kept.pairs()) == listed(proposals.alike_pairs(vectors(spark, known), "memory_id", 0.4))
+
+
+def test_floats_are_sent_as_floats(spark):
+    rows = [("a", [1.0, 0.25]), ("b", [2.0, 0.5]), ("c", [0.1, 1.0])]
+    v = vectors(spark, dict(rows))
+    kept = kept_pairs.KeptPairs(spark, "file:///tmp/none")
+    kind = lambda df: kept._narrowed(df)(df).schema["embedding"].dataType.simpleString()
+    assert (kind(v.where("memory_id <> 'c'")), kind(v)) == ("array<float>", "array<double>")
+    f = v.select("memory_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    assert listed(proposals.alike_pairs(f, "memory_id", 0.0)) == listed(proposals.alike_pairs(f.select("memory_id", F.col("embedding").cast("array<double>").alias("embedding")), "memory_id", 0.0))
+
+
 @pytest.fixture
 def store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")

@@ -122,3 +122,8 @@ def test_edges_keep_their_likeness(spark, brute):
 def test_blocks_grow_before_they_become_many(spark):
     """A vector is sent once for each block."""
     assert [proposals._block_count(spark.range(n)) for n in (0, 5000, 60_000, 200_000, 400_000)] == [1, 2, 15, 16, 25]
+
+
+def test_blocks_of_large_tables_are_sent_together(spark):
+    """A vector is sent once for each of them."""
+    assert [proposals._sent_count(spark.range(n)) for n in (0, 60_000, 200_000, 400_000, 615_384, 1_200_000)] == [1, 15, 16, 16, 16, 19]
